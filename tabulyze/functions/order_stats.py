@@ -21,7 +21,9 @@ from tabulyze.functions.columns import as_double, col, nan_to_null
 VALUE_LIMIT = 2_000_000
 # Accuracy of the sketches that place cuts; rank error is at most rows / accuracy.
 SKETCH_ACCURACY = 10_000
+# Most cuts per value axis, and the rows aimed at between two cuts.
 BUCKETS = 1024
+ROWS_PER_BUCKET = 100_000
 
 
 @dataclass
@@ -100,9 +102,9 @@ def _finish(df: DataFrame, wanted: list[_Wanted]) -> None:
     for w in wanted[1:]:
         hit = hit | w.between()
     running = W.partitionBy("t").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    below = F.get(F.lit([w.below for w in wanted]).cast("array<bigint>"), F.col("t"))
-    k0 = F.get(F.lit([w.k0 for w in wanted]).cast("array<bigint>"), F.col("t"))
-    k1 = F.get(F.lit([w.k1 for w in wanted]).cast("array<bigint>"), F.col("t"))
+    below = F.get(longs([w.below for w in wanted]), F.col("t"))
+    k0 = F.get(longs([w.k0 for w in wanted]), F.col("t"))
+    k1 = F.get(longs([w.k1 for w in wanted]), F.col("t"))
     rows = (
         df.filter(hit)
         .select(F.explode(F.array_compact(F.array(*tagged))).alias("s"))
@@ -225,6 +227,20 @@ def approximate_quantiles(
     return row.select(F.inline("z")).toDF("p", "quantile")
 
 
+def buckets_for(rows: int, most: int = BUCKETS) -> int:
+    """Enough buckets to keep each near ROWS_PER_BUCKET rows, within [1, most]."""
+    return max(1, min(most, rows // ROWS_PER_BUCKET))
+
+
+def doubles(values: Sequence[float]) -> Column:
+    """A constant array<double>, sent to the JVM as one text."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+def longs(values: Sequence[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def bucket_cuts(
     df: DataFrame, columns: Sequence[str], buckets: int = BUCKETS
 ) -> dict[str, list[float]]:
@@ -249,7 +265,7 @@ def bucket_of(value: Column, cuts: Sequence[float]) -> Column:
     """
     if not cuts:
         return F.lit(0)
-    axis = F.lit([float(c) for c in cuts])
+    axis = doubles(cuts)
     n = len(cuts)
     steps = F.lit([1 << i for i in range(n.bit_length() - 1, -1, -1)])
 
@@ -269,7 +285,7 @@ def grouped_median(
     value: str,
     out: str,
     limit: int = VALUE_LIMIT,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Exact median per key. Keys and values must already be free of missing keys.
 
@@ -278,7 +294,8 @@ def grouped_median(
     """
     names = [col(k) for k in keys]
     rows = nan_to_null(df.select(*names, as_double(value).alias("v")))
-    if df.count() <= limit:
+    total = df.count()
+    if total <= limit:
         largest = 0
     else:
         sizes = rows.groupBy(*names).agg(F.count("v").alias("n"))
@@ -286,8 +303,8 @@ def grouped_median(
     if largest <= limit:
         return rows.groupBy(*names).agg(F.median("v").alias(out))
 
-    cuts = bucket_cuts(rows, ["v"], buckets)["v"]
-    axis = F.lit(cuts)
+    cuts = bucket_cuts(rows, ["v"], buckets or buckets_for(total))["v"]
+    axis = doubles(cuts)
     filled = rows.filter(F.col("v").isNotNull()).withColumn("b", bucket_of(F.col("v"), cuts))
     by_key = W.partitionBy(*names)
     upto_bucket = by_key.orderBy("b").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -339,7 +356,7 @@ def grouped_median(
 
 
 def add_average_ranks(
-    df: DataFrame, columns: Sequence[str], weight: str, buckets: int = BUCKETS
+    df: DataFrame, columns: Sequence[str], weight: str, buckets: int
 ) -> tuple[DataFrame, int]:
     """Add `rank_<column>`, the average rank of the value among all weighted rows.
 
@@ -370,8 +387,8 @@ def add_average_ranks(
         before = [0] * width
         for b in range(1, width):
             before[b] = before[b - 1] + sizes[b - 1]
-        start = F.get(F.lit(before).cast("array<bigint>"), F.col("__b"))
-        size = F.get(F.lit(sizes).cast("array<bigint>"), F.col("__b"))
+        start = F.get(longs(before), F.col("__b"))
+        size = F.get(longs(sizes), F.col("__b"))
         single = F.col("__b") % 2 == 1
         part = W.partitionBy("__b", "__salt")
         upto = part.orderBy(col(name)).rangeBetween(W.unboundedPreceding, W.currentRow)

@@ -6,22 +6,28 @@ order). A constant column has no correlation: r is NULL.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulyze.functions.columns import as_double, col, nan_to_null, numeric_columns
 from tabulyze.functions.moments import pearson
-from tabulyze.functions.order_stats import BUCKETS, add_average_ranks
+from tabulyze.functions.order_stats import add_average_ranks, buckets_for
 from tabulyze.operators.kendall import kendall_pair
 from tabulyze.operators.roles import require_columns
 
 METHODS = ("pearson", "spearman", "kendall")
 PAIR_SCHEMA = "variable1 string, variable2 string, r double"
-# Pairs whose aggregates go into one job; more make the generated code unwieldy.
-PAIRS_PER_JOB = 300
+# Pairs whose aggregates go into one job. Spark generates code for up to 100 fields; a pair
+# takes one, or about twenty where values are missing.
+PAIRS_PER_JOB = 60
+GAP_PAIRS_PER_JOB = 30
+# Pairs beyond which one matrix pass is cheaper than several aggregate passes.
+WIDE_PAIRS = 60
 TOO_FEW = "Need at least 2 numerical columns for correlation heatmap"
 STRONG_LIMIT = 10
 
@@ -47,25 +53,129 @@ def _pair_rows(values: list[tuple[str, str, Column]]) -> Column:
     )
 
 
-def _pearson_pairs(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+def _centred(rows: DataFrame, names: list[str]) -> tuple[DataFrame, set[str], set[str]]:
+    """Columns less their means; the names with missing values; the names that vary.
+
+    One job over all columns. Sums of centred values keep their digits.
+    """
+    asks = []
+    for i, c in enumerate(names):
+        asks += [F.avg(col(c)).alias(f"m{i}"), F.count_if(col(c).isNull()).alias(f"g{i}"),
+                 (F.min(col(c)) < F.max(col(c))).alias(f"v{i}")]
+    row = rows.agg(*asks).first()
+    centred = rows.select(
+        *[(col(c) - F.lit(row[f"m{i}"]).cast("double")).alias(c) for i, c in enumerate(names)]
+    )
+    gaps = {c for i, c in enumerate(names) if row[f"g{i}"]}
+    varied = {c for i, c in enumerate(names) if row[f"v{i}"]}
+    return centred, gaps, varied
+
+
+def _batched(rows: DataFrame, pairs: list[tuple[str, str]], gaps: set[str]) -> DataFrame:
+    """Pearson by sums, few enough per job to stay in one generated loop."""
+    size = GAP_PAIRS_PER_JOB if gaps else PAIRS_PER_JOB
     batches = []
-    for at in range(0, len(pairs), PAIRS_PER_JOB):
-        batch = pairs[at:at + PAIRS_PER_JOB]
-        one = rows.agg(
-            *[pearson(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(batch)]
-        )
-        batches.append(
-            one.select(_pair_rows([(a, b, F.col(f"r{i}")) for i, (a, b) in enumerate(batch)]))
-        )
+    for at in range(0, len(pairs), size):
+        batch = pairs[at:at + size]
+        squares = {
+            c: F.sum(col(c) * col(c)) for c in dict.fromkeys(n for p in batch for n in p)
+            if c not in gaps
+        }
+        at_square = {c: f"s{i}" for i, c in enumerate(squares)}
+        asks = [v.alias(at_square[c]) for c, v in squares.items()]
+        out = []
+        for i, (a, b) in enumerate(batch):
+            if a in gaps or b in gaps:
+                asks.append(pearson(col(a), col(b)).alias(f"r{i}"))
+                out.append((a, b, F.col(f"r{i}")))
+                continue
+            asks.append(F.sum(col(a) * col(b)).alias(f"x{i}"))
+            scale = F.sqrt(F.col(at_square[a])) * F.sqrt(F.col(at_square[b]))
+            out.append((a, b, F.try_divide(F.col(f"x{i}"), scale)))
+        batches.append(rows.agg(*asks).select(_pair_rows(out)))
     return reduce(DataFrame.unionByName, batches)
 
 
+def _gram(rows: DataFrame, names: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """Pearson for wide tables in one scan: each task adds up matrix products of its batches.
+
+    With x the values (0 where missing) and m the presence mask, the products m'm, x'm,
+    (x*x)'m and x'x hold all that pairwise-complete correlation needs. A task emits one row
+    per pair, so the shuffle carries tasks x pairs rows whatever the table size.
+    """
+    k = len(names)
+    at = {c: i for i, c in enumerate(names)}
+    left = np.array([at[a] for a, _ in pairs])
+    right = np.array([at[b] for _, b in pairs])
+    fields = ("n", "sa", "sb", "saa", "sbb", "sab")
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, plain, square, cross = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            x = np.column_stack(
+                [c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns]
+            )
+            m = ~np.isnan(x)
+            x = np.where(m, x, 0.0)
+            m = m.astype(np.float64)
+            count += m.T @ m
+            plain += x.T @ m
+            square += (x * x).T @ m
+            cross += x.T @ x
+        sums = {
+            "pair": np.arange(len(pairs), dtype=np.int32),
+            "n": count[left, right],
+            "sa": plain[left, right], "sb": plain[right, left],
+            "saa": square[left, right], "sbb": square[right, left],
+            "sab": cross[left, right],
+        }
+        yield pa.RecordBatch.from_pydict(sums)
+
+    schema = "pair int, " + ", ".join(f"{f} double" for f in fields)
+    summed = rows.mapInArrow(add_up, schema).groupBy("pair").agg(
+        *[F.sum(f).alias(f) for f in fields]
+    )
+    n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
+    va = F.col("saa") - F.try_divide(sa * sa, n)
+    vb = F.col("sbb") - F.try_divide(sb * sb, n)
+    cab = F.col("sab") - F.try_divide(sa * sb, n)
+    # What rounding leaves of a column that is constant on the rows of the pair.
+    flat = (va <= F.col("saa") * 1e-13) | (vb <= F.col("sbb") * 1e-13)
+    r = F.when(~flat, F.try_divide(cab, F.sqrt(va) * F.sqrt(vb)))
+    named = F.array(
+        *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs]
+    )
+    return summed.withColumn("p", F.get(named, F.col("pair"))).select(
+        F.col("p.a").alias("variable1"), F.col("p.b").alias("variable2"), r.alias("r")
+    )
+
+
+def _pearson_pairs(
+    rows: DataFrame, names: list[str], pairs: list[tuple[str, str]], wide: int
+) -> DataFrame:
+    centred, gaps, varied = _centred(rows, names)
+    sound = [(a, b) for a, b in pairs if a in varied and b in varied]
+    parts = []
+    if sound:
+        used = [c for c in names if c in varied]
+        if len(sound) > wide:
+            parts.append(_gram(centred.select(*map(col, used)), used, sound))
+        else:
+            parts.append(_batched(centred, sound, gaps))
+    constant = [(a, b, None) for a, b in pairs if a not in varied or b not in varied]
+    if constant:
+        parts.append(rows.sparkSession.createDataFrame(constant, PAIR_SCHEMA))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _spearman_complete(
-    rows: DataFrame, names: list[str], pairs: list[tuple[str, str]], buckets: int
+    rows: DataFrame, names: list[str], pairs: list[tuple[str, str]], buckets: int | None
 ) -> DataFrame:
     """Pairs of columns without missing values: each column is ranked once for all pairs."""
     distinct = rows.groupBy(*[col(n) for n in names]).agg(F.count("*").alias("__n"))
-    ranked, total = add_average_ranks(distinct, names, "__n", buckets)
+    ranked, total = add_average_ranks(
+        distinct, names, "__n", buckets or buckets_for(rows.count())
+    )
     # The mean rank is (rows + 1) / 2 for every column; taking it off first keeps digits.
     spread = {c: col(f"rank_{c}") - (total + 1) / 2 for c in names}
     n = F.col("__n").cast("double")
@@ -82,7 +192,7 @@ def _spearman_complete(
 
 
 def _spearman_pairs(
-    rows: DataFrame, names: list[str], pairs: list[tuple[str, str]], buckets: int
+    rows: DataFrame, names: list[str], pairs: list[tuple[str, str]], buckets: int | None
 ) -> DataFrame:
     """Ranks are taken over the rows complete in both columns of a pair."""
     gaps = rows.agg(*[F.count_if(col(c).isNull()).alias(f"g{i}") for i, c in enumerate(names)])
@@ -113,7 +223,8 @@ def correlation_pairs(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     method: str = "pearson",
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
+    wide: int = WIDE_PAIRS,
 ) -> DataFrame:
     """`variable1`, `variable2`, `r` for each pair; no rows below two numeric columns."""
     if method not in METHODS:
@@ -126,7 +237,7 @@ def correlation_pairs(
         return _spearman_pairs(rows, names, pairs, buckets)
     if method == "kendall":
         return _kendall_pairs(rows, pairs)
-    return _pearson_pairs(rows, pairs)
+    return _pearson_pairs(rows, names, pairs, wide)
 
 
 def correlation_matrix(

@@ -19,10 +19,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulyze.functions.columns import col
-from tabulyze.functions.order_stats import BUCKETS, bucket_cuts, bucket_of
-
-# Distinct (x, y) rows aimed at per bucket.
-ROWS_PER_BUCKET = 200_000
+from tabulyze.functions.order_stats import (
+    BUCKETS, ROWS_PER_BUCKET, bucket_cuts, bucket_of,
+)
 
 
 def discordant(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:

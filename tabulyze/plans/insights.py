@@ -7,6 +7,7 @@ named `summary` carries the sentence, `error` the reason why there is nothing to
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -29,6 +30,50 @@ log = logging.getLogger(__name__)
 Insight = Callable[..., DataFrame]
 INSIGHT_SCHEMA = "metric string, value double, text string"
 
+# The sentences the reference shows, with named gaps.
+SENTENCES = {
+    "top_grouped": (
+        "Top performer in {column}: '{top_name}' with {high}. "
+        "Bottom performer: '{bottom_name}' with {low}. "
+        "Top {top_count} performers contribute {share} of total."
+    ),
+    "top_direct": "Highest value in {column}: {high}. Lowest value: {low}. Range: {range}",
+    "trend": (
+        "{column} shows a {direction} trend with {percent} {verb}. "
+        "Absolute change: {change}. Volatility: {volatility}."
+    ),
+    "trend_short": "Not enough data points to analyze trends.",
+    "anomaly": "Detected {count} anomalies ({percent}) in {column}. ",
+    "anomaly_range": "Range of anomalies: {low} to {high}.",
+    "anomaly_none": "No anomalies detected in {column} using {method} method.",
+    "anomaly_short": "Not enough data points to detect anomalies.",
+    "anomaly_text": "Cannot detect anomalies in non-numerical column {column}.",
+    "distribution": (
+        "{column} has a {shape} distribution. Mean: {mean}, Median: {median}, "
+        "Std Dev: {std}. Range: {low} to {high}."
+    ),
+    "categories": (
+        "{column} has {distinct} unique values. Most common: '{value}' ({percent})."
+    ),
+    "distribution_none": "No valid data in column {column}.",
+    "correlation": (
+        "Found {count} strong correlations. "
+        "Strongest: {first} and {second} ({direction}, {r})."
+    ),
+    "correlation_none": "No strong correlations (threshold: {threshold}) found.",
+    "correlation_short": "Need at least 2 numerical columns for correlation analysis.",
+}
+_GAP = re.compile(r"\{(\w+)\}")
+
+
+def _sentence(name: str, **gaps: Column | str) -> Column:
+    """The sentence with its gaps filled by texts or columns."""
+    parts = []
+    for i, piece in enumerate(_GAP.split(SENTENCES[name])):
+        value = gaps[piece] if i % 2 else piece
+        parts.append(value.cast("string") if isinstance(value, Column) else F.lit(str(value)))
+    return F.concat(*parts)
+
 
 def _as_metrics(
     one: DataFrame, numbers: Sequence[str], texts: Sequence[str] = ()
@@ -91,19 +136,16 @@ def top_bottom_insight(
     whole = counted or (exact and _whole(df, column))
     high, low = F.col("top_value"), F.col("bottom_value")
     if group_by:
-        summary = F.concat(
-            F.lit(f"Top performer in {column}: '"), F.coalesce("top_name", F.lit("N/A")),
-            F.lit("' with "), _shown(high, whole), F.lit(". Bottom performer: '"),
-            F.coalesce("bottom_name", F.lit("N/A")), F.lit("' with "), _shown(low, whole),
-            F.lit(". Top "), F.col("top_count").cast("string"),
-            F.lit(" performers contribute "), fmt_percentage(F.col("top_contribution")),
-            F.lit(" of total."),
+        summary = _sentence(
+            "top_grouped", column=column,
+            top_name=F.coalesce("top_name", F.lit("N/A")), high=_shown(high, whole),
+            bottom_name=F.coalesce("bottom_name", F.lit("N/A")), low=_shown(low, whole),
+            top_count=F.col("top_count"), share=fmt_percentage(F.col("top_contribution")),
         )
     else:
-        summary = F.concat(
-            F.lit(f"Highest value in {column}: "), _shown(high, whole),
-            F.lit(". Lowest value: "), _shown(low, whole),
-            F.lit(". Range: "), _shown(high - low, whole),
+        summary = _sentence(
+            "top_direct", column=column, high=_shown(high, whole), low=_shown(low, whole),
+            range=_shown(high - low, whole),
         )
     numbers = (
         "top_count", "top_total", "top_contribution",
@@ -122,14 +164,13 @@ def trend_insight(
 ) -> DataFrame:
     one = trend(df, date_column, value_column, period, keys)
     change = F.col("absolute_change")
-    sentence = F.concat(
-        F.lit(f"{value_column} shows a "), F.col("trend_direction"), F.lit(" trend with "),
-        fmt_percentage(F.abs("percentage_change")),
-        F.when(change > 0, " increase. ").otherwise(" decrease. "),
-        F.lit("Absolute change: "), _shown(change, _whole(df, value_column)),
-        F.lit(". Volatility: "), F.col("volatility"), F.lit("."),
+    sentence = _sentence(
+        "trend", column=value_column, direction=F.col("trend_direction"),
+        percent=fmt_percentage(F.abs("percentage_change")),
+        verb=F.when(change > 0, "increase").otherwise("decrease"),
+        change=_shown(change, _whole(df, value_column)), volatility=F.col("volatility"),
     )
-    few = F.lit("Not enough data points to analyze trends.")
+    few = _sentence("trend_short")
     one = one.withColumn("summary", F.when(F.col("error").isNull(), sentence).otherwise(few))
     numbers = (
         "first_value", "last_value", "absolute_change", "percentage_change", "mean", "median",
@@ -149,22 +190,19 @@ def anomaly_insight(
     whole = is_numerical(df, column) and _whole(df, column)
     # The range is told only when neither end is 0, as the reference does.
     told = low.isNotNull() & (low != 0) & (high != 0)
-    span = F.concat(
-        F.lit(" Range of anomalies: "), _shown(low, whole), F.lit(" to "),
-        _shown(high, whole), F.lit("."),
-    )
+    span = _sentence("anomaly_range", low=_shown(low, whole), high=_shown(high, whole))
     found = F.concat(
-        F.lit("Detected "), F.col("anomaly_count").cast("string"), F.lit(" anomalies ("),
-        fmt_percentage(F.col("anomaly_share")), F.lit(f") in {column}."),
-        F.when(told, span).otherwise(F.lit(" ")),
+        _sentence("anomaly", count=F.col("anomaly_count"), column=column,
+                  percent=fmt_percentage(F.col("anomaly_share"))),
+        F.when(told, span).otherwise(F.lit("")),
     )
     failed = F.when(
-        F.col("error") == "Insufficient data", "Not enough data points to detect anomalies."
-    ).otherwise(F.lit(f"Cannot detect anomalies in non-numerical column {column}."))
+        F.col("error") == "Insufficient data", _sentence("anomaly_short")
+    ).otherwise(_sentence("anomaly_text", column=column))
     summary = (
         F.when(F.col("error").isNotNull(), failed)
         .when(F.col("anomaly_count") == 0,
-              F.lit(f"No anomalies detected in {column} using {method} method."))
+              _sentence("anomaly_none", column=column, method=method))
         .otherwise(found)
     )
     numbers = (
@@ -176,13 +214,12 @@ def anomaly_insight(
 
 def distribution_insight(df: DataFrame, column: str) -> DataFrame:
     require_columns(df, column)
-    failed = F.lit(f"No valid data in column {column}.")
+    failed = _sentence("distribution_none", column=column)
     if not is_numerical(df, column):
         one = categorical_distribution(df, column)
-        told = F.concat(
-            F.lit(f"{column} has "), F.col("unique_values").cast("string"),
-            F.lit(" unique values. Most common: '"), F.col("most_common"), F.lit("' ("),
-            fmt_percentage(F.col("most_common_share")), F.lit(")."),
+        told = _sentence(
+            "categories", column=column, distinct=F.col("unique_values"),
+            value=F.col("most_common"), percent=fmt_percentage(F.col("most_common_share")),
         )
         numbers = ("count", "unique_values", "most_common_count", "most_common_share",
                    "least_common_count")
@@ -190,11 +227,10 @@ def distribution_insight(df: DataFrame, column: str) -> DataFrame:
     else:
         one = numeric_distribution(df, column)
         whole = _whole(df, column)
-        told = F.concat(
-            F.lit(f"{column} has a "), F.col("shape"), F.lit(" distribution. Mean: "),
-            fmt_number(F.col("mean")), F.lit(", Median: "), fmt_number(F.col("median")),
-            F.lit(", Std Dev: "), fmt_number(F.col("std")), F.lit(". Range: "),
-            _shown(F.col("min"), whole), F.lit(" to "), _shown(F.col("max"), whole), F.lit("."),
+        told = _sentence(
+            "distribution", column=column, shape=F.col("shape"), mean=fmt_number(F.col("mean")),
+            median=fmt_number(F.col("median")), std=fmt_number(F.col("std")),
+            low=_shown(F.col("min"), whole), high=_shown(F.col("max"), whole),
         )
         numbers = ("count", "mean", "median", "mode", "std", "min", "max", "range", "q1", "q3",
                    "iqr", "skewness", "kurtosis")
@@ -215,7 +251,7 @@ def correlation_insight(
     if len(names) < 2:
         return df.sparkSession.createDataFrame(
             [
-                ("summary", None, "Need at least 2 numerical columns for correlation analysis."),
+                ("summary", None, SENTENCES["correlation_short"]),
                 ("error", None, "Insufficient numerical columns"),
             ],
             INSIGHT_SCHEMA,
@@ -232,13 +268,12 @@ def correlation_insight(
         F.col("s.variable1").alias("variable1"), F.col("s.variable2").alias("variable2"),
         F.col("s.direction").alias("direction"), F.col("s.strength").alias("strength"),
     )
-    told = F.concat(
-        F.lit("Found "), F.col("strong_found").cast("string"),
-        F.lit(" strong correlations. Strongest: "), F.col("variable1"), F.lit(" and "),
-        F.col("variable2"), F.lit(" ("), F.col("direction"), F.lit(", "),
-        fmt_number(F.col("strongest")), F.lit(")."),
+    told = _sentence(
+        "correlation", count=F.col("strong_found"), first=F.col("variable1"),
+        second=F.col("variable2"), direction=F.col("direction"),
+        r=fmt_number(F.col("strongest")),
     )
-    none = F.lit(f"No strong correlations (threshold: {threshold}) found.")
+    none = _sentence("correlation_none", threshold=str(threshold))
     one = one.withColumn("summary", F.when(F.col("strong_found") > 0, told).otherwise(none))
     return _as_metrics(
         one, ("pairs_analyzed", "strong_found", "strongest"),

@@ -16,6 +16,15 @@ from tabulyze.operators.trend import scatter_trendline, time_series
 View = Callable[..., DataFrame]
 
 FEW_CATEGORIES = 10
+
+# The reasons the reference gives for each kind of view.
+REASONS = {
+    "time_series": "Detected date and numerical columns - perfect for trend analysis",
+    "correlation": "Found {n} numerical columns - great for correlation analysis",
+    "category": 'Found categorical column "{column}" with {n} categories',
+    "distribution": "Numerical data available - useful for understanding value distribution",
+    "scatter": "Multiple numerical columns - explore relationships between variables",
+}
 VIEW_SCHEMA = "rank int, type string, priority string, reason string, params map<string,string>"
 
 
@@ -116,13 +125,13 @@ def recommend_views(df: DataFrame) -> DataFrame:
     if dates and numeric:
         found.append((
             "time_series", "high",
-            "Detected date and numerical columns - perfect for trend analysis",
+            REASONS["time_series"],
             {"date_column": dates[0], "value_column": numeric[0], "aggregation": "sum"},
         ))
     if len(numeric) >= 3:
         found.append((
             "correlation", "high",
-            f"Found {len(numeric)} numerical columns - great for correlation analysis", {},
+            REASONS["correlation"].format(n=len(numeric)), {},
         ))
     if text:
         values = df.select(col(text[0])).na.drop().distinct()
@@ -130,19 +139,19 @@ def recommend_views(df: DataFrame) -> DataFrame:
         if distinct <= FEW_CATEGORIES:
             found.append((
                 "category", "high",
-                f'Found categorical column "{text[0]}" with {distinct} categories',
+                REASONS["category"].format(column=text[0], n=distinct),
                 {"column": text[0], "plot_type": "bar"},
             ))
     if numeric:
         found.append((
             "distribution", "medium",
-            "Numerical data available - useful for understanding value distribution",
+            REASONS["distribution"],
             {"column": numeric[0], "plot_type": "histogram"},
         ))
     if len(numeric) >= 2:
         found.append((
             "scatter", "medium",
-            "Multiple numerical columns - explore relationships between variables",
+            REASONS["scatter"],
             {"x_column": numeric[0], "y_column": numeric[1]},
         ))
     ordered = sorted(found, key=lambda v: ("high", "medium", "low").index(v[1]))
