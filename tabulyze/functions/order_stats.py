@@ -13,12 +13,14 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabulyze.functions.columns import as_double, col, nan_to_null
 
-# Most distinct values one task may hold for an exact quantile.
-VALUE_LIMIT = 2_000_000
+# Most rows for which one task may hold all distinct values. Well below what memory allows:
+# the value maps are slow to merge.
+VALUE_LIMIT = 200_000
 # Accuracy of the sketches that place cuts; rank error is at most rows / accuracy.
 SKETCH_ACCURACY = 10_000
 # Most cuts per value axis, and the rows aimed at between two cuts.
@@ -63,35 +65,67 @@ def _interpolate(a: float, b: float, position: float) -> float:
     return a + (b - a) * (position - math.floor(position))
 
 
-def _narrow(df: DataFrame, wanted: list[_Wanted], accuracy: int) -> None:
-    """Shrink each bracket to about 4 / accuracy of its rows, checked by counting."""
+def _ends(first: float, last: float, accuracy: int) -> list[float]:
+    """Shares that enclose the wanted one by twice the sketch's rank error."""
     step = 2.0 / accuracy
-    asks = []
-    for i, w in enumerate(wanted):
-        at = (w.k0 - w.below) / max(w.inside - 1, 1)
-        at_next = (w.k1 - w.below) / max(w.inside - 1, 1)
-        ends = [min(max(at - step, 0.0), 1.0), min(max(at_next + step, 0.0), 1.0)]
-        value = F.when(w.between(), as_double(w.column))
-        asks.append(F.percentile_approx(value, ends, accuracy).alias(f"e{i}"))
-    ends_row = df.agg(*asks).first()
+    return [min(max(first - step, 0.0), 1.0), min(max(last + step, 0.0), 1.0)]
+
 
+def _shrink(df: DataFrame, wanted: list[_Wanted], ends: list[Sequence[float]]) -> None:
+    """Move brackets to new ends, once counting has shown that the rank lies between them.
+
+    A sketch that missed the rank leaves the old bracket; the caller stops narrowing.
+    """
     counts = []
-    for i, w in enumerate(wanted):
-        lo, hi = ends_row[f"e{i}"]
+    for i, (w, (lo, hi)) in enumerate(zip(wanted, ends)):
         c = as_double(w.column)
         counts.append(F.count_if(c < lo).alias(f"b{i}"))
         counts.append(F.count_if(c.between(lo, hi)).alias(f"n{i}"))
     counted = df.agg(*counts).first()
-
-    for i, w in enumerate(wanted):
-        lo, hi = ends_row[f"e{i}"]
+    for i, (w, (lo, hi)) in enumerate(zip(wanted, ends)):
         below, inside = counted[f"b{i}"], counted[f"n{i}"]
-        # A sketch that missed the rank leaves the old bracket; the caller stops narrowing.
         if below <= w.k0 and w.k1 < below + inside:
             w.lo, w.hi, w.below, w.inside = lo, hi, below, inside
             w.settle()
 
 
+def _open(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int,
+          ) -> list[_Wanted]:
+    """First brackets: one sketch per column answers for all its quantiles."""
+    shares = [e for p in probs for e in _ends(p, p, accuracy)]
+    asks = []
+    for i, name in enumerate(columns):
+        c = as_double(name)
+        asks += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"),
+                 F.percentile_approx(c, shares, accuracy).alias(f"e{i}")]
+    row = df.agg(*asks).first()
+    wanted, ends = [], []
+    for i, name in enumerate(columns):
+        for j, p in enumerate(probs):
+            n = row[f"n{i}"]
+            w = _Wanted(name, p, n, row[f"lo{i}"], row[f"hi{i}"], 0, n)
+            if n:
+                w.settle()
+            wanted.append(w)
+            ends.append(row[f"e{i}"][2 * j:2 * j + 2] if n else None)
+    fresh = [(w, e) for w, e in zip(wanted, ends) if w.open]
+    if fresh:
+        _shrink(df, [w for w, _ in fresh], [e for _, e in fresh])
+    return wanted
+
+
+def _narrow(df: DataFrame, wanted: list[_Wanted], accuracy: int) -> None:
+    """Shrink each bracket to about 4 / accuracy of its rows."""
+    asks = []
+    for i, w in enumerate(wanted):
+        last = max(w.inside - 1, 1)
+        shares = _ends((w.k0 - w.below) / last, (w.k1 - w.below) / last, accuracy)
+        value = F.when(w.between(), as_double(w.column))
+        asks.append(F.percentile_approx(value, shares, accuracy).alias(f"e{i}"))
+    row = df.agg(*asks).first()
+    _shrink(df, wanted, [row[f"e{i}"] for i in range(len(wanted))])
+
+
 def _finish(df: DataFrame, wanted: list[_Wanted]) -> None:
     """Read the few rows left inside the brackets and take the exact ranks."""
     tagged = [
@@ -126,21 +160,10 @@ def _finish(df: DataFrame, wanted: list[_Wanted]) -> None:
         w.value = _interpolate(rows[f"a{i}"], rows[f"b{i}"], w.p * (w.n - 1))
 
 
-def _select(df: DataFrame, wanted: list[_Wanted], limit: int, accuracy: int) -> None:
-    names = list(dict.fromkeys(w.column for w in wanted))
-    asks = []
-    for i, name in enumerate(names):
-        c = as_double(name)
-        asks += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
-    row = df.agg(*asks).first()
-    at = {name: i for i, name in enumerate(names)}
-    for w in wanted:
-        i = at[w.column]
-        w.n = w.inside = row[f"n{i}"]
-        w.lo, w.hi = row[f"lo{i}"], row[f"hi{i}"]
-        if w.n:
-            w.settle()
-
+def _select(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], limit: int, accuracy: int
+) -> list[_Wanted]:
+    wanted = _open(df, columns, probs, accuracy)
     while big := [w for w in wanted if w.open and w.inside > limit]:
         before = [w.inside for w in big]
         _narrow(df, big, accuracy)
@@ -148,6 +171,7 @@ def _select(df: DataFrame, wanted: list[_Wanted], limit: int, accuracy: int) ->
             break
     if left := [w for w in wanted if w.open]:
         _finish(df, left)
+    return wanted
 
 
 def quantile_values(
@@ -170,10 +194,8 @@ def quantile_values(
             *[F.percentile(as_double(c), list(probs)).alias(f"q{i}") for i, c in enumerate(columns)]
         ).first()
         return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
-    wanted = [_Wanted(c, p) for c in columns for p in probs]
-    _select(clean, wanted, limit, accuracy)
     values: dict[str, list[float | None]] = {c: [] for c in columns}
-    for w in wanted:
+    for w in _select(clean, columns, probs, limit, accuracy):
         values[w.column].append(w.value)
     return values
 
@@ -246,37 +268,45 @@ def bucket_cuts(
 ) -> dict[str, list[float]]:
     """Increasing cut values per column, at most `buckets` + 1 of them, from one job."""
     grid = [i / buckets for i in range(buckets + 1)]
-    accuracy = max(SKETCH_ACCURACY, 10 * buckets)
+    accuracy = max(1000, 10 * buckets)
     row = df.agg(
         *[
             F.percentile_approx(as_double(c), grid, accuracy).alias(f"c{i}")
             for i, c in enumerate(columns)
         ]
     ).first()
-    return {c: sorted(set(row[f"c{i}"] or [])) for i, c in enumerate(columns)}
+    return {
+        c: sorted({x for x in row[f"c{i}"] or [] if math.isfinite(x)})
+        for i, c in enumerate(columns)
+    }
 
 
-def bucket_of(value: Column, cuts: Sequence[float]) -> Column:
-    """Bucket number, increasing with the value, by binary search over the cuts.
+def with_buckets(
+    df: DataFrame, cuts: dict[str, Sequence[float]], outs: dict[str, str]
+) -> DataFrame:
+    """Add the bucket number of each column in `outs`, increasing with the value.
 
     Odd numbers hold exactly one value, a cut; even numbers hold the open range between two
     cuts. A value frequent enough to make a bucket large is always a cut, so open buckets
-    have a bounded row count.
+    have a bounded row count. Columns are doubles without missing values.
     """
-    if not cuts:
-        return F.lit(0)
-    axis = doubles(cuts)
-    n = len(cuts)
-    steps = F.lit([1 << i for i in range(n.bit_length() - 1, -1, -1)])
-
-    def advance(at: Column, step: Column) -> Column:
-        fits = (at + step <= n) & (value >= F.get(axis, at + step - 1))
-        return F.when(fits, at + step).otherwise(at)
-
-    def number(at: Column) -> Column:
-        return F.when((at > 0) & (value == F.get(axis, at - 1)), at * 2 - 1).otherwise(at * 2)
-
-    return F.aggregate(steps, F.lit(0), advance, number)
+    cut = [c for c in outs if cuts[c]]
+    whole = {out: F.lit(0) for c, out in outs.items() if not cuts[c]}
+    placed = df.withColumns(whole) if whole else df
+    if not cut:
+        return placed
+    infinity = float("inf")
+    placed = Bucketizer(
+        splitsArray=[[-infinity, *cuts[c], infinity] for c in cut],
+        inputCols=cut, outputCols=[f"__at_{c}" for c in cut], handleInvalid="keep",
+    ).transform(placed)
+    numbers = {}
+    for c in cut:
+        # `at` counts the cuts that are not above the value.
+        at = F.col(f"__at_{c}").cast("int")
+        on_cut = (at > 0) & (F.col(c) == F.get(doubles(cuts[c]), at - 1))
+        numbers[outs[c]] = F.when(on_cut, at * 2 - 1).otherwise(at * 2)
+    return placed.withColumns(numbers).drop(*[f"__at_{c}" for c in cut])
 
 
 def grouped_median(
@@ -305,7 +335,7 @@ def grouped_median(
 
     cuts = bucket_cuts(rows, ["v"], buckets or buckets_for(total))["v"]
     axis = doubles(cuts)
-    filled = rows.filter(F.col("v").isNotNull()).withColumn("b", bucket_of(F.col("v"), cuts))
+    filled = with_buckets(rows.filter(F.col("v").isNotNull()), {"v": cuts}, {"v": "b"})
     by_key = W.partitionBy(*names)
     upto_bucket = by_key.orderBy("b").rowsBetween(W.unboundedPreceding, W.currentRow)
     targets = (
@@ -367,12 +397,13 @@ def add_average_ranks(
     get their rank from bucket totals and are spread by a hash of the row.
     """
     cuts = bucket_cuts(df, columns, buckets)
-    numbers = [bucket_of(as_double(c), cuts[c]) for c in columns]
+    outs = {c: f"__b{i}" for i, c in enumerate(columns)}
     tagged = F.explode(
-        F.array(*[F.struct(F.lit(i).alias("i"), b.alias("b")) for i, b in enumerate(numbers)])
+        F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__b{i}").alias("b"))
+                  for i in range(len(columns))])
     )
     totals = (
-        df.select(col(weight).alias("w"), tagged.alias("s"))
+        with_buckets(df, cuts, outs).select(col(weight).alias("w"), tagged.alias("s"))
         .groupBy("s.i", "s.b").agg(F.sum("w").alias("n"))
         .collect()  # at most 2 * buckets + 3 rows per column
     )
@@ -394,7 +425,7 @@ def add_average_ranks(
         upto = part.orderBy(col(name)).rangeBetween(W.unboundedPreceding, W.currentRow)
         ties = F.sum(col(weight)).over(W.partitionBy("__b", "__salt", col(name)))
         ranked = (
-            ranked.withColumn("__b", numbers[i])
+            with_buckets(ranked, cuts, {name: "__b"})
             .withColumn("__salt", F.when(single, F.pmod(F.xxhash64(*base), F.lit(1024))).otherwise(0))
             .withColumn("__upto", F.sum(col(weight)).over(upto))
             .withColumn("__ties", ties)

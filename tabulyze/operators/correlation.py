@@ -172,13 +172,14 @@ def _spearman_complete(
     rows: DataFrame, names: list[str], pairs: list[tuple[str, str]], buckets: int | None
 ) -> DataFrame:
     """Pairs of columns without missing values: each column is ranked once for all pairs."""
-    distinct = rows.groupBy(*[col(n) for n in names]).agg(F.count("*").alias("__n"))
+    plain = {c: f"c{i}" for i, c in enumerate(names)}
+    distinct = rows.groupBy(*[col(c).alias(plain[c]) for c in names]).agg(F.count("*").alias("n"))
     ranked, total = add_average_ranks(
-        distinct, names, "__n", buckets or buckets_for(rows.count())
+        distinct, list(plain.values()), "n", buckets or buckets_for(rows.count())
     )
     # The mean rank is (rows + 1) / 2 for every column; taking it off first keeps digits.
-    spread = {c: col(f"rank_{c}") - (total + 1) / 2 for c in names}
-    n = F.col("__n").cast("double")
+    spread = {c: F.col(f"rank_{plain[c]}") - (total + 1) / 2 for c in names}
+    n = F.col("n").cast("double")
     at = {c: i for i, c in enumerate(names)}
     sums = [F.sum(n * spread[c] * spread[c]).alias(f"s{at[c]}") for c in names]
     sums += [F.sum(n * spread[a] * spread[b]).alias(f"x{at[a]}_{at[b]}") for a, b in pairs]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulyze.functions.columns import col
 from tabulyze.functions.order_stats import (
-    BUCKETS, ROWS_PER_BUCKET, bucket_cuts, bucket_of,
+    BUCKETS, ROWS_PER_BUCKET, bucket_cuts, with_buckets,
 )
 
 
@@ -102,9 +102,7 @@ def kendall_pair(
     )
     buckets = max(1, min(max_buckets, rows.count() // rows_per_bucket))
     cuts = bucket_cuts(rows, ["x", "y"], buckets) if buckets > 1 else {"x": [], "y": []}
-    placed = rows.withColumns(
-        {"xb": bucket_of(F.col("x"), cuts["x"]), "yb": bucket_of(F.col("y"), cuts["y"])}
-    )
+    placed = with_buckets(rows, cuts, {"x": "xb", "y": "yb"})
 
     def wide(name: str) -> Column:
         return F.col(name) % 2 == 0
