@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -72,6 +74,13 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({n: F.when(~F.isnan(col(n)), col(n)) for n in floating})
 
 
+def complete_rows(df: DataFrame) -> DataFrame:
+    """Rows without a NULL in any column, whatever the columns are called."""
+    if not df.columns:
+        return df
+    return df.filter(reduce(and_, [col(c).isNotNull() for c in df.columns]))
+
+
 def as_double(name: str) -> Column:
     return col(name).cast("double")
 

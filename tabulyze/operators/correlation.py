@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulyze.functions.columns import as_double, col, nan_to_null, numeric_columns
+from tabulyze.functions.columns import (
+    as_double, col, complete_rows, nan_to_null, numeric_columns,
+)
 from tabulyze.functions.moments import pearson
 from tabulyze.functions.order_stats import add_average_ranks, buckets_for
 from tabulyze.operators.kendall import kendall_pair
@@ -205,7 +207,7 @@ def _spearman_pairs(
         parts.append(_spearman_complete(rows.select(*map(col, whole)), whole, clean, buckets))
     for a, b in pairs:
         if a in missing or b in missing:
-            both = rows.select(col(a), col(b)).na.drop("any")
+            both = complete_rows(rows.select(col(a), col(b)))
             parts.append(_spearman_complete(both, [a, b], [(a, b)], buckets))
     return reduce(DataFrame.unionByName, parts)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulyze.functions.columns import as_double, col, nan_to_null
+from tabulyze.functions.columns import as_double, col, complete_rows, nan_to_null
 from tabulyze.functions.moments import kurtosis_adjusted, skewness_adjusted
 from tabulyze.functions.order_stats import VALUE_LIMIT, quantile_columns, quantile_values
 from tabulyze.functions.text import safe_divide
@@ -33,7 +33,7 @@ def _values(df: DataFrame, column: str) -> DataFrame:
     require_columns(df, column)
     if not is_numerical(df, column):
         raise ValueError(f"Column {column} is not numerical")
-    return nan_to_null(df.select(as_double(column).alias("v"))).na.drop()
+    return complete_rows(nan_to_null(df.select(as_double(column).alias("v"))))
 
 
 def numeric_mode(df: DataFrame, column: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabulyze.functions.columns import (
-    CATEGORICAL, as_double, col, column_types, nan_to_null, numeric_columns,
+    CATEGORICAL, as_double, col, column_types, complete_rows, nan_to_null, numeric_columns,
 )
 from tabulyze.functions.order_stats import VALUE_LIMIT, quantile_values
 from tabulyze.operators.ranking import column_modes
@@ -52,7 +52,7 @@ def fill_mode(df: DataFrame) -> DataFrame:
 def handle_missing(df: DataFrame, strategy: str = "none") -> DataFrame:
     """none, drop, fill_mean, fill_median or fill_mode; any other name changes nothing."""
     if strategy == "drop":
-        return nan_to_null(df).na.drop("any")
+        return complete_rows(nan_to_null(df))
     if strategy == "fill_mean":
         return fill_mean(df)
     if strategy == "fill_median":

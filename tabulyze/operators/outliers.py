@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulyze.functions.columns import as_double, col, nan_to_null, tie_break
+from tabulyze.functions.columns import as_double, col, complete_rows, nan_to_null, tie_break
 from tabulyze.functions.order_stats import VALUE_LIMIT, quantile_columns, quantile_values
 from tabulyze.functions.text import safe_divide
 from tabulyze.operators.roles import is_numerical, require_columns
@@ -129,7 +129,7 @@ def anomaly_summary(
         row = [(None,) * 10 + (f"Column {column} is not numerical",)]
         return df.sparkSession.createDataFrame(row, columns)
     _check(df, column, method)
-    present = nan_to_null(df.select(col(column))).na.drop()
+    present = complete_rows(nan_to_null(df.select(col(column))))
     hit, _ = _anomaly_test(present, column, method, threshold, limit)
     c = as_double(column)
     median = quantile_columns(present, [column], [0.5], limit)[column]

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tabulyze.functions.columns import as_double, col, is_missing, nan_to_null, quoted, tie_break
+from tabulyze.functions.columns import (
+    as_double, col, complete_rows, is_missing, nan_to_null, quoted, tie_break,
+)
 from tabulyze.functions.order_stats import VALUE_LIMIT, grouped_median
 from tabulyze.functions.text import safe_divide
 from tabulyze.operators.roles import require_columns
@@ -40,7 +42,7 @@ def group_measure(
 def value_counts(df: DataFrame, column: str, out: str = "n") -> DataFrame:
     """Rows per present value."""
     require_columns(df, column)
-    kept = nan_to_null(df.select(col(column))).na.drop()
+    kept = complete_rows(nan_to_null(df.select(col(column))))
     return kept.groupBy(col(column)).agg(F.count("*").alias(out))
 
 

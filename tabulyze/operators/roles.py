@@ -7,7 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabulyze.functions.columns import (
-    col, column_types, is_missing, nan_to_null, numeric_columns, role_of, tie_break,
+    col, column_types, complete_rows, is_missing, nan_to_null, numeric_columns, role_of,
+    tie_break,
 )
 
 ROLE_SCHEMA = "position int, column string, role string"
@@ -50,7 +51,7 @@ def select_numeric(df: DataFrame, columns: Iterable[str] | None = None) -> DataF
 def project_complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The asked columns, without rows that miss any of them."""
     require_columns(df, columns)
-    return nan_to_null(df.select(*[col(c) for c in columns])).na.drop("any")
+    return complete_rows(nan_to_null(df.select(*[col(c) for c in columns])))
 
 
 def preview_head(df: DataFrame, keys: Sequence[str] | None = None, rows: int = 100) -> DataFrame:
@@ -61,7 +62,7 @@ def preview_head(df: DataFrame, keys: Sequence[str] | None = None, rows: int = 1
 def distinct_choices(df: DataFrame, column: str, limit: int = 50) -> DataFrame:
     """Up to `limit` distinct values in ascending order, for a picker."""
     require_columns(df, [column])
-    values = nan_to_null(df.select(col(column))).na.drop().distinct()
+    values = complete_rows(nan_to_null(df.select(col(column)))).distinct()
     return values.orderBy(col(column)).limit(limit)
 
 

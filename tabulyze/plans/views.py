@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabulyze.functions.columns import CATEGORICAL, DATETIME, NUMERICAL, col, column_types
+from tabulyze.functions.columns import (
+    CATEGORICAL, DATETIME, NUMERICAL, col, column_types, complete_rows,
+)
 from tabulyze.operators.correlation import correlation_matrix
 from tabulyze.operators.distribution import box_stats, density_curve, histogram
 from tabulyze.operators.ranking import category_series, category_share
@@ -134,7 +136,7 @@ def recommend_views(df: DataFrame) -> DataFrame:
             REASONS["correlation"].format(n=len(numeric)), {},
         ))
     if text:
-        values = df.select(col(text[0])).na.drop().distinct()
+        values = complete_rows(df.select(col(text[0]))).distinct()
         distinct = values.limit(FEW_CATEGORIES + 1).count()
         if distinct <= FEW_CATEGORIES:
             found.append((

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulyze.functions.columns import col, nan_to_null
+from tabulyze.functions.columns import col
 from tabulyze.operators.conversion import Plan, apply_plan, blank_na_tokens, detect_numbers
 
 Reader = Callable[[SparkSession, str], DataFrame]
@@ -78,7 +78,7 @@ def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     try:
-        return nan_to_null(spark.read.parquet(path))
+        return spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"File not found: {path}") from error
@@ -135,7 +135,7 @@ def read_json(
     if layout == "columns":
         rows = _read_json_columns(spark, path)
     elif layout in ("records", "lines"):
-        rows = nan_to_null(spark.read.option("multiLine", layout == "records").json(path))
+        rows = spark.read.option("multiLine", layout == "records").json(path)
     else:
         raise ValueError(f"Unsupported JSON layout: {layout}")
     return apply_plan(rows, detect_numbers(rows) if plan is None else plan)
