@@ -12,6 +12,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -23,22 +25,99 @@ from tabulyze.functions.columns import as_double, col, nan_to_null
 VALUE_LIMIT = 200_000
 # Accuracy of the sketches that place cuts; rank error is at most rows / accuracy.
 SKETCH_ACCURACY = 10_000
+# Rows beyond which sketches are merged in two levels, the tasks of the first level, and the
+# quantiles each of them hands on.
+TREE_ROWS = 50_000_000
+TREE_PARTS = 512
+TREE_GRID = 1000
 # Most cuts per value axis, and the rows aimed at between two cuts.
-BUCKETS = 1024
+BUCKETS = 4096
 ROWS_PER_BUCKET = 100_000
 
 
+def _even(points: int) -> list[float]:
+    return [i / points for i in range(points + 1)]
+
+
+def _scan(
+    df: DataFrame,
+    facts: Sequence[tuple[str, Column]],
+    sketches: Sequence[tuple[Column, Sequence[float]]],
+    rows: int,
+    accuracy: int,
+    tree_rows: int,
+) -> tuple[list, list[list[float] | None]]:
+    """Counts, minima and maxima next to approximate quantiles, from one pass.
+
+    Facts are ("count" | "min" | "max", column). Every scan task hands on a sketch of up to
+    some hundred KB. Beyond `tree_rows` rows these are merged by TREE_PARTS tasks instead of
+    one, and the last task sees only an even grid of weighted quantiles from each.
+    """
+    merge = {"count": F.count, "min": F.min, "max": F.max}
+    asks = [merge[kind](c).alias(f"f{i}") for i, (kind, c) in enumerate(facts)]
+    if rows <= tree_rows:
+        asks += [
+            F.percentile_approx(c, doubles(shares), accuracy).alias(f"q{i}")
+            for i, (c, shares) in enumerate(sketches)
+        ]
+        row = df.agg(*asks).first()
+    else:
+        grid = max([TREE_GRID, *[len(shares) for _, shares in sketches]])
+        asks += [
+            F.struct(
+                F.lit(i).alias("i"),
+                F.percentile_approx(c, doubles(_even(grid)), 2 * grid).alias("q"),
+                F.greatest(F.floor(F.count(c) / (grid + 1)), F.lit(1)).alias("w"),
+            ).alias(f"s{i}")
+            for i, (c, _) in enumerate(sketches)
+        ]
+        parts = df.withColumn("__part", F.spark_partition_id() % TREE_PARTS)
+        known = [f"f{i}" for i in range(len(facts))]
+        points = (
+            parts.groupBy("__part").agg(*asks)
+            .select(*known, F.inline(F.array(*[F.col(f"s{i}") for i in range(len(sketches))])))
+            .select(*known, "i", "w", F.posexplode_outer("q").alias("at", "v"))
+        )
+        # Facts are repeated on every point of a part; one of them counts.
+        once = (F.col("i") == 0) & F.coalesce(F.col("at") == 0, F.lit(True))
+        again = {"count": F.sum, "min": F.min, "max": F.max}
+        row = points.agg(
+            *[
+                again[kind](F.when(once, F.col(f"f{i}"))).alias(f"f{i}")
+                for i, (kind, _) in enumerate(facts)
+            ],
+            *[
+                F.percentile(
+                    F.when(F.col("i") == i, F.col("v")), doubles(shares), F.col("w")
+                ).alias(f"q{i}")
+                for i, (_, shares) in enumerate(sketches)
+            ],
+        ).first()
+    return (
+        [row[f"f{i}"] for i in range(len(facts))],
+        [row[f"q{i}"] for i in range(len(sketches))],
+    )
+
+
 @dataclass
 class _Wanted:
-    """One quantile: ranks k0 and k1 sought between lo and hi, `below` rows under lo."""
+    """One quantile. Ranks k0 and k1 lie between `low` and `high`, with `below` rows under low.
+
+    `lo` and `hi` are a narrower guess about which nothing is known for sure; `expected` rows
+    lie inside it. `last` marks a guess that cannot be narrowed any more.
+    """
 
     column: str
     p: float
-    n: int = 0
-    lo: float | None = None
-    hi: float | None = None
+    n: int
+    low: float | None
+    high: float | None
     below: int = 0
     inside: int = 0
+    lo: float | None = None
+    hi: float | None = None
+    expected: float = 0.0
+    last: bool = False
     value: float | None = None
 
     @property
@@ -53,124 +132,118 @@ class _Wanted:
     def open(self) -> bool:
         return self.n > 0 and self.value is None
 
-    def settle(self) -> None:
-        if self.lo == self.hi:
-            self.value = self.lo
-
     def between(self) -> Column:
         return as_double(self.column).between(self.lo, self.hi)
 
+    def fall_back(self) -> None:
+        """Guess again what is sure, and do not narrow it."""
+        self.lo, self.hi, self.last = self.low, self.high, True
+
+    def ready(self, limit: int) -> bool:
+        # Copies are folded before values meet in a task, so one value is always few.
+        return self.last or self.lo == self.hi or self.expected <= limit
+
 
 def _interpolate(a: float, b: float, position: float) -> float:
     return a + (b - a) * (position - math.floor(position))
 
 
-def _ends(first: float, last: float, accuracy: int) -> list[float]:
-    """Shares that enclose the wanted one by twice the sketch's rank error."""
-    step = 2.0 / accuracy
-    return [min(max(first - step, 0.0), 1.0), min(max(last + step, 0.0), 1.0)]
-
+def _guess(w: _Wanted, grid: Sequence[float], margin: float) -> None:
+    """Narrow the guess to the grid points that enclose the ranks by `margin`."""
+    points = len(grid) - 1
+    span = max(w.inside - 1, 1)
+    first = max(math.floor(((w.k0 - w.below) / span - margin) * points), 0)
+    last = min(math.ceil(((w.k1 - w.below) / span + margin) * points), points)
+    w.lo, w.hi = grid[first], grid[last]
+    w.expected = w.inside * (last - first + 2) / points
+    w.last = w.expected > w.inside / 2
 
-def _shrink(df: DataFrame, wanted: list[_Wanted], ends: list[Sequence[float]]) -> None:
-    """Move brackets to new ends, once counting has shown that the rank lies between them.
 
-    A sketch that missed the rank leaves the old bracket; the caller stops narrowing.
-    """
-    counts = []
-    for i, (w, (lo, hi)) in enumerate(zip(wanted, ends)):
+def _narrow(
+    df: DataFrame, wanted: list[_Wanted], rows: int, accuracy: int, tree_rows: int
+) -> None:
+    """Count around each guess and sketch what lies inside it, in one pass."""
+    facts, sketches = [], []
+    for w in wanted:
         c = as_double(w.column)
-        counts.append(F.count_if(c < lo).alias(f"b{i}"))
-        counts.append(F.count_if(c.between(lo, hi)).alias(f"n{i}"))
-    counted = df.agg(*counts).first()
-    for i, (w, (lo, hi)) in enumerate(zip(wanted, ends)):
-        below, inside = counted[f"b{i}"], counted[f"n{i}"]
+        facts += [("count", F.when(c < w.lo, 1)), ("count", F.when(w.between(), 1))]
+        sketches.append((F.when(w.between(), c), _even(TREE_GRID)))
+    counts, grids = _scan(df, facts, sketches, rows, accuracy, tree_rows)
+    for i, (w, grid) in enumerate(zip(wanted, grids)):
+        below, inside = counts[2 * i:2 * i + 2]
         if below <= w.k0 and w.k1 < below + inside:
-            w.lo, w.hi, w.below, w.inside = lo, hi, below, inside
-            w.settle()
-
-
-def _open(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int,
-          ) -> list[_Wanted]:
-    """First brackets: one sketch per column answers for all its quantiles."""
-    shares = [e for p in probs for e in _ends(p, p, accuracy)]
-    asks = []
-    for i, name in enumerate(columns):
-        c = as_double(name)
-        asks += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"),
-                 F.percentile_approx(c, shares, accuracy).alias(f"e{i}")]
-    row = df.agg(*asks).first()
-    wanted, ends = [], []
-    for i, name in enumerate(columns):
-        for j, p in enumerate(probs):
-            n = row[f"n{i}"]
-            w = _Wanted(name, p, n, row[f"lo{i}"], row[f"hi{i}"], 0, n)
-            if n:
-                w.settle()
-            wanted.append(w)
-            ends.append(row[f"e{i}"][2 * j:2 * j + 2] if n else None)
-    fresh = [(w, e) for w, e in zip(wanted, ends) if w.open]
-    if fresh:
-        _shrink(df, [w for w, _ in fresh], [e for _, e in fresh])
-    return wanted
-
-
-def _narrow(df: DataFrame, wanted: list[_Wanted], accuracy: int) -> None:
-    """Shrink each bracket to about 4 / accuracy of its rows."""
-    asks = []
-    for i, w in enumerate(wanted):
-        last = max(w.inside - 1, 1)
-        shares = _ends((w.k0 - w.below) / last, (w.k1 - w.below) / last, accuracy)
-        value = F.when(w.between(), as_double(w.column))
-        asks.append(F.percentile_approx(value, shares, accuracy).alias(f"e{i}"))
-    row = df.agg(*asks).first()
-    _shrink(df, wanted, [row[f"e{i}"] for i in range(len(wanted))])
+            # Where few values hold all rows, guesses stop shrinking; counting copes with that.
+            stuck = inside > w.inside / 2
+            w.low, w.high, w.below, w.inside = w.lo, w.hi, below, inside
+            _guess(w, grid, 4 / TREE_GRID)
+            w.last = w.last or stuck
+        else:
+            w.fall_back()
 
 
 def _finish(df: DataFrame, wanted: list[_Wanted]) -> None:
-    """Read the few rows left inside the brackets and take the exact ranks."""
-    tagged = [
-        F.when(w.between(), F.struct(F.lit(i).alias("t"), as_double(w.column).alias("v")))
-        for i, w in enumerate(wanted)
-    ]
-    hit = wanted[0].between()
-    for w in wanted[1:]:
-        hit = hit | w.between()
-    running = W.partitionBy("t").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    below = F.get(longs([w.below for w in wanted]), F.col("t"))
+    """Count the values inside the guesses, and the rows below them, and take the ranks."""
+    tagged = []
+    for i, w in enumerate(wanted):
+        c = as_double(w.column)
+        # Rows below the guess are one counted group, without a value.
+        tagged.append(
+            F.when(c <= w.hi, F.struct(F.lit(i).alias("t"), F.when(c >= w.lo, c).alias("v")))
+        )
+    hit = reduce(or_, [as_double(w.column) <= w.hi for w in wanted])
+    running = (
+        W.partitionBy("t").orderBy(F.col("v").asc_nulls_first())
+        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
     k0 = F.get(longs([w.k0 for w in wanted]), F.col("t"))
     k1 = F.get(longs([w.k1 for w in wanted]), F.col("t"))
-    rows = (
+
+    def at(k: Column) -> Column:
+        return F.max(F.when((F.col("from") <= k) & (k < F.col("upto")), F.col("v")))
+
+    found = (
         df.filter(hit)
         .select(F.explode(F.array_compact(F.array(*tagged))).alias("s"))
         .groupBy(F.col("s.t").alias("t"), F.col("s.v").alias("v"))
         .agg(F.count("*").alias("n"))
-        .withColumn("upto", below + F.sum("n").over(running))
+        .withColumn("upto", F.sum("n").over(running))
         .withColumn("from", F.col("upto") - F.col("n"))
-        .agg(
-            *[
-                F.max(F.when((F.col("t") == i) & (F.col("from") <= k) & (k < F.col("upto")),
-                             F.col("v"))).alias(f"{side}{i}")
-                for i in range(len(wanted))
-                for side, k in (("a", k0), ("b", k1))
-            ]
-        )
-        .first()
+        .groupBy("t").agg(at(k0).alias("a"), at(k1).alias("b"))
+        .collect()  # one row per wanted quantile
     )
+    ends = {row["t"]: (row["a"], row["b"]) for row in found}
     for i, w in enumerate(wanted):
-        w.value = _interpolate(rows[f"a{i}"], rows[f"b{i}"], w.p * (w.n - 1))
+        a, b = ends.get(i, (None, None))
+        if a is None or b is None:
+            w.fall_back()
+        else:
+            w.value = _interpolate(a, b, w.p * (w.n - 1))
 
 
 def _select(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], limit: int, accuracy: int
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], rows: int, limit: int,
+    accuracy: int, tree_rows: int,
 ) -> list[_Wanted]:
-    wanted = _open(df, columns, probs, accuracy)
-    while big := [w for w in wanted if w.open and w.inside > limit]:
-        before = [w.inside for w in big]
-        _narrow(df, big, accuracy)
-        if all(w.open and w.inside == b for w, b in zip(big, before)):
-            break
-    if left := [w for w in wanted if w.open]:
-        _finish(df, left)
+    margin = 2 / accuracy if rows <= tree_rows else 4 / TREE_GRID
+    shares = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)]
+    facts = [(kind, as_double(c)) for c in columns for kind in ("count", "min", "max")]
+    sketches = [(as_double(c), shares) for c in columns]
+    values, ends = _scan(df, facts, sketches, rows, accuracy, tree_rows)
+    wanted = []
+    for i, name in enumerate(columns):
+        n, low, high = values[3 * i:3 * i + 3]
+        for j, p in enumerate(probs):
+            w = _Wanted(name, p, n or 0, low, high, 0, n or 0)
+            if n:
+                w.lo, w.hi = ends[i][2 * j:2 * j + 2]
+                w.expected = 3 * margin * n
+            wanted.append(w)
+    while waiting := [w for w in wanted if w.open]:
+        wide = [w for w in waiting if not w.ready(limit)]
+        if wide:
+            _narrow(df, wide, rows, accuracy, tree_rows)
+        else:
+            _finish(df, waiting)
     return wanted
 
 
@@ -181,21 +254,25 @@ def quantile_values(
     limit: int = VALUE_LIMIT,
     accuracy: int = SKETCH_ACCURACY,
     rows: int | None = None,
+    tree_rows: int = TREE_ROWS,
 ) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles as numbers, one list per column.
 
-    Only these scalars reach the driver. `rows` skips the size check.
+    Only these scalars reach the driver. Up to `limit` rows one `percentile` job does; beyond
+    it takes a sketch pass, a counting pass, and one more pass per thousandfold of rows.
+    `rows` skips the size check.
     """
     if not columns:
         return {}
     clean = nan_to_null(df.select(*[col(c) for c in columns]))
-    if (clean.count() if rows is None else rows) <= limit:
+    size = clean.count() if rows is None else rows
+    if size <= limit:
         row = clean.agg(
             *[F.percentile(as_double(c), list(probs)).alias(f"q{i}") for i, c in enumerate(columns)]
         ).first()
         return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
     values: dict[str, list[float | None]] = {c: [] for c in columns}
-    for w in _select(clean, columns, probs, limit, accuracy):
+    for w in _select(clean, columns, probs, size, limit, accuracy, tree_rows):
         values[w.column].append(w.value)
     return values
 
@@ -264,20 +341,17 @@ def longs(values: Sequence[int]) -> Column:
 
 
 def bucket_cuts(
-    df: DataFrame, columns: Sequence[str], buckets: int = BUCKETS
+    df: DataFrame,
+    columns: Sequence[str],
+    buckets: int,
+    rows: int = 0,
+    tree_rows: int = TREE_ROWS,
 ) -> dict[str, list[float]]:
-    """Increasing cut values per column, at most `buckets` + 1 of them, from one job."""
-    grid = [i / buckets for i in range(buckets + 1)]
-    accuracy = max(1000, 10 * buckets)
-    row = df.agg(
-        *[
-            F.percentile_approx(as_double(c), grid, accuracy).alias(f"c{i}")
-            for i, c in enumerate(columns)
-        ]
-    ).first()
+    """Increasing cut values per column, at most `buckets` + 1 of them, from one pass."""
+    asks = [(as_double(c), _even(buckets)) for c in columns]
+    _, grids = _scan(df, [], asks, rows, max(1000, 10 * buckets), tree_rows)
     return {
-        c: sorted({x for x in row[f"c{i}"] or [] if math.isfinite(x)})
-        for i, c in enumerate(columns)
+        c: sorted({x for x in grid or [] if math.isfinite(x)}) for c, grid in zip(columns, grids)
     }
 
 
@@ -333,7 +407,7 @@ def grouped_median(
     if largest <= limit:
         return rows.groupBy(*names).agg(F.median("v").alias(out))
 
-    cuts = bucket_cuts(rows, ["v"], buckets or buckets_for(total))["v"]
+    cuts = bucket_cuts(rows, ["v"], buckets or buckets_for(total), total)["v"]
     axis = doubles(cuts)
     filled = with_buckets(rows.filter(F.col("v").isNotNull()), {"v": cuts}, {"v": "b"})
     by_key = W.partitionBy(*names)
@@ -386,7 +460,7 @@ def grouped_median(
 
 
 def add_average_ranks(
-    df: DataFrame, columns: Sequence[str], weight: str, buckets: int
+    df: DataFrame, columns: Sequence[str], weight: str, buckets: int, rows: int = 0
 ) -> tuple[DataFrame, int]:
     """Add `rank_<column>`, the average rank of the value among all weighted rows.
 
@@ -396,7 +470,7 @@ def add_average_ranks(
     Each column costs one shuffle on its bucket number. Rows whose value fills a bucket alone
     get their rank from bucket totals and are spread by a hash of the row.
     """
-    cuts = bucket_cuts(df, columns, buckets)
+    cuts = bucket_cuts(df, columns, buckets, rows)
     outs = {c: f"__b{i}" for i, c in enumerate(columns)}
     tagged = F.explode(
         F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__b{i}").alias("b"))
@@ -423,7 +497,9 @@ def add_average_ranks(
         single = F.col("__b") % 2 == 1
         part = W.partitionBy("__b", "__salt")
         upto = part.orderBy(col(name)).rangeBetween(W.unboundedPreceding, W.currentRow)
-        ties = F.sum(col(weight)).over(W.partitionBy("__b", "__salt", col(name)))
+        ties = F.sum(col(weight)).over(
+            part.orderBy(col(name)).rangeBetween(W.currentRow, W.currentRow)
+        )
         ranked = (
             with_buckets(ranked, cuts, {name: "__b"})
             .withColumn("__salt", F.when(single, F.pmod(F.xxhash64(*base), F.lit(1024))).otherwise(0))

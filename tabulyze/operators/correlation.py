@@ -12,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabulyze.functions.columns import (
     as_double, col, complete_rows, nan_to_null, numeric_columns,
@@ -176,8 +176,9 @@ def _spearman_complete(
     """Pairs of columns without missing values: each column is ranked once for all pairs."""
     plain = {c: f"c{i}" for i, c in enumerate(names)}
     distinct = rows.groupBy(*[col(c).alias(plain[c]) for c in names]).agg(F.count("*").alias("n"))
+    size = rows.count()
     ranked, total = add_average_ranks(
-        distinct, list(plain.values()), "n", buckets or buckets_for(rows.count())
+        distinct, list(plain.values()), "n", buckets or buckets_for(size), size
     )
     # The mean rank is (rows + 1) / 2 for every column; taking it off first keeps digits.
     spread = {c: F.col(f"rank_{plain[c]}") - (total + 1) / 2 for c in names}
@@ -302,17 +303,19 @@ def strong_pairs(
     `pairs_analyzed` and `strong_found` count all pairs, listed or not.
     """
     pairs = correlation_pairs(df, columns, method)
-    counts = pairs.agg(
-        F.struct(
-            F.count("*").alias("analyzed"),
-            F.count_if(F.abs("r") >= threshold).alias("strong"),
-        )
-    ).scalar()
     size = F.abs("r")
+    # All pairs of the schema, a few thousand rows at most.
+    every = W.partitionBy()
+    counted = pairs.withColumns(
+        {
+            "pairs_analyzed": F.count("*").over(every),
+            "strong_found": F.count(F.when(size >= threshold, 1)).over(every),
+        }
+    )
     return (
-        with_strength(pairs.filter(size >= threshold))
-        .withColumn("pairs_analyzed", counts.getField("analyzed"))
-        .withColumn("strong_found", counts.getField("strong"))
+        with_strength(counted.filter(size >= threshold))
+        .select("variable1", "variable2", "r", "strength", "direction", "pairs_analyzed",
+                "strong_found")
         .orderBy(size.desc(), "variable1", "variable2")
         .limit(limit)
     )

@@ -14,14 +14,21 @@ a value that fills much of the table costs nothing.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulyze.functions.columns import col
-from tabulyze.functions.order_stats import (
-    BUCKETS, ROWS_PER_BUCKET, bucket_cuts, with_buckets,
-)
+from tabulyze.functions.order_stats import ROWS_PER_BUCKET, bucket_cuts, with_buckets
+
+# Most cuts per axis: the grid of cells, four times this squared, is held by one task.
+GRID_BUCKETS = 1024
+
+# Executors need not have this package: its functions travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def discordant(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
@@ -93,15 +100,16 @@ def kendall_pair(
     x: str,
     y: str,
     rows_per_bucket: int = ROWS_PER_BUCKET,
-    max_buckets: int = BUCKETS,
+    max_buckets: int = GRID_BUCKETS,
 ) -> DataFrame:
     """One row, `r`: tau-b of two numeric columns over their complete rows."""
     rows = (
         df.select(col(x).cast("double").alias("x"), col(y).cast("double").alias("y"))
         .na.drop("any").groupBy("x", "y").agg(F.count("*").alias("n"))
     )
-    buckets = max(1, min(max_buckets, rows.count() // rows_per_bucket))
-    cuts = bucket_cuts(rows, ["x", "y"], buckets) if buckets > 1 else {"x": [], "y": []}
+    size = rows.count()
+    buckets = max(1, min(max_buckets, size // rows_per_bucket))
+    cuts = bucket_cuts(rows, ["x", "y"], buckets, size) if buckets > 1 else {"x": [], "y": []}
     placed = with_buckets(rows, cuts, {"x": "xb", "y": "yb"})
 
     def wide(name: str) -> Column:
