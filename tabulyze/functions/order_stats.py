@@ -103,8 +103,8 @@ def _scan(
 class _Wanted:
     """One quantile. Ranks k0 and k1 lie between `low` and `high`, with `below` rows under low.
 
-    `lo` and `hi` are a narrower guess about which nothing is known for sure; `expected` rows
-    lie inside it. `last` marks a guess that cannot be narrowed any more.
+    `lo` and `hi` are a narrower guess, with some `expected` rows inside. Once counting has
+    confirmed it, it is `sure`. `last` marks a guess that is not to be narrowed any more.
     """
 
     column: str
@@ -117,6 +117,7 @@ class _Wanted:
     lo: float | None = None
     hi: float | None = None
     expected: float = 0.0
+    sure: bool = False
     last: bool = False
     value: float | None = None
 
@@ -135,13 +136,20 @@ class _Wanted:
     def between(self) -> Column:
         return as_double(self.column).between(self.lo, self.hi)
 
-    def fall_back(self) -> None:
-        """Guess again what is sure, and do not narrow it."""
-        self.lo, self.hi, self.last = self.low, self.high, True
-
-    def ready(self, limit: int) -> bool:
-        # Copies are folded before values meet in a task, so one value is always few.
-        return self.last or self.lo == self.hi or self.expected <= limit
+    def wide(self, limit: int) -> bool:
+        return not (self.sure or self.last or self.lo == self.hi) and self.expected > limit
+
+    def accept(self, below: int, inside: int) -> None:
+        """Take the counts around the guess; a guess that missed the ranks is given up."""
+        if below <= self.k0 and self.k1 < below + inside:
+            # Where few values hold all rows, guesses stop shrinking.
+            self.last = self.last or inside > self.inside / 2
+            self.low, self.high, self.below, self.inside = self.lo, self.hi, below, inside
+            if self.lo == self.hi:
+                self.value = self.lo
+        else:
+            self.lo, self.hi, self.last = self.low, self.high, True
+        self.sure = True
 
 
 def _interpolate(a: float, b: float, position: float) -> float:
@@ -154,55 +162,53 @@ def _guess(w: _Wanted, grid: Sequence[float], margin: float) -> None:
     span = max(w.inside - 1, 1)
     first = max(math.floor(((w.k0 - w.below) / span - margin) * points), 0)
     last = min(math.ceil(((w.k1 - w.below) / span + margin) * points), points)
-    w.lo, w.hi = grid[first], grid[last]
+    w.lo, w.hi, w.sure = grid[first], grid[last], False
     w.expected = w.inside * (last - first + 2) / points
-    w.last = w.expected > w.inside / 2
+
+
+def _around(w: _Wanted) -> list[tuple[str, Column]]:
+    return [("count", F.when(as_double(w.column) < w.lo, 1)), ("count", F.when(w.between(), 1))]
+
+
+def _verify(df: DataFrame, wanted: list[_Wanted]) -> None:
+    """Count below and inside each guess."""
+    facts = [f for w in wanted for f in _around(w)]
+    counts, _ = _scan(df, facts, [], 0, SKETCH_ACCURACY, TREE_ROWS)
+    for i, w in enumerate(wanted):
+        w.accept(*counts[2 * i:2 * i + 2])
 
 
 def _narrow(
     df: DataFrame, wanted: list[_Wanted], rows: int, accuracy: int, tree_rows: int
 ) -> None:
     """Count around each guess and sketch what lies inside it, in one pass."""
-    facts, sketches = [], []
-    for w in wanted:
-        c = as_double(w.column)
-        facts += [("count", F.when(c < w.lo, 1)), ("count", F.when(w.between(), 1))]
-        sketches.append((F.when(w.between(), c), _even(TREE_GRID)))
+    facts = [f for w in wanted for f in _around(w)]
+    sketches = [
+        (F.when(w.between(), as_double(w.column)), _even(TREE_GRID)) for w in wanted
+    ]
     counts, grids = _scan(df, facts, sketches, rows, accuracy, tree_rows)
     for i, (w, grid) in enumerate(zip(wanted, grids)):
-        below, inside = counts[2 * i:2 * i + 2]
-        if below <= w.k0 and w.k1 < below + inside:
-            # Where few values hold all rows, guesses stop shrinking; counting copes with that.
-            stuck = inside > w.inside / 2
-            w.low, w.high, w.below, w.inside = w.lo, w.hi, below, inside
+        guessed = w.lo
+        w.accept(*counts[2 * i:2 * i + 2])
+        if w.open and w.low == guessed and not w.last:
             _guess(w, grid, 4 / TREE_GRID)
-            w.last = w.last or stuck
-        else:
-            w.fall_back()
 
 
 def _finish(df: DataFrame, wanted: list[_Wanted]) -> None:
-    """Count the values inside the guesses, and the rows below them, and take the ranks."""
-    tagged = []
-    for i, w in enumerate(wanted):
-        c = as_double(w.column)
-        # Rows below the guess are one counted group, without a value.
-        tagged.append(
-            F.when(c <= w.hi, F.struct(F.lit(i).alias("t"), F.when(c >= w.lo, c).alias("v")))
-        )
-    hit = reduce(or_, [as_double(w.column) <= w.hi for w in wanted])
-    running = (
-        W.partitionBy("t").orderBy(F.col("v").asc_nulls_first())
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    k0 = F.get(longs([w.k0 for w in wanted]), F.col("t"))
-    k1 = F.get(longs([w.k1 for w in wanted]), F.col("t"))
+    """Read the rows inside the confirmed guesses and take the exact ranks."""
+    tagged = [
+        F.when(w.between(), F.struct(F.lit(i).alias("t"), as_double(w.column).alias("v")))
+        for i, w in enumerate(wanted)
+    ]
+    running = W.partitionBy("t").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    k0 = F.get(longs([w.k0 - w.below for w in wanted]), F.col("t"))
+    k1 = F.get(longs([w.k1 - w.below for w in wanted]), F.col("t"))
 
     def at(k: Column) -> Column:
         return F.max(F.when((F.col("from") <= k) & (k < F.col("upto")), F.col("v")))
 
     found = (
-        df.filter(hit)
+        df.filter(reduce(or_, [w.between() for w in wanted]))
         .select(F.explode(F.array_compact(F.array(*tagged))).alias("s"))
         .groupBy(F.col("s.t").alias("t"), F.col("s.v").alias("v"))
         .agg(F.count("*").alias("n"))
@@ -211,13 +217,9 @@ def _finish(df: DataFrame, wanted: list[_Wanted]) -> None:
         .groupBy("t").agg(at(k0).alias("a"), at(k1).alias("b"))
         .collect()  # one row per wanted quantile
     )
-    ends = {row["t"]: (row["a"], row["b"]) for row in found}
-    for i, w in enumerate(wanted):
-        a, b = ends.get(i, (None, None))
-        if a is None or b is None:
-            w.fall_back()
-        else:
-            w.value = _interpolate(a, b, w.p * (w.n - 1))
+    for row in found:
+        w = wanted[row["t"]]
+        w.value = _interpolate(row["a"], row["b"], w.p * (w.n - 1))
 
 
 def _select(
@@ -239,9 +241,10 @@ def _select(
                 w.expected = 3 * margin * n
             wanted.append(w)
     while waiting := [w for w in wanted if w.open]:
-        wide = [w for w in waiting if not w.ready(limit)]
-        if wide:
+        if wide := [w for w in waiting if w.wide(limit)]:
             _narrow(df, wide, rows, accuracy, tree_rows)
+        elif unsure := [w for w in waiting if not w.sure]:
+            _verify(df, unsure)
         else:
             _finish(df, waiting)
     return wanted
@@ -259,7 +262,8 @@ def quantile_values(
     """Exact interpolated quantiles as numbers, one list per column.
 
     Only these scalars reach the driver. Up to `limit` rows one `percentile` job does; beyond
-    it takes a sketch pass, a counting pass, and one more pass per thousandfold of rows.
+    it takes a sketch pass, a counting pass and a pass over the few rows around each quantile,
+    which the scan can skip to; very large tables take a narrowing pass or two in between.
     `rows` skips the size check.
     """
     if not columns:
