@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 # Texts the reference's readers take as missing.
@@ -12,16 +15,22 @@ NA_TOKENS = (
 
 # Symbols that mark currency text.
 CURRENCY_SYMBOLS = "$€£¥"
-CURRENCY_NOISE = r"(?U)[$,€£¥\s]"
+# What is dropped from currency text: symbols, commas and white space of any kind.
+CURRENCY_NOISE = CURRENCY_SYMBOLS + "," + "".join(
+    chr(i) for i in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                     *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
 
-# Date layouts that are tried, month before day; list order decides ties. The shape is a cheap
-# test in front of the parser, whose failures are slow.
+# Date layouts that are tried, month before day; list order decides ties. Length and
+# shape are cheap tests in front of the parser, whose failures are slow.
 DATE_LAYOUTS = {
-    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,6})?$",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?$",
-    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
-    "M/d/yyyy H:mm": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$",
+    "yyyy-MM-dd": (10, 10, r"^\d{4}-\d{2}-\d{2}$"),
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]":
+        (19, 26, r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,6})?$"),
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]":
+        (19, 26, r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?$"),
+    "M/d/yyyy": (8, 10, r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    "M/d/yyyy H:mm": (13, 16, r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$"),
 }
 DATE_PATTERNS = tuple(DATE_LAYOUTS)
 
@@ -92,18 +101,21 @@ def parse_timestamp(c: Column, pattern: str | None = None) -> Column:
     Without a pattern each value takes the first layout of DATE_PATTERNS that fits.
     """
     patterns = (pattern,) if pattern else DATE_PATTERNS
-    tried = [
-        F.when(c.rlike(DATE_LAYOUTS[p]), F.try_to_timestamp(c, F.lit(p)))
-        if p in DATE_LAYOUTS else F.try_to_timestamp(c, F.lit(p))
-        for p in patterns
-    ]
+    tried = []
+    for p in patterns:
+        parsed = F.try_to_timestamp(c, F.lit(p))
+        if p in DATE_LAYOUTS:
+            shortest, longest, shape = DATE_LAYOUTS[p]
+            fits = F.length(c).between(shortest, longest) & c.rlike(shape)
+            parsed = F.when(fits, parsed)
+        tried.append(parsed)
     return (tried[0] if len(tried) == 1 else F.coalesce(*tried)).cast("timestamp_ntz")
 
 
 def clean_currency(c: Column) -> Column:
     """Currency text as double: symbols, commas and spaces are dropped first."""
-    return parse_number(F.regexp_replace(c, CURRENCY_NOISE, ""))
+    return parse_number(F.translate(c, CURRENCY_NOISE, ""))
 
 
 def has_currency_symbol(c: Column) -> Column:
-    return c.rlike("[" + CURRENCY_SYMBOLS + "]")
+    return reduce(or_, [c.contains(symbol) for symbol in CURRENCY_SYMBOLS])

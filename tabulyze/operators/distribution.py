@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulyze.functions.columns import as_double, col, complete_rows, nan_to_null
@@ -160,7 +162,8 @@ def box_outliers(df: DataFrame, column: str, limit: int = VALUE_LIMIT) -> DataFr
 def density_curve(df: DataFrame, column: str, points: int = GRID_POINTS) -> DataFrame:
     """`point`, `x`, `density`: a Gaussian kernel curve, bandwidth n^(-1/5) times std.
 
-    A constant column has no width: one point, density NULL. Each grid point is one sum, so rows are neither shuffled nor multiplied by the grid.
+    A constant column has no width: one point, density NULL. Each grid point is one sum, so
+    rows are neither shuffled nor multiplied by the grid.
     """
     rows = _values(df, column)
     n, std, low, high = rows.agg(
@@ -175,19 +178,15 @@ def density_curve(df: DataFrame, column: str, points: int = GRID_POINTS) -> Data
         )
     h = std * n ** (-0.2)
     start, step = low - 2 * h, (high - low + 4 * h) / (points - 1)
+    # exp(-((x - g) / h)^2 / 2) is exp(-(x * unit - centre)^2).
+    unit = math.sqrt(0.5) / h
     grid = [start + i * step for i in range(points)]
-    sums = [
-        F.sum(F.exp(F.lit(-0.5) * F.pow((F.col("v") - g) / h, F.lit(2.0)))).alias(f"s{i}")
-        for i, g in enumerate(grid)
-    ]
-    scale = 1.0 / (n * h * (2 * 3.141592653589793) ** 0.5)
-    curve = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("point"), F.lit(g).alias("x"),
-                (F.col(f"s{i}") * scale).alias("density"),
-            )
-            for i, g in enumerate(grid)
-        ]
+    away = [f"(v * {unit!r}D - {g * unit!r}D)" for g in grid]
+    sums = rows.agg(*[F.expr(f"sum(exp(-{a} * {a}))").alias(f"s{i}") for i, a in enumerate(away)])
+    scale = 1.0 / (n * h * math.sqrt(2 * math.pi))
+    listed = ", ".join(f"s{i}" for i in range(points))
+    return sums.select(F.posexplode(F.expr(f"array({listed})")).alias("point", "s")).select(
+        "point",
+        (F.lit(start) + F.col("point") * F.lit(step)).alias("x"),
+        (F.col("s") * scale).alias("density"),
     )
-    return rows.agg(*sums).select(F.inline(curve))
