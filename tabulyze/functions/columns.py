@@ -81,6 +81,14 @@ def complete_rows(df: DataFrame) -> DataFrame:
     return df.filter(reduce(and_, [col(c).isNotNull() for c in df.columns]))
 
 
+def free_name(wanted: str, taken: Iterable[str]) -> str:
+    """`wanted`, with underscores added while the table has a column of that name."""
+    used = {name.lower() for name in taken}
+    while wanted.lower() in used:
+        wanted += "_"
+    return wanted
+
+
 def as_double(name: str) -> Column:
     return col(name).cast("double")
 

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulyze.functions.columns import as_double, col, complete_rows, nan_to_null, tie_break
+from tabulyze.functions.columns import (
+    as_double, col, complete_rows, free_name, nan_to_null, tie_break,
+)
 from tabulyze.functions.order_stats import VALUE_LIMIT, quantile_columns, quantile_values
 from tabulyze.functions.text import safe_divide
 from tabulyze.operators.roles import is_numerical, require_columns
@@ -94,7 +96,7 @@ def anomalies(
     _check(df, column, method)
     present = nan_to_null(df).filter(col(column).isNotNull())
     hit, z = _anomaly_test(present, column, method, threshold, limit)
-    return present.filter(hit).withColumn("z", z)
+    return present.filter(hit).withColumn(free_name("z", df.columns), z)
 
 
 def anomaly_sample(
@@ -108,7 +110,7 @@ def anomaly_sample(
     """The `rows` anomalies farthest from the mean, ties by key."""
     found = anomalies(df, column, method, threshold)
     ties = [col(k) for k in tie_break(df, keys)]
-    return found.orderBy(F.desc("z"), *ties).limit(rows)
+    return found.orderBy(F.desc(free_name("z", df.columns)), *ties).limit(rows)
 
 
 def anomaly_summary(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabulyze.functions.columns import (
-    as_double, col, complete_rows, is_missing, nan_to_null, quoted, tie_break,
+    as_double, col, complete_rows, free_name, is_missing, nan_to_null, quoted, tie_break,
 )
 from tabulyze.functions.order_stats import VALUE_LIMIT, grouped_median
 from tabulyze.functions.text import safe_divide
@@ -46,7 +46,8 @@ def value_counts(df: DataFrame, column: str, out: str = "n") -> DataFrame:
     return kept.groupBy(col(column)).agg(F.count("*").alias(out))
 
 
-def sorted_value_counts(df: DataFrame, column: str, out: str = "n") -> DataFrame:
+def sorted_value_counts(df: DataFrame, column: str) -> DataFrame:
+    out = free_name("n", [column])
     return value_counts(df, column, out).orderBy(F.desc(out), col(column))
 
 
@@ -74,6 +75,14 @@ def column_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+LISTED = ("side", "rank", "value", "side_count", "side_total", "contribution")
+
+
+def listed_name(column: str) -> str:
+    """What a key column is called in a top/bottom list, whose own columns come first."""
+    return free_name(column, LISTED)
+
+
 def _ranked(rows: DataFrame, order: Sequence[Column], side: str) -> DataFrame:
     # `rows` is already a limit of a few rows, so the window stays small.
     return rows.select(
@@ -109,18 +118,22 @@ def top_bottom(
 
     Columns: `side`, `rank`, the group or key columns, `value`, `side_count`, `side_total`
     and `contribution`, the side's share in the total of all listed candidates. Groups
-    without a value sort last, which puts them at the bottom. Ties go by group or key.
+    without a value sort last, which puts them at the bottom. Ties go by group or key. A key
+    column with one of these names gets an underscore.
     """
     require_columns(df, [column] + ([group_by] if group_by else []))
     if group_by:
-        rows = group_measure(df, group_by, column, aggregation).select(
-            col(group_by), F.col("value").cast("double").alias("value")
+        rows = group_measure(df, group_by, column, aggregation, "__measure").select(
+            col(group_by).alias(listed_name(group_by)),
+            F.col("__measure").cast("double").alias("value"),
         )
-        names = [group_by]
+        names = [listed_name(group_by)]
     else:
-        names = tie_break(df, keys, column)
+        key_columns = tie_break(df, keys, column)
+        names = [listed_name(k) for k in key_columns]
         rows = nan_to_null(df).filter(~is_missing(df, column)).select(
-            *[col(k) for k in names], as_double(column).alias("value")
+            *[col(k).alias(listed_name(k)) for k in key_columns],
+            as_double(column).alias("value"),
         )
     ties = [col(k) for k in names]
     high = [F.col("value").desc_nulls_last(), *[c.asc() for c in ties]]
@@ -163,14 +176,15 @@ def category_series(
     Without a value column, or with count or an unknown aggregation, rows are counted.
     """
     require_columns(df, [column] + ([value_column] if value_column else []))
+    out = free_name("value", [column])
     if value_column and aggregation in ("sum", "mean", "median"):
-        rows = group_measure(df, column, value_column, aggregation)
+        rows = group_measure(df, column, value_column, aggregation, out)
     else:
-        rows = value_counts(df, column, "value")
+        rows = value_counts(df, column, out)
     if top_n:
         # Groups without a value are not among the largest.
-        rows = rows.filter(F.col("value").isNotNull())
-    ordered = rows.orderBy(F.col("value").desc_nulls_last(), col(column))
+        rows = rows.filter(F.col(out).isNotNull())
+    ordered = rows.orderBy(F.col(out).desc_nulls_last(), col(column))
     return ordered.limit(top_n) if top_n else ordered
 
 
@@ -183,7 +197,9 @@ def category_share(
 ) -> DataFrame:
     """Pie shares: each shown category as a percentage of all shown, one decimal."""
     shown = category_series(df, column, value_column, aggregation, top_n)
-    total = shown.agg(F.sum("value")).scalar().cast("double")
+    out = free_name("value", [column])
+    total = shown.agg(F.sum(out)).scalar().cast("double")
     return shown.withColumn(
-        "share", F.round(F.try_divide(F.col("value").cast("double"), total) * 100, 1)
+        free_name("share", [column]),
+        F.round(F.try_divide(F.col(out).cast("double"), total) * 100, 1),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tabulyze.functions.columns import CATEGORICAL, col, role_of
+from tabulyze.functions.columns import CATEGORICAL, col, free_name, role_of
 from tabulyze.operators.roles import project_complete_rows
 from tabulyze.session import ensure_checkpoint_dir
 
@@ -14,25 +14,25 @@ HOT_SHARE = 0.01
 
 
 def category_codes(df: DataFrame, column: str, limit: int = CODE_LIMIT) -> tuple[DataFrame, bool]:
-    """`column`, `code`: position among the sorted distinct values, and whether it is small."""
+    """`column`, `__code`: position among the sorted distinct values, and whether it is small."""
     values = df.select(col(column)).distinct()
     if values.count() <= limit:
         code = F.row_number().over(W.orderBy(col(column))) - 1
-        return values.withColumn("code", code.cast("bigint")), True
+        return values.withColumn("__code", code.cast("bigint")), True
     # Sorted across tasks: rows before a task come from a count per task. The sorted table is
     # checkpointed, so that a lost task cannot come back with other rows.
     ensure_checkpoint_dir(df.sparkSession)
     placed = (
         values.orderBy(col(column))
-        .withColumn("task", F.spark_partition_id())
+        .withColumn("__task", F.spark_partition_id())
         .checkpoint()
     )
-    by_task = placed.groupBy("task").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1))
-    starts = by_task.select("task", F.coalesce(before, F.lit(0)).alias("before"))
-    place = F.row_number().over(W.partitionBy("task").orderBy(col(column))) - 1
-    coded = placed.withColumn("place", place).join(F.broadcast(starts), "task")
-    return coded.select(col(column), (F.col("before") + F.col("place")).alias("code")), False
+    by_task = placed.groupBy("__task").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.orderBy("__task").rowsBetween(W.unboundedPreceding, -1))
+    starts = by_task.select("__task", F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.row_number().over(W.partitionBy("__task").orderBy(col(column))) - 1
+    coded = placed.withColumn("__place", place).join(F.broadcast(starts), "__task")
+    return coded.select(col(column), (F.col("__before") + F.col("__place")).alias("__code")), False
 
 
 def _attach_codes(rows: DataFrame, column: str, limit: int) -> DataFrame:
@@ -41,8 +41,8 @@ def _attach_codes(rows: DataFrame, column: str, limit: int) -> DataFrame:
         return rows.join(F.broadcast(codes), column)
     # At most 1 / HOT_SHARE values can each hold that share of the rows. Their rows are
     # matched by broadcast, so the shuffled join never meets a large key.
-    sizes = rows.groupBy(col(column)).agg(F.count("*").alias("n"))
-    hot = sizes.filter(F.col("n") > rows.count() * HOT_SHARE).select(col(column))
+    sizes = rows.groupBy(col(column)).agg(F.count("*").alias("__n"))
+    hot = sizes.filter(F.col("__n") > rows.count() * HOT_SHARE).select(col(column))
     hot_codes = F.broadcast(codes.join(F.broadcast(hot), column, "left_semi"))
     warm = rows.join(F.broadcast(hot), column, "left_anti").join(codes, column)
     return rows.join(hot_codes, column).unionByName(warm)
@@ -61,5 +61,6 @@ def scatter_points(
     points = project_complete_rows(df, list(dict.fromkeys(wanted)))
     if not color_column or role_of(df.schema[color_column].dataType) != CATEGORICAL:
         return points
-    coded = _attach_codes(points, color_column, limit).withColumnRenamed("code", "color_code")
-    return coded.select(*[col(c) for c in points.columns], "color_code")
+    coded = _attach_codes(points, color_column, limit)
+    out = free_name("color_code", points.columns)
+    return coded.select(*[col(c) for c in points.columns], F.col("__code").alias(out))

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabulyze.functions.columns import (
-    CATEGORICAL, as_double, col, complete_rows, nan_to_null, quoted, role_of, tie_break,
+    CATEGORICAL, as_double, col, complete_rows, free_name, nan_to_null, quoted, role_of,
+    tie_break,
 )
 from tabulyze.functions.moments import fit_line
 from tabulyze.functions.order_stats import VALUE_LIMIT, grouped_median, quantile_columns
@@ -141,4 +142,4 @@ def scatter_trendline(df: DataFrame, x_column: str, y_column: str) -> DataFrame:
     rows = complete_rows(nan_to_null(df.select(*names)))
     slope, intercept = rows.agg(*fit_line(as_double(x_column), as_double(y_column))).first()
     fitted = F.lit(intercept).cast("double") + F.lit(slope).cast("double") * as_double(x_column)
-    return rows.withColumn("fitted", fitted)
+    return rows.withColumn(free_name("fitted", rows.columns), fitted)

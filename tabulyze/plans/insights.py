@@ -21,7 +21,7 @@ from tabulyze.functions.text import fmt_number, fmt_percentage
 from tabulyze.operators.correlation import correlation_pairs, with_strength
 from tabulyze.operators.distribution import categorical_distribution, numeric_distribution
 from tabulyze.operators.outliers import anomaly_summary
-from tabulyze.operators.ranking import top_bottom
+from tabulyze.operators.ranking import listed_name, top_bottom
 from tabulyze.operators.roles import is_numerical, require_columns
 from tabulyze.operators.trend import trend
 
@@ -111,7 +111,9 @@ def top_bottom_insight(
     keys: Sequence[str] | None = None,
 ) -> DataFrame:
     listed = top_bottom(df, column, group_by, top_n, bottom_n, aggregation, keys)
-    name = col(group_by).cast("string") if group_by else F.lit(None).cast("string")
+    name = (
+        col(listed_name(group_by)).cast("string") if group_by else F.lit(None).cast("string")
+    )
 
     def first(side: str, c: Column) -> Column:
         return F.max(F.when((F.col("side") == side) & (F.col("rank") == 1), c))

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tabulyze.operators import outliers, ranking, scatter
 from tabulyze.plans.insights import InsightRegistry, insights
 from tabulyze.plans.views import ViewRegistry, recommend_views, views
 
@@ -163,3 +164,32 @@ def test_recommendations(shop, spark):
     assert recommend_views(many).count() == 0
     ten = many.limit(10)
     assert [r.type for r in recommend_views(ten).collect()] == ["category"]
+
+
+def test_column_names_that_results_use(spark):
+    df = spark.createDataFrame(
+        [(i, float(i % 5), "ab"[i % 2], "xy"[i % 2], i * 1.0) for i in range(40)],
+        "rank long, value double, n string, code string, z double",
+    )
+    assert {r.insight for r in insights.generate_all(df).collect()} == {
+        "top_bottom", "distribution", "anomaly", "correlation",
+    }
+    listed = ranking.top_bottom(df, "rank", "value")
+    assert listed.columns[:4] == ["side", "rank", "value_", "value"]
+    assert ranking.top_bottom(df, "z").filter("side = 'top'").count() == 5
+    assert ranking.category_series(df, "value").columns == ["value", "value_"]
+    assert ranking.category_share(df, "value").count() == 5
+    assert ranking.sorted_value_counts(df, "n").columns == ["n", "n_"]
+    assert outliers.anomaly_sample(df, "rank", "zscore", 1.5).columns[-1] == "z_"
+    for limit in (10, 1):
+        points = scatter.scatter_points(df, "rank", "value", "code", limit=limit)
+        assert {(r.code, r.color_code) for r in points.collect()} == {("x", 0), ("y", 1)}
+
+
+def test_tasks_do_not_import_the_package():
+    from pyspark import cloudpickle
+
+    from tabulyze.operators import kendall
+
+    shipped = cloudpickle.dumps(kendall._x_bucket_discordant)
+    assert b"lexsort" in shipped
