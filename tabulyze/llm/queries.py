@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulyze.llm import decontamination, packing, pii, quality, simhash
+from tabulyze.llm import decontamination, packing, pii, quality, repair, simhash, warc
 from tabulyze.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,26 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_definition())
+
+
+@query("op5_warc", """
+with p as (
+  select page_id, coalesce(html, '') as h, sha256(coalesce(html, '')) as d,
+         octet_length(encode(coalesce(html, ''))) as n
+  from pages
+), g as (
+  select d, min(page_id) as first_id, count(*) as copies from p where n >= 100 group by d
+)
+select p.page_id, cast(n as bigint) as payload_bytes, p.d as payload_digest,
+       case when copies > 1 and page_id is distinct from first_id and first_id is not null
+            then 'revisit' else 'response' end as record_type,
+       case when copies > 1 and page_id is distinct from first_id then first_id end as refers_to
+from p left join g on p.d = g.d
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+@query("op6_token_shards")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.token_shards(table(spark, sf_dir, "documents"), tokenizer_definition())
