@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulyze.llm import decontamination, packing, pii, quality, repair, simhash, warc
+from tabulyze.llm import (
+    class_model, decontamination, html_text, packing, pii, quality, repair, simhash, url_rules, warc,
+)
 from tabulyze.llm.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +92,55 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_shards")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.token_shards(table(spark, sf_dir, "documents"), tokenizer_definition())
+
+
+@query("op2_url_rules", r"""
+with p as (
+  select page_id, coalesce(url, '') as u,
+         translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) as path
+  from pages
+), r as (
+  select *, case
+      when ends_with('.' || host, '.www.example.com') and starts_with(path, '/en/')
+        then 'www.example.com/en/'
+      when ends_with('.' || host, '.example.com') and starts_with(path, '/en/')
+        then 'example.com/en/'
+      when ends_with('.' || host, '.net') and starts_with(path, '/es/') then 'net/es/'
+      when ends_with('.' || host, '.net') and starts_with(path, '/fr/') then 'net/fr/'
+      when ends_with('.' || host, '.com') and starts_with(path, '/') then 'com/' end as rule,
+    translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low
+  from p
+), m as (
+  select *, case
+      when regexp_matches(low, '(^|[^a-z0-9])responsible-gaming([^a-z0-9]|$)')
+        then 'responsible-gaming'
+      when regexp_matches(low, '/ads/(?s:.*)\.html([^a-z0-9]|$)') then '/ads/*.html'
+      when regexp_matches(low, '(^|[^a-z0-9])casino-win([^a-z0-9]|$)') then 'casino-win'
+      when regexp_matches(low, '(^|[^a-z0-9])cheap-pills([^a-z0-9]|$)') then 'cheap-pills'
+      when regexp_matches(low, '(^|[^a-z0-9])free-bets([^a-z0-9]|$)') then 'free-bets'
+      when regexp_matches(low, '(^|[^a-z0-9])sessionid=') then 'sessionid='
+      when regexp_matches(low, '(^|[^a-z0-9])utm_source=spam([^a-z0-9]|$)')
+        then 'utm_source=spam' end as pattern
+  from r
+)
+select page_id, host, path, rule, pattern,
+       case when rule in ('com/', 'www.example.com/en/') then 'allow'
+            when rule is not null then 'block'
+            when pattern is null or pattern = 'responsible-gaming' then 'allow'
+            else 'block' end as verdict
+from m
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(table(spark, sf_dir, "pages"))
+
+
+@query("op3_html_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+@query("op4_class_model")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_model.scored(table(spark, sf_dir, "documents"))
