@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulyze.functions.columns import col
 from tabulyze.llm.batches import LOWER, byte_table, mix, slices, window_hashes
-from tabulyze.llm.stamping import ROW, stamped, written
+from tabulyze.llm.stamping import ROW, stamped, unused, written
 
 WINDOW = 10
 SHINGLE = 5
@@ -189,17 +189,19 @@ def contaminated_rows(docs: DataFrame, items: DataFrame, *, text_column: str = "
                       item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
                       shingle: int = SHINGLE, row: str = ROW,
                       keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The kept columns with row numbers and n_words (as columns row, n_words), and (row, n_hit,
-    item_ids) for the rows that hold a window."""
+    """The kept columns with row numbers and, in the last column, n_words and the candidates; and
+    (row, n_hit, item_ids) for the rows that hold a window."""
     keep = docs.columns if keep is None else keep
+    offered = unused("offers", docs)
     wanted, sizes = prefixes(docs, items, text_column, item_id, item_text, window, shingle)
     bits = bitmap(wanted.select("key")) if sizes else np.zeros(8, np.uint8)
     marked = stamped(
         docs.select(*(col(c) for c in keep),
-                    offers(col(text_column), sizes, bits, window).alias("_offers")),
+                    offers(col(text_column), sizes, bits, window).alias(offered)),
         "offers", row)
-    places = marked.select(row, F.col("_offers.n_words").alias("n_words"),
-                           F.explode("_offers.offers").alias("o")).select(row, "n_words", "o.*")
+    places = marked.select(
+        row, F.col(offered)["n_words"].alias("n_words"),
+        F.explode(F.col(offered)["offers"]).alias("o")).select(row, "n_words", "o.*")
     start = F.col("at") - F.col("place")
     hits = (
         places.join(wanted, "key")
@@ -228,7 +230,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
     """One row per document: words, words inside windows of items, and those items."""
     named = docs.select(col(id_column).alias("id"), col(text_column).alias("body"))
     marked, hits = contaminated_rows(named, items, text_column="body", keep=["id"], **options)
-    found = marked.select(ROW, "id", "_offers.n_words").join(hits, ROW, "left")
+    found = marked.select(ROW, "id", "offers.n_words").join(hits, ROW, "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return found.select(
