@@ -33,7 +33,7 @@ def odd_rows():
         (1, None), (2, ""), (3, "  \n\t "), (4, PROSE), (4, PROSE), (None, PROSE), (5, PROSE + "!"),
         (6, "a " * 30), (7, (PROSE + "\n") * 40), (8, " ".join(f"w{i}" for i in range(60_000))),
         (9, "x" * 5000), (10, "1 2 " * 3000 + "café naïve thé <|endoftext|> 's it's"),
-        (11, "mail a.b@c.de and +1 (555) 010-9999 or 10.0.0.256 10.0.0.25 4111 1111 1111 1111"),
+        (11, "mail a.b@c.de and +1 (555) 010-9999 or 10.0.0.256 10.0.0.25, 4111 1111 1111 1111"),
     ]
     return [(i, t, "en", "s", None if t is None else len(t)) for i, t in texts]
 

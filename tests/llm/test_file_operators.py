@@ -229,8 +229,8 @@ def test_plan_is_near_the_bound():
     assert used == histogram
 
 
-def test_pipeline_stages(shipped, documents, odd, clashing, none):
-    for docs in (documents, odd, clashing, none):
+def test_pipeline_stages(shipped, odd, clashing, none):
+    for docs in (odd, clashing, none):
         left = docs
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(shipped, left, SMALL)
