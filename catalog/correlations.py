@@ -26,6 +26,35 @@ def corr_pearson_wide(spark, sf_dir):
     return rounded(pairs, 6, "r")
 
 
+# On the rows where `near` is present, `far` lies a long way from its overall mean.
+_OFFSET = """
+select case when o_orderkey % 2 = 0 then 1e6 + o_totalprice / 7
+            else -1e6 - o_custkey end as far,
+       case when o_orderkey % 2 = 0 then o_totalprice end as near,
+       case when o_orderkey % 3 > 0 then o_custkey::double end as third
+from orders"""
+
+
+def offset_orders(spark, sf_dir):
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").select(
+        F.when(key % 2 == 0, 1e6 + price / 7).otherwise(-1e6 - F.col("o_custkey")).alias("far"),
+        F.when(key % 2 == 0, price).alias("near"),
+        F.when(key % 3 > 0, F.col("o_custkey").cast("double")).alias("third"),
+    )
+
+
+def _offset(name: str, wide: int) -> None:
+    @query(name, _ROUNDED.format(pairs_sql(f"({_OFFSET})", ["far", "near", "third"])))
+    def run(spark, sf_dir):
+        return rounded(
+            correlation.correlation_pairs(offset_orders(spark, sf_dir), wide=wide), 6, "r")
+
+
+_offset("corr_pearson_offset", 10_000)
+_offset("corr_pearson_wide_offset", 0)
+
+
 def spearman_sql(source: str, columns: list[str]) -> str:
     def rank(c: str) -> str:
         return f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0"

@@ -98,52 +98,103 @@ def _batched(rows: DataFrame, pairs: list[tuple[str, str]], gaps: set[str]) -> D
     return reduce(DataFrame.unionByName, batches)
 
 
-def _gram(rows: DataFrame, names: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
-    """Pearson for wide tables in one scan: each task adds up matrix products of its batches.
+def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a batch, 0 where missing, and which are present."""
+    x = np.column_stack(
+        [c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns]
+    )
+    present = ~np.isnan(x)
+    return np.where(present, x, 0.0), present
+
+
+def _pair_means(rows: DataFrame, k: int) -> np.ndarray:
+    """[a, b]: the mean of column a over the rows where a and b are present. One row per pair
+    of columns reaches the driver."""
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, plain = np.zeros((k, k)), np.zeros((k, k))
+        for batch in batches:
+            x, present = _matrix(batch)
+            m = present.astype(np.float64)
+            count += m.T @ m
+            plain += x.T @ m
+        yield pa.RecordBatch.from_pydict({
+            "cell": np.arange(k * k, dtype=np.int32), "n": count.ravel(), "s": plain.ravel(),
+        })
+
+    cells = rows.mapInArrow(add_up, "cell int, n double, s double").groupBy("cell").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
+    means = np.zeros(k * k)
+    for r in cells:
+        means[r["cell"]] = r["s"] / r["n"] if r["n"] else 0.0
+    return means.reshape(k, k)
 
-    With x the values (0 where missing) and m the presence mask, the products m'm, x'm,
-    (x*x)'m and x'x hold all that pairwise-complete correlation needs. A task emits one row
-    per pair, so the shuffle carries tasks x pairs rows whatever the table size.
+
+def _gram(
+    rows: DataFrame, names: list[str], pairs: list[tuple[str, str]], gaps: set[str]
+) -> DataFrame:
+    """Pearson for wide tables: each task adds up products of its batches.
+
+    Values are taken less their mean over the rows of the pair, so sums keep their digits
+    whatever lies on other rows. Without gaps that is the mean of the column, which the rows are
+    centred by, and matrix products do; with gaps one more pass finds the means of the pairs. A
+    task emits one row per pair, so the shuffle carries tasks x pairs rows whatever the table size.
     """
     k = len(names)
     at = {c: i for i, c in enumerate(names)}
     left = np.array([at[a] for a, _ in pairs])
     right = np.array([at[b] for _, b in pairs])
-    fields = ("n", "sa", "sb", "saa", "sbb", "sab")
+    means = _pair_means(rows, k) if gaps else np.zeros((k, k))
+    sums = ("n", "sa", "sb", "saa", "sbb", "sab")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, plain, square, cross = (np.zeros((k, k)) for _ in range(4))
+        total = {f: np.zeros((k, k)) for f in sums}
+        low, high = np.full((k, k), np.inf), np.full((k, k), -np.inf)
         for batch in batches:
-            x = np.column_stack(
-                [c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns]
-            )
-            m = ~np.isnan(x)
-            x = np.where(m, x, 0.0)
-            m = m.astype(np.float64)
-            count += m.T @ m
-            plain += x.T @ m
-            square += (x * x).T @ m
-            cross += x.T @ x
-        sums = {
+            x, present = _matrix(batch)
+            if not gaps:
+                ones = np.ones_like(x)
+                total["n"] += len(x)
+                total["sa"] += x.T @ ones
+                total["saa"] += (x * x).T @ ones
+                total["sab"] += x.T @ x
+                low = np.minimum(low, x.min(axis=0, initial=np.inf)[:, None])
+                high = np.maximum(high, x.max(axis=0, initial=-np.inf)[:, None])
+                continue
+            for a in range(k):
+                both = present & present[:, [a]]
+                own = np.where(both, x[:, [a]] - means[a], 0.0)
+                other = np.where(both, x - means[:, a], 0.0)
+                total["n"][a] += both.sum(axis=0)
+                total["sa"][a] += own.sum(axis=0)
+                total["saa"][a] += (own * own).sum(axis=0)
+                total["sab"][a] += (own * other).sum(axis=0)
+                value = x[:, [a]]
+                low[a] = np.minimum(
+                    low[a], np.where(both, value, np.inf).min(axis=0, initial=np.inf))
+                high[a] = np.maximum(
+                    high[a], np.where(both, value, -np.inf).max(axis=0, initial=-np.inf))
+        yield pa.RecordBatch.from_pydict({
             "pair": np.arange(len(pairs), dtype=np.int32),
-            "n": count[left, right],
-            "sa": plain[left, right], "sb": plain[right, left],
-            "saa": square[left, right], "sbb": square[right, left],
-            "sab": cross[left, right],
-        }
-        yield pa.RecordBatch.from_pydict(sums)
-
-    schema = "pair int, " + ", ".join(f"{f} double" for f in fields)
+            "n": total["n"][left, right],
+            "sa": total["sa"][left, right], "sb": total["sa"][right, left],
+            "saa": total["saa"][left, right], "sbb": total["saa"][right, left],
+            "sab": total["sab"][left, right],
+            "la": low[left, right], "ha": high[left, right],
+            "lb": low[right, left], "hb": high[right, left],
+        })
+
+    schema = "pair int, " + ", ".join(f"{f} double" for f in (*sums, "la", "ha", "lb", "hb"))
     summed = rows.mapInArrow(add_up, schema).groupBy("pair").agg(
-        *[F.sum(f).alias(f) for f in fields]
+        *[F.sum(f).alias(f) for f in sums],
+        *[F.min(f).alias(f) for f in ("la", "lb")], *[F.max(f).alias(f) for f in ("ha", "hb")],
     )
     n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
     va = F.col("saa") - F.try_divide(sa * sa, n)
     vb = F.col("sbb") - F.try_divide(sb * sb, n)
     cab = F.col("sab") - F.try_divide(sa * sb, n)
-    # What rounding leaves of a column that is constant on the rows of the pair.
-    flat = (va <= F.col("saa") * 1e-13) | (vb <= F.col("sbb") * 1e-13)
-    r = F.when(~flat, F.try_divide(cab, F.sqrt(va) * F.sqrt(vb)))
+    varies = (F.col("la") < F.col("ha")) & (F.col("lb") < F.col("hb"))
+    r = F.when(varies, F.try_divide(cab, F.sqrt(va) * F.sqrt(vb)))
     named = F.array(
         *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs]
     )
@@ -161,7 +212,8 @@ def _pearson_pairs(
     if sound:
         used = [c for c in names if c in varied]
         if len(sound) > wide:
-            parts.append(_gram(centred.select(*map(col, used)), used, sound))
+            parts.append(_gram(centred.select(*map(col, used)), used, sound,
+                               gaps & set(used)))
         else:
             parts.append(_batched(centred, sound, gaps))
     constant = [(a, b, None) for a, b in pairs if a not in varied or b not in varied]
