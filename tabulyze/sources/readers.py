@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tabulyze.functions.columns import col
+from tabulyze.functions.columns import col, free_name
 from tabulyze.operators.conversion import Plan, apply_plan, blank_na_tokens, detect_numbers
 
 Reader = Callable[[SparkSession, str], DataFrame]
 
-# Characters looked at to tell how a JSON file is laid out.
-JSON_HEAD = 4096
-
 
 def _exists(spark: SparkSession, path: str) -> None:
     try:
@@ -46,9 +42,13 @@ def read_delimited(
     encoding: str | None = None,
     multiline: bool | None = None,
     plan: Plan | None = None,
+    surplus: str | None = None,
 ) -> DataFrame:
     """Delimited text with a header, columns typed by their content.
 
+    A line with more fields than the header raises when it is read; with `surplus`, a column of
+    that name holds the first field beyond the header instead.
+
     Encoding falls back from UTF-8 to Latin-1. Files are split among tasks unless a quoted
     field spans lines. Both are found by one scan, the types by another; `encoding`,
     `multiline` and `plan` skip the scans.
@@ -58,12 +58,21 @@ def read_delimited(
         utf8, spans = text_facts(spark, path)
         encoding = encoding or ("UTF-8" if utf8 else "ISO-8859-1")
         multiline = spans if multiline is None else multiline
-    raw = (
+    reader = (
         spark.read.option("header", True).option("sep", sep)
         .option("quote", '"').option("escape", '"')
         .option("encoding", encoding).option("multiLine", multiline)
-        .csv(path)
     )
+    header = reader.csv(path).schema
+    extra = surplus or free_name("surplus", header.names)
+    raw = reader.schema(T.StructType([*header.fields, T.StructField(extra, T.StringType())])) \
+        .csv(path)
+    if surplus is None:
+        told = F.concat(F.lit(f"A line of {path} has more fields than the header: "), col(extra))
+        raw = raw.select(*[
+            F.when(col(extra).isNull(), col(c)).otherwise(F.raise_error(told)).alias(c)
+            for c in header.names
+        ])
     texts = blank_na_tokens(raw)
     return apply_plan(texts, detect_numbers(texts) if plan is None else plan)
 
@@ -85,18 +94,43 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def json_layout(spark: SparkSession, path: str) -> str:
-    """'records' for an array, 'columns' for {"col": {"0": v}}, else 'lines'."""
-    head = (
-        spark.read.text(path).filter(F.trim("value") != "")
-        .select(F.substring("value", 1, JSON_HEAD)).first()
+def _column_shaped(text: Column) -> Column:
+    """Every member an object, all with the same row numbers as keys."""
+    m = F.from_json(text, "map<string,map<string,string>>")
+    first = F.array_sort(F.map_keys(F.get(F.map_values(m), F.lit(0))))
+    return F.coalesce(
+        (F.size(m) > 0) & (F.size(first) > 0)
+        & F.forall(first, lambda k: k.rlike(r"^-?\d+$"))
+        & F.forall(F.map_values(m), lambda v: v.isNotNull()
+                   & F.coalesce(F.array_sort(F.map_keys(v)) == first, F.lit(False))),
+        F.lit(False),
     )
-    start = (head[0] if head else "").lstrip("\ufeff \t")
-    if start.startswith("["):
-        return "records"
-    if start == "{" or re.match(r'\{\s*"(\\.|[^"\\])*"\s*:\s*\{\s*"-?\d+"\s*:', start):
+
+
+def json_layout(spark: SparkSession, path: str) -> str:
+    """'records' for an array, 'columns' for {"col": {"0": v}}, else 'lines'.
+
+    All lines of all files are looked at. Lines that are objects by themselves are 'lines', unless
+    each file is a single one and column-shaped; otherwise whole files decide.
+    """
+    value = F.trim(F.ltrim(F.col("value"), F.lit("\ufeff")))
+    lines = spark.read.text(path).select(
+        value.alias("value"), F.input_file_name().alias("file")).filter("value <> ''")
+    alone = F.col("value").startswith("{") & F.try_parse_json("value").isNotNull()
+    n, files, all_alone, shaped = lines.agg(
+        F.count(F.lit(1)), F.count_distinct("file"), F.bool_and(alone),
+        F.bool_and(_column_shaped(F.col("value"))),
+    ).first()
+    if not n:
+        return "lines"
+    if all_alone:
+        return "columns" if n == files and shaped else "lines"
+    whole = spark.read.text(path, wholetext=True).select(value.alias("value"))
+    shaped = whole.filter("value <> ''").agg(F.bool_and(_column_shaped(F.col("value")))).first()[0]
+    if shaped:
         return "columns"
-    return "lines"
+    starts = whole.agg(F.bool_or(F.col("value").rlike(r"^\s*\["))).first()[0]
+    return "records" if starts or n > files else "lines"
 
 
 def _read_json_columns(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +138,8 @@ def _read_json_columns(spark: SparkSession, path: str) -> DataFrame:
     texts = spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("file"),
         F.from_json("value", "map<string,map<string,string>>").alias("m"),
-    )
+    ).withColumn("m", F.when(F.col("m").isNotNull(), F.col("m")).otherwise(F.raise_error(
+        F.concat(F.lit("Not column-oriented JSON: "), F.col("file")))))
     # The names of the columns, as many as the schema has.
     names = [
         row[0]
