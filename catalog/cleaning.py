@@ -27,7 +27,7 @@ def missing_drop(spark, sf_dir):
 def _filled(measure: str) -> str:
     return f"""
 with t as ({GAPPY_ORDERS})
-select o_orderkey::double as o_orderkey,
+select o_orderkey,
        round(coalesce(o_custkey::double, (select {measure.format('o_custkey')} from t)), 4)
          as o_custkey,
        round(coalesce(o_totalprice, (select {measure.format('o_totalprice')} from t)), 4)
@@ -48,6 +48,18 @@ def missing_fill_median(spark, sf_dir):
     return rounded(filled, 4, "o_custkey", "o_totalprice")
 
 
+@query("missing_fill_large_ids", f"""
+with t as ({GAPPY_ORDERS})
+select 9007199254740993 + o_orderkey as big,
+       round(coalesce(o_totalprice, (select avg(o_totalprice) from t)), 4) as o_totalprice
+from t""")
+def missing_fill_large_ids(spark, sf_dir):
+    """A column without a gap keeps every digit."""
+    orders = gappy_orders(spark, sf_dir).select(
+        (F.lit(9007199254740993) + F.col("o_orderkey")).alias("big"), "o_totalprice")
+    return rounded(missing.handle_missing(orders, "fill_mean"), 4, "o_totalprice")
+
+
 @query("missing_fill_mode", f"""
 with t as ({GAPPY_ORDERS})
 select o_orderkey, o_custkey, o_totalprice,

@@ -74,7 +74,7 @@ l as (
   union all
   select *, row_number() over (order by value nulls last, {tie})::int as rank from b)
 select side, rank, {keys}, round(value, {places}) as value,
-       count(*) over w as side_count, round(sum(value) over w, {places}) as side_total,
+       count(*) over w as side_count, round((sum(value) over w)::double, {places}) as side_total,
        round(case when {total} = 0 then 0 else sum(value) over w / {total} end, 8)
          as contribution
 from l window w as (partition by side)"""
@@ -89,7 +89,7 @@ def _listed(listed):
 
 def _top_grouped(aggregation: str, sql: str):
     @query(f"top_bottom_grouped_{aggregation}" if aggregation != "sum" else "top_bottom_grouped",
-           _sides(f"select l_partkey, {sql}::double as value from lineitem group by l_partkey",
+           _sides(f"select l_partkey, {sql} as value from lineitem group by l_partkey",
                   "l_partkey", "l_partkey", _TOTAL))
     def run(spark, sf_dir):
         lines = table(spark, sf_dir, "lineitem")
@@ -127,6 +127,17 @@ def top_bottom_direct(spark, sf_dir):
     return _listed(ranking.top_bottom(lines, "l_extendedprice", keys=LINE_KEYS))
 
 
+@query("top_bottom_large_numbers", _sides(
+    "select o_orderkey, 9007199254740993 + o_orderkey as value from orders",
+    "o_orderkey", "o_orderkey", _TOTAL, 0))
+def top_bottom_large_numbers(spark, sf_dir):
+    """Whole numbers beyond what a double can tell apart."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.lit(9007199254740993) + F.col("o_orderkey")).alias("v"))
+    listed = ranking.top_bottom(orders, "v", keys=["o_orderkey"])
+    return rounded(rounded(listed, 0, "side_total"), 8, "contribution")
+
+
 @query("top_bottom_contribution", f"""
 select distinct side, side_count, side_total, contribution from ({_sides(
     "select l_suppkey, sum(l_extendedprice) as value from lineitem group by l_suppkey",

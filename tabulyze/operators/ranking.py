@@ -94,7 +94,7 @@ def _ranked(rows: DataFrame, order: Sequence[Column], side: str) -> DataFrame:
 
 def _with_side_totals(listed: DataFrame, total: Column) -> DataFrame:
     side = W.partitionBy("side")
-    side_total = F.sum("value").over(side)
+    side_total = F.sum(F.col("value").cast("double")).over(side)
     share = F.when(total == 0, F.lit(0.0)).otherwise(safe_divide(side_total, total))
     return listed.withColumns(
         {
@@ -125,7 +125,7 @@ def top_bottom(
     if group_by:
         rows = group_measure(df, group_by, column, aggregation, "__measure").select(
             col(group_by).alias(listed_name(group_by)),
-            F.col("__measure").cast("double").alias("value"),
+            F.col("__measure").alias("value"),
         )
         names = [listed_name(group_by)]
     else:
@@ -133,7 +133,7 @@ def top_bottom(
         names = [listed_name(k) for k in key_columns]
         rows = nan_to_null(df).filter(~is_missing(df, column)).select(
             *[col(k).alias(listed_name(k)) for k in key_columns],
-            as_double(column).alias("value"),
+            col(column).alias("value"),
         )
     ties = [col(k) for k in names]
     high = [F.col("value").desc_nulls_last(), *[c.asc() for c in ties]]
@@ -142,7 +142,7 @@ def top_bottom(
     shown_low = [F.col("value").asc_nulls_last(), *[c.asc() for c in ties]]
     top = _ranked(rows.orderBy(*high).limit(top_n), high, "top")
     bottom = _ranked(rows.orderBy(*low).limit(bottom_n), shown_low, "bottom")
-    total = F.coalesce(rows.agg(F.sum("value")).scalar(), F.lit(0.0))
+    total = F.coalesce(rows.agg(F.sum(F.col("value").cast("double"))).scalar(), F.lit(0.0))
     return _with_side_totals(top.unionByName(bottom), total)
 
 
