@@ -95,21 +95,30 @@ def parse_integer(c: Column) -> Column:
     return F.when(c.rlike(_INTEGER), c.try_cast("bigint"))
 
 
+def _iso(c: Column, pattern: str) -> Column:
+    """Text of a listed layout in the form that a cast reads, without going by a time zone."""
+    if not pattern.startswith("M/d/yyyy"):
+        return c
+    day = F.regexp_replace(c, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
+    return F.concat(day, F.lit(":00")) if "H:mm" in pattern else day
+
+
 def parse_timestamp(c: Column, pattern: str | None = None) -> Column:
     """Text as a zone-less timestamp; unparsable text becomes NULL.
 
-    Without a pattern each value takes the first layout of DATE_PATTERNS that fits.
+    Without a pattern each value takes the first layout of DATE_PATTERNS that fits. Listed layouts
+    are read as they stand, whatever the session's zone; others go by Spark's parser.
     """
     patterns = (pattern,) if pattern else DATE_PATTERNS
     tried = []
     for p in patterns:
-        parsed = F.try_to_timestamp(c, F.lit(p))
         if p in DATE_LAYOUTS:
             shortest, longest, shape = DATE_LAYOUTS[p]
             fits = F.length(c).between(shortest, longest) & c.rlike(shape)
-            parsed = F.when(fits, parsed)
-        tried.append(parsed)
-    return (tried[0] if len(tried) == 1 else F.coalesce(*tried)).cast("timestamp_ntz")
+            tried.append(F.when(fits, _iso(c, p).try_cast("timestamp_ntz")))
+        else:
+            tried.append(F.try_to_timestamp(c, F.lit(p)).cast("timestamp_ntz"))
+    return tried[0] if len(tried) == 1 else F.coalesce(*tried)
 
 
 def clean_currency(c: Column) -> Column:

@@ -102,6 +102,8 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     low, high = rows.agg(F.min("v"), F.max("v")).first()
     if low is None:
         raise ValueError(f"No valid data in column '{column}'")
+    if not (math.isfinite(low) and math.isfinite(high)):
+        raise ValueError(f"Column '{column}' holds values that are not finite")
     if low == high:
         low, high = low - 0.5, high + 0.5
     width = (high - low) / bins

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 from collections.abc import Iterable, Sequence
 from functools import reduce
 from operator import and_
@@ -35,17 +36,29 @@ def numeric_range(
     return _all(parts)
 
 
+def _can_hold(dtype: T.DataType, value: Any) -> bool:
+    if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
+        return isinstance(value, str)
+    if isinstance(dtype, T.NumericType):
+        return isinstance(value, (int, float, Decimal))
+    return True
+
+
 def in_values(df: DataFrame, column: str, values: Iterable[Any] | None) -> Column:
-    """Membership; an empty list keeps all rows, a None in the list keeps missing ones."""
+    """Membership; an empty list keeps all rows, a None in the list keeps missing ones.
+
+    Values that the column's type cannot hold match nothing.
+    """
     require_columns(df, column)
     wanted = list(values or [])
     if not wanted:
         return F.lit(True)
     c = col(column)
-    present = [v for v in wanted if v is not None and v == v]
+    given = [v for v in wanted if v is not None and v == v]
+    present = [v for v in given if _can_hold(df.schema[column].dataType, v)]
     keep = F.coalesce(c.isin(*present), F.lit(False)) if present else F.lit(False)
-    if len(present) == len(wanted):
-        return c.isin(*present)
+    if len(given) == len(wanted):
+        return c.isin(*present) if present else F.lit(False)
     missing = c.isNull()
     if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
         missing = missing | F.isnan(c)
