@@ -299,7 +299,7 @@ def _score(part: Slice, model: Model, options: ClassOptions) -> list[pa.Array]:
     known = at >= 0
     logs = np.log10(model.core.counts + 1.0) if len(model.core.counts) else np.zeros(1)
     ends_known = int(model.end_count > 0)
-    log_counts = np.bincount(text, np.where(known, logs[at], 0.0), len(part))
+    log_counts = np.bincount(text, np.where(known, logs[at], 0.0), len(part)).astype(np.float64)
     log_counts += np.log10(model.end_count + 1.0)
     classes = model.class_of[line]
     terms = model.follow[np.append(options.classes, classes[:-1]), classes] \
