@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from catalog.registry import GAPPY_ORDERS, gappy_orders, query, rounded, table
 from tabulyze.functions import order_stats
 from tabulyze.operators import correlation, profile
@@ -182,9 +184,19 @@ def exact_quantiles_at_scale(spark, sf_dir):
     return rounded(found, 4, "quantile")
 
 
-@query("approximate_quantiles")
+@query("approximate_quantiles", """
+select unnest([0.1, 0.25, 0.5, 0.75, 0.99])::double as probability, true as within""")
 def approximate_quantiles(spark, sf_dir):
+    """Whether the rank of each sketched value lies within a thousandth of the rows."""
     lines = table(spark, sf_dir, "lineitem")
-    return order_stats.approximate_quantiles(lines, "l_extendedprice", _PROBS, 1000)
+    found = order_stats.approximate_quantiles(lines, "l_extendedprice", _PROBS, 1000).collect()
+    price, n, slack = F.col("l_extendedprice"), F.count("l_extendedprice"), 1 / 1000
+    return lines.agg(F.array(*[
+        F.struct(
+            F.lit(float(p)).alias("probability"),
+            ((F.count_if(price < F.lit(q)) <= (p + slack) * n)
+             & (F.count_if(price <= F.lit(q)) >= (p - slack) * n)).alias("within"))
+        for p, q in found
+    ]).alias("r")).select(F.inline("r"))
 
 

@@ -38,24 +38,22 @@ def events(spark):
 
 
 @pytest.fixture(scope="session")
-def employees(spark):
+def parcels(spark):
     rows = [
-        (1, "Alice", 25, 50000, "HR", "2020-01-01"),
-        (2, "Bob", 30, 60000, "IT", "2020-01-02"),
-        (3, "Cara", 35, 70000, "IT", "2020-01-03"),
-        (4, "Dan", 40, 80000, "Finance", "2020-01-04"),
-        (5, "Eve", 45, 90000, "HR", "2020-01-05"),
+        (11, "Nord", 3, 120, "north", "2021-06-01"), (12, "Kite", 8, 75, "south", "2021-06-03"),
+        (13, "Otter", 8, 310, "south", "2021-06-04"), (14, "Reed", 15, 95, "west", "2021-06-09"),
+        (15, "Moss", 22, 60, "north", "2021-06-12"), (16, "Fern", 30, 15, "south", "2021-07-01"),
     ]
-    schema = "id long, name string, age long, salary long, department string, hire_date string"
+    schema = "id long, carrier string, weight long, price long, depot string, sent string"
     return spark.createDataFrame(rows, schema).withColumn(
-        "hire_date", F.col("hire_date").cast("timestamp_ntz")
+        "sent", F.col("sent").cast("timestamp_ntz")
     )
 
 
 @pytest.fixture(scope="session")
-def with_missing(spark):
+def readings(spark):
     return spark.createDataFrame(
-        [(1.0, "a", 10.5), (2.0, "b", None), (None, "c", 30.5), (4.0, None, 40.5),
-         (5.0, "e", 50.5)],
-        "col1 double, col2 string, col3 double",
+        [(4.0, "up", 1.5), (None, "up", 2.5), (8.0, None, None), (6.0, "down", 7.0),
+         (2.0, "mid", None), (10.0, "up", 3.0)],
+        "level double, tag string, flow double",
     )

@@ -6,22 +6,22 @@ import pytest
 from tabulyze.operators import conversion, missing, outliers
 
 
-def test_missing_strategies(with_missing):
+def test_missing_strategies(readings):
     def gaps(df):
         return int(df.toPandas().isna().sum().sum())
 
-    assert gaps(missing.handle_missing(with_missing, "none")) == 3
-    assert gaps(missing.handle_missing(with_missing, "whatever")) == 3
-    assert missing.handle_missing(with_missing, "drop").count() == 2
-    mean = missing.handle_missing(with_missing, "fill_mean").toPandas()
-    assert mean["col1"].tolist() == [1, 2, 3, 4, 5]
-    assert mean["col3"].tolist() == [10.5, 33.0, 30.5, 40.5, 50.5]
-    assert mean["col2"].isna().sum() == 1
-    median = missing.handle_missing(with_missing, "fill_median").toPandas()
-    assert median["col1"].tolist() == [1, 2, 3, 4, 5]
-    assert median["col3"].tolist() == [10.5, 35.5, 30.5, 40.5, 50.5]
-    mode = missing.handle_missing(with_missing, "fill_mode").toPandas()
-    assert mode["col2"].tolist() == ["a", "b", "c", "a", "e"]
+    assert gaps(missing.handle_missing(readings, "none")) == 4
+    assert gaps(missing.handle_missing(readings, "whatever")) == 4
+    assert missing.handle_missing(readings, "drop").count() == 3
+    mean = missing.handle_missing(readings, "fill_mean").toPandas()
+    assert mean["level"].tolist() == [4, 6, 8, 6, 2, 10]
+    assert mean["flow"].tolist() == [1.5, 2.5, 3.5, 7.0, 3.5, 3.0]
+    assert mean["tag"].isna().sum() == 1
+    median = missing.handle_missing(readings, "fill_median").toPandas()
+    assert median["level"].tolist() == [4, 6, 8, 6, 2, 10]
+    assert median["flow"].tolist() == [1.5, 2.5, 2.75, 7.0, 2.75, 3.0]
+    mode = missing.handle_missing(readings, "fill_mode").toPandas()
+    assert mode["tag"].tolist() == ["up", "up", "up", "down", "mid", "up"]
 
 
 def test_nan_is_missing(spark):

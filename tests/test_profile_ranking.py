@@ -5,15 +5,15 @@ from pyspark.sql import functions as F
 from tabulyze.operators import profile, ranking
 
 
-def test_basic_info(employees):
-    rows = profile.basic_info(employees).collect()
-    assert [(r["column"], r["type"]) for r in rows] == employees.dtypes
-    assert {(r["rows"], r["columns"]) for r in rows} == {(5, 6)}
+def test_basic_info(parcels):
+    rows = profile.basic_info(parcels).collect()
+    assert [(r["column"], r["type"]) for r in rows] == parcels.dtypes
+    assert {(r["rows"], r["columns"]) for r in rows} == {(6, 6)}
 
 
-def test_missing_report(with_missing):
-    rows = [tuple(r) for r in profile.missing_report(with_missing).collect()]
-    assert rows == [("col1", 1, 20.0), ("col2", 1, 20.0), ("col3", 1, 20.0)]
+def test_missing_report(readings):
+    rows = [tuple(r) for r in profile.missing_report(readings).collect()]
+    assert rows == [("flow", 2, 33.33), ("level", 1, 16.67), ("tag", 1, 16.67)]
 
 
 def test_missing_report_counts_nan(spark):
@@ -39,11 +39,12 @@ def test_summaries_of_tables_without_such_columns(spark):
     assert profile.full_profile(df).filter("section = 'correlation_matrix'").count() == 0
 
 
-def test_text_summary(employees):
-    rows = profile.text_summary(employees).filter("column = 'department'").orderBy("rank")
+def test_text_summary(parcels):
+    rows = profile.text_summary(parcels).filter("column = 'depot'").orderBy("rank")
     assert [(r.unique_count, r.top_value, r.top_frequency, r.rank, r.value, r.n)
             for r in rows.collect()] == [
-        (3, "HR", 2, 1, "HR", 2), (3, "HR", 2, 2, "IT", 2), (3, "HR", 2, 3, "Finance", 1),
+        (3, "south", 3, 1, "south", 3), (3, "south", 3, 2, "north", 2),
+        (3, "south", 3, 3, "west", 1),
     ]
 
 

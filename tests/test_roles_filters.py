@@ -7,10 +7,10 @@ from tabulyze.functions.columns import column_types
 from tabulyze.operators import filters, roles
 
 
-def test_roles(employees, spark):
-    assert column_types(employees) == {
-        "numerical": ["id", "age", "salary"], "categorical": ["name", "department"],
-        "datetime": ["hire_date"],
+def test_roles(parcels, spark):
+    assert column_types(parcels) == {
+        "numerical": ["id", "weight", "price"], "categorical": ["carrier", "depot"],
+        "datetime": ["sent"],
     }
     odd = spark.sql(
         "select true as b, array(1) as a, 1.5BD as d, date'2024-01-01' as day, "
@@ -22,20 +22,20 @@ def test_roles(employees, spark):
     assert [r["column"] for r in roles.column_roles(odd).collect()] == ["d", "day", "ts"]
 
 
-def test_require_columns(employees):
-    roles.require_columns(employees, "age")
-    with pytest.raises(ValueError, match="Columns not found in DataFrame: nope, Age"):
-        roles.require_columns(employees, ["age", "nope", "Age"])
+def test_require_columns(parcels):
+    roles.require_columns(parcels, "weight")
+    with pytest.raises(ValueError, match="Columns not found in DataFrame: nope, Weight"):
+        roles.require_columns(parcels, ["weight", "nope", "Weight"])
 
 
-def test_require_nonempty(employees, spark):
-    roles.require_nonempty(employees)
+def test_require_nonempty(parcels, spark):
+    roles.require_nonempty(parcels)
     with pytest.raises(ValueError, match="cannot be None"):
         roles.require_nonempty(None)
     with pytest.raises(ValueError, match="Expected a Spark DataFrame"):
         roles.require_nonempty([1])
     with pytest.raises(ValueError, match="DataFrame is empty"):
-        roles.require_nonempty(employees.limit(0))
+        roles.require_nonempty(parcels.limit(0))
 
 
 def test_odd_names(spark):
@@ -45,10 +45,10 @@ def test_odd_names(spark):
     assert roles.select_numeric(df).columns == ["a.b c"]
 
 
-@pytest.mark.parametrize("low, high, rows", [(30, None, 4), (None, 35, 3), (30, 40, 3),
-                                             (None, None, 5)])
-def test_numeric_range(employees, low, high, rows):
-    assert filters.filter_numeric_range(employees, "age", low, high).count() == rows
+@pytest.mark.parametrize("low, high, rows", [(8, None, 5), (None, 8, 3), (8, 22, 4),
+                                             (None, None, 6)])
+def test_numeric_range(parcels, low, high, rows):
+    assert filters.filter_numeric_range(parcels, "weight", low, high).count() == rows
 
 
 def test_numeric_range_missing(spark):
@@ -57,21 +57,22 @@ def test_numeric_range_missing(spark):
     assert filters.filter_numeric_range(df, "v", 0).count() == 1
 
 
-@pytest.mark.parametrize("values, rows", [(["IT", "HR"], 4), ([], 5), (None, 5), (["none"], 0)])
-def test_in_values(employees, values, rows):
-    assert filters.filter_in_values(employees, "department", values).count() == rows
+@pytest.mark.parametrize("values, rows", [(["south", "west"], 4), ([], 6), (None, 6),
+                                          (["none"], 0)])
+def test_in_values(parcels, values, rows):
+    assert filters.filter_in_values(parcels, "depot", values).count() == rows
 
 
-def test_in_values_missing(with_missing):
-    assert filters.filter_in_values(with_missing, "col2", ["a", None]).count() == 2
-    assert filters.filter_in_values(with_missing, "col2", [None]).count() == 1
+def test_in_values_missing(readings):
+    assert filters.filter_in_values(readings, "tag", ["up", None]).count() == 4
+    assert filters.filter_in_values(readings, "tag", [None]).count() == 1
 
 
-def test_date_range(employees):
-    day = dt.date(2020, 1, 2)
-    assert filters.filter_date_range(employees, "hire_date", day, "2020-01-04").count() == 3
-    end = dt.datetime(2020, 1, 4)
-    assert filters.filter_date_range(employees, "hire_date", end_date=end).count() == 4
+def test_date_range(parcels):
+    day = dt.date(2021, 6, 3)
+    assert filters.filter_date_range(parcels, "sent", day, "2021-06-09").count() == 3
+    end = dt.datetime(2021, 6, 9)
+    assert filters.filter_date_range(parcels, "sent", end_date=end).count() == 4
 
 
 def test_bare_end_date_is_midnight(spark):
@@ -86,20 +87,20 @@ def test_date_range_on_text(spark):
     assert filters.filter_date_range(df, "d").count() == 3
 
 
-def test_compose(employees):
+def test_compose(parcels):
     specs = [
-        {"type": "numerical", "column": "age", "min_val": 30},
-        {"type": "categorical", "column": "department", "values": ["IT"]},
+        {"type": "numerical", "column": "weight", "min_val": 8},
+        {"type": "categorical", "column": "depot", "values": ["south"]},
         {"type": "unknown", "column": "nowhere"},
-        {"type": "date", "column": "hire_date", "start_date": "2020-01-03"},
+        {"type": "date", "column": "sent", "start_date": "2021-06-20"},
     ]
-    assert [r["name"] for r in filters.apply_filters(employees, specs).collect()] == ["Cara"]
-    assert filters.filter_row_counts(employees, specs).first().asDict() == {
-        "total": 5, "remaining": 1,
+    assert [r["carrier"] for r in filters.apply_filters(parcels, specs).collect()] == ["Fern"]
+    assert filters.filter_row_counts(parcels, specs).first().asDict() == {
+        "total": 6, "remaining": 1,
     }
-    assert filters.apply_filters(employees, []).count() == 5
+    assert filters.apply_filters(parcels, []).count() == 6
     with pytest.raises(ValueError, match="Columns not found"):
-        filters.apply_filters(employees, [{"type": "numerical", "column": "zzz", "min_val": 1}])
+        filters.apply_filters(parcels, [{"type": "numerical", "column": "zzz", "min_val": 1}])
 
 
 def test_filters_reach_the_scan(spark, lines):
