@@ -76,12 +76,12 @@ def test_json_columns_with_gaps(spark, tmp_path):
     assert rows == [(1.5, None), (None, "y")]
 
 
-def test_dispatch(spark, tmp_path, employees):
+def test_dispatch(spark, tmp_path, parcels):
     path = write(tmp_path, "A.CSV", "x\n1\n")
     assert load_table(spark, path).count() == 1
     parquet = str(tmp_path / "e.parquet")
-    employees.write.parquet(parquet)
-    assert load_table(spark, parquet).count() == 5
+    parcels.write.parquet(parquet)
+    assert load_table(spark, parquet).count() == 6
     with pytest.raises(FileNotFoundError, match="File not found"):
         load_table(spark, str(tmp_path / "nonexistent.csv"))
     for name in ("a.txt", "b.xlsx", "plain"):

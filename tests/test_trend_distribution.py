@@ -120,9 +120,9 @@ def test_shapes(spark, skew, kurt, label):
     assert spark.range(1).select(made).first()[0] == label
 
 
-def test_categorical_distribution(employees):
-    row = distribution.categorical_distribution(employees, "department").first()
-    assert tuple(row)[:-1] == (5, 3, "HR", 2, 0.4, "Finance", 1)
+def test_categorical_distribution(parcels):
+    row = distribution.categorical_distribution(parcels, "depot").first()
+    assert tuple(row)[:-1] == (6, 3, "south", 3, 0.5, "west", 1)
 
 
 @pytest.mark.parametrize("bins", [1, 7, 30])
