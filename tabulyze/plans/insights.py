@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulyze.functions.columns import (
@@ -314,7 +314,8 @@ class InsightRegistry:
         """All insights that the column roles allow: `insight`, `metric`, `value`, `text`.
 
         The first numeric column is ranked, described and searched for anomalies; with two
-        numeric columns come correlations, with a date the trend. One that fails is left out.
+        numeric columns come correlations, with a date the trend. One that the table's columns do
+        not allow is left out; a failure while Spark runs is raised.
         """
         roles = column_types(df)
         numeric, dates = roles[NUMERICAL], roles[DATETIME]
@@ -330,7 +331,7 @@ class InsightRegistry:
             try:
                 part = self.generate(name, df, **options, **(config or {}).get(name, {}))
                 parts.append(part.select(F.lit(name).alias("insight"), "metric", "value", "text"))
-            except (ValueError, TypeError, PySparkException) as error:
+            except (ValueError, TypeError, AnalysisException) as error:
                 log.warning("Could not generate %s insight: %s", name, error)
         if not parts:
             return df.sparkSession.createDataFrame([], "insight string, " + INSIGHT_SCHEMA)

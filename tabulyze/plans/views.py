@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from tabulyze.functions.columns import (
-    CATEGORICAL, DATETIME, NUMERICAL, col, column_types, complete_rows,
+    CATEGORICAL, DATETIME, NUMERICAL, col, column_types, complete_rows, free_name,
 )
 from tabulyze.operators.correlation import correlation_matrix
 from tabulyze.operators.distribution import box_stats, density_curve, histogram
@@ -72,11 +72,12 @@ def scatter_view(
 
 
 def scatter_trendline_over(points: DataFrame, x_column: str, y_column: str) -> DataFrame:
-    """Fitted values on points that carry further columns."""
+    """Fitted values on points that carry further columns, none of which is replaced."""
     x, y = col(x_column).cast("double"), col(y_column).cast("double")
     slope, intercept = points.agg(F.regr_slope(y, x), F.regr_intercept(y, x)).first()
     return points.withColumn(
-        "fitted", F.lit(intercept).cast("double") + F.lit(slope).cast("double") * x
+        free_name("fitted", points.columns),
+        F.lit(intercept).cast("double") + F.lit(slope).cast("double") * x,
     )
 
 

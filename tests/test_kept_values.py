@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulyze.functions.text import parse_timestamp
 from tabulyze.operators import correlation, distribution, filters, missing, ranking
+from tabulyze.plans.views import scatter_view
 from tabulyze.sources import readers
 
 BIG = 9007199254740993
@@ -137,3 +138,11 @@ def test_broken_column_json_raises(spark, tmp_path):
     path = write(tmp_path, a_json='{"a": {"0": 1}, "b": {"0": 3}}', b_json='{"a": {"0": 1}, "b"')
     with pytest.raises(Exception, match="Not column-oriented"):
         readers.read_json(spark, path, layout="columns").collect()
+
+
+def test_trendline_keeps_a_column_called_fitted(spark):
+    df = spark.createDataFrame([(1.0, 2.0, "a"), (2.0, 4.0, "b")],
+                               "x double, y double, fitted string")
+    points = scatter_view(df, "x", "y", color_column="fitted", show_trend=True)
+    assert sorted(r.fitted for r in points.collect()) == ["a", "b"]
+    assert "fitted_" in points.columns
