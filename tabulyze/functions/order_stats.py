@@ -10,10 +10,11 @@ the cuts decide how work is split, never what is returned.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -55,7 +56,7 @@ def _scan(
     """
     merge = {"count": F.count, "min": F.min, "max": F.max}
     asks = [merge[kind](c).alias(f"f{i}") for i, (kind, c) in enumerate(facts)]
-    if rows <= tree_rows:
+    if rows <= tree_rows or not sketches:
         asks += [
             F.percentile_approx(c, doubles(shares), accuracy).alias(f"q{i}")
             for i, (c, shares) in enumerate(sketches)
@@ -67,7 +68,8 @@ def _scan(
             F.struct(
                 F.lit(i).alias("i"),
                 F.percentile_approx(c, doubles(_even(grid)), 2 * grid).alias("q"),
-                F.greatest(F.floor(F.count(c) / (grid + 1)), F.lit(1)).alias("w"),
+                # Every part hands on as many points, so each weighs as the part has rows.
+                F.count(c).alias("w"),
             ).alias(f"s{i}")
             for i, (c, _) in enumerate(sketches)
         ]
@@ -99,26 +101,39 @@ def _scan(
     )
 
 
+def _middle(low: float, high: float) -> float:
+    """A double halfway between two others in the order of doubles; `low` if none lies between."""
+
+    def place(x: float) -> int:
+        bits = struct.unpack("<q", struct.pack("<d", x))[0]
+        return bits if bits >= 0 else -(bits & 0x7FFF_FFFF_FFFF_FFFF)
+
+    at = (place(low) + place(high)) // 2
+    size = struct.unpack("<d", struct.pack("<q", abs(at)))[0]
+    return math.copysign(size, at)
+
+
 @dataclass
 class _Wanted:
-    """One quantile. Ranks k0 and k1 lie between `low` and `high`, with `below` rows under low.
+    """One quantile, the mean of ranks k0 and k1.
 
-    `lo` and `hi` are a narrower guess, with some `expected` rows inside. Once counting has
-    confirmed it, it is `sure`. `last` marks a guess that is not to be narrowed any more.
+    Both ranks lie strictly between `low` and `high` (None is no end): `below` rows come before
+    that range, `inside` rows are in it. `lo` and `hi` guess a narrower range; counting decides in
+    which part the ranks are. Ranks on either side of a limit are `apart`: the largest value of one
+    range and the smallest of the next.
     """
 
     column: str
     p: float
     n: int
-    low: float | None
-    high: float | None
+    inside: int
     below: int = 0
-    inside: int = 0
+    low: float | None = None
+    high: float | None = None
     lo: float | None = None
     hi: float | None = None
     expected: float = 0.0
-    sure: bool = False
-    last: bool = False
+    apart: list[tuple[float | None, float | None]] | None = None
     value: float | None = None
 
     @property
@@ -129,75 +144,100 @@ class _Wanted:
     def k1(self) -> int:
         return math.ceil(self.p * (self.n - 1))
 
-    @property
-    def open(self) -> bool:
-        return self.n > 0 and self.value is None
-
-    def between(self) -> Column:
-        return as_double(self.column).between(self.lo, self.hi)
-
-    def wide(self, limit: int) -> bool:
-        return not (self.sure or self.last or self.lo == self.hi) and self.expected > limit
-
-    def accept(self, below: int, inside: int) -> None:
-        """Take the counts around the guess; a guess that missed the ranks is given up."""
-        if below <= self.k0 and self.k1 < below + inside:
-            # Where few values hold all rows, guesses stop shrinking.
-            self.last = self.last or inside > self.inside / 2
-            self.low, self.high, self.below, self.inside = self.lo, self.hi, below, inside
-            if self.lo == self.hi:
-                self.value = self.lo
-        else:
-            self.lo, self.hi, self.last = self.low, self.high, True
-        self.sure = True
+    def between(self, low: float | None, high: float | None) -> Column:
+        """Rows strictly inside a range; a range from x to x is the value x."""
+        v = as_double(self.column)
+        if low is not None and low == high:
+            return v == low
+        ends = [v > low] if low is not None else []
+        ends += [v < high] if high is not None else []
+        return reduce(and_, ends) if ends else v.isNotNull()
+
+    def guess(self, lo: float, hi: float, expected: float) -> None:
+        """Take a guess, or the middle of the range where it has no limit inside the range."""
+        low = -math.inf if self.low is None else self.low
+        high = math.inf if self.high is None else self.high
+        if not (low < lo <= hi < high):
+            inner = [x for x in (lo, hi) if low < x < high]
+            lo = hi = inner[0] if inner else _middle(low, high)
+            expected = self.inside
+        self.lo, self.hi, self.expected = lo, hi, expected
+
+    def parts(self) -> list[tuple[float | None, float | None]]:
+        """The ranges that the guess cuts `low` to `high` into, in order."""
+        if self.lo == self.hi:
+            return [(self.low, self.lo), (self.lo, self.lo), (self.lo, self.high)]
+        return [(self.low, self.lo), (self.lo, self.lo), (self.lo, self.hi),
+                (self.hi, self.hi), (self.hi, self.high)]
+
+    def accept(self, counts: Sequence[int]) -> bool:
+        """Take the counts of all parts but the last; whether the ranks are inside the guess."""
+        parts, ends = self.parts(), list(counts)
+        ends.append(self.inside - sum(ends))
+        start, found = self.below, []
+        for part, n in zip(parts, ends):
+            found += [(part, start, n)] * sum(start <= k < start + n for k in {self.k0, self.k1})
+            start += n
+        was = self.inside
+        if len(found) == 2 and found[0] != found[1]:
+            self.apart = [found[0][0], found[1][0]]
+            return False
+        (low, high), self.below, self.inside = found[0]
+        if low is not None and low == high:
+            self.value = low
+            return False
+        hit = (low, high) == (self.lo, self.hi)
+        self.low, self.high, self.lo, self.hi = low, high, None, None
+        if self.inside > was / 2:
+            low = -math.inf if low is None else low
+            high = math.inf if high is None else high
+            self.guess(_middle(low, high), _middle(low, high), self.inside)
+        return hit
 
 
 def _interpolate(a: float, b: float, position: float) -> float:
-    return a + (b - a) * (position - math.floor(position))
+    return a if a == b else a + (b - a) * (position - math.floor(position))
 
 
-def _guess(w: _Wanted, grid: Sequence[float], margin: float) -> None:
-    """Narrow the guess to the grid points that enclose the ranks by `margin`."""
+def _from_grid(w: _Wanted, grid: Sequence[float]) -> None:
+    """Narrow the guess to the points of an even grid that enclose the ranks with a margin."""
     points = len(grid) - 1
+    margin = 4 / TREE_GRID
     span = max(w.inside - 1, 1)
     first = max(math.floor(((w.k0 - w.below) / span - margin) * points), 0)
     last = min(math.ceil(((w.k1 - w.below) / span + margin) * points), points)
-    w.lo, w.hi, w.sure = grid[first], grid[last], False
-    w.expected = w.inside * (last - first + 2) / points
-
-
-def _around(w: _Wanted) -> list[tuple[str, Column]]:
-    return [("count", F.when(as_double(w.column) < w.lo, 1)), ("count", F.when(w.between(), 1))]
-
-
-def _verify(df: DataFrame, wanted: list[_Wanted]) -> None:
-    """Count below and inside each guess."""
-    facts = [f for w in wanted for f in _around(w)]
-    counts, _ = _scan(df, facts, [], 0, SKETCH_ACCURACY, TREE_ROWS)
-    for i, w in enumerate(wanted):
-        w.accept(*counts[2 * i:2 * i + 2])
+    w.guess(grid[first], grid[last], w.inside * (last - first + 2) / points)
 
 
 def _narrow(
-    df: DataFrame, wanted: list[_Wanted], rows: int, accuracy: int, tree_rows: int
+    df: DataFrame, wanted: list[_Wanted], limit: int, rows: int, accuracy: int, tree_rows: int
 ) -> None:
-    """Count around each guess and sketch what lies inside it, in one pass."""
-    facts = [f for w in wanted for f in _around(w)]
+    """Count around each guess and, where many rows lie inside, sketch these in the same pass."""
+    facts = [("count", F.when(w.between(*part), 1))
+             for w in wanted if w.lo is not None for part in w.parts()[:-1]]
+    asked = [w for w in wanted if w.lo is None or (w.lo < w.hi and w.expected > limit)]
     sketches = [
-        (F.when(w.between(), as_double(w.column)), _even(TREE_GRID)) for w in wanted
+        (F.when(w.between(*((w.low, w.high) if w.lo is None else (w.lo, w.hi))),
+                as_double(w.column)), _even(TREE_GRID))
+        for w in asked
     ]
     counts, grids = _scan(df, facts, sketches, rows, accuracy, tree_rows)
-    for i, (w, grid) in enumerate(zip(wanted, grids)):
-        guessed = w.lo
-        w.accept(*counts[2 * i:2 * i + 2])
-        if w.open and w.low == guessed and not w.last:
-            _guess(w, grid, 4 / TREE_GRID)
+    at, grid_of = 0, {id(w): grid for w, grid in zip(asked, grids)}
+    for w in wanted:
+        inside = w.lo is None
+        if not inside:
+            size = len(w.parts()) - 1
+            inside = w.accept(counts[at:at + size])
+            at += size
+        if inside and w.lo is None and w.inside > limit and (grid := grid_of.get(id(w))):
+            _from_grid(w, grid)
 
 
 def _finish(df: DataFrame, wanted: list[_Wanted]) -> None:
-    """Read the rows inside the confirmed guesses and take the exact ranks."""
+    """Read the few rows inside the ranges and take the exact ranks."""
     tagged = [
-        F.when(w.between(), F.struct(F.lit(i).alias("t"), as_double(w.column).alias("v")))
+        F.when(w.between(w.low, w.high),
+               F.struct(F.lit(i).alias("t"), as_double(w.column).alias("v")))
         for i, w in enumerate(wanted)
     ]
     running = W.partitionBy("t").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -208,7 +248,7 @@ def _finish(df: DataFrame, wanted: list[_Wanted]) -> None:
         return F.max(F.when((F.col("from") <= k) & (k < F.col("upto")), F.col("v")))
 
     found = (
-        df.filter(reduce(or_, [w.between() for w in wanted]))
+        df.filter(reduce(or_, [w.between(w.low, w.high) for w in wanted]))
         .select(F.explode(F.array_compact(F.array(*tagged))).alias("s"))
         .groupBy(F.col("s.t").alias("t"), F.col("s.v").alias("v"))
         .agg(F.count("*").alias("n"))
@@ -222,29 +262,37 @@ def _finish(df: DataFrame, wanted: list[_Wanted]) -> None:
         w.value = _interpolate(row["a"], row["b"], w.p * (w.n - 1))
 
 
+def _join(df: DataFrame, wanted: list[_Wanted]) -> None:
+    """Ranks on either side of a limit: the largest value below and the smallest above it."""
+    facts = []
+    for w in wanted:
+        facts += [(kind, F.when(w.between(*part), as_double(w.column)))
+                  for kind, part in zip(("max", "min"), w.apart)]
+    values, _ = _scan(df, facts, [], 0, SKETCH_ACCURACY, TREE_ROWS)
+    for i, w in enumerate(wanted):
+        w.value = _interpolate(*values[2 * i:2 * i + 2], w.p * (w.n - 1))
+
+
 def _select(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], rows: int, limit: int,
     accuracy: int, tree_rows: int,
 ) -> list[_Wanted]:
     margin = 2 / accuracy if rows <= tree_rows else 4 / TREE_GRID
     shares = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)]
-    facts = [(kind, as_double(c)) for c in columns for kind in ("count", "min", "max")]
-    sketches = [(as_double(c), shares) for c in columns]
-    values, ends = _scan(df, facts, sketches, rows, accuracy, tree_rows)
+    counts, ends = _scan(df, [("count", as_double(c)) for c in columns],
+                         [(as_double(c), shares) for c in columns], rows, accuracy, tree_rows)
     wanted = []
-    for i, name in enumerate(columns):
-        n, low, high = values[3 * i:3 * i + 3]
+    for name, n, found in zip(columns, counts, ends):
         for j, p in enumerate(probs):
-            w = _Wanted(name, p, n or 0, low, high, 0, n or 0)
-            if n:
-                w.lo, w.hi = ends[i][2 * j:2 * j + 2]
-                w.expected = 3 * margin * n
+            w = _Wanted(name, p, n or 0, n or 0)
+            if w.n > limit:
+                w.guess(*found[2 * j:2 * j + 2], 3 * margin * n)
             wanted.append(w)
-    while waiting := [w for w in wanted if w.open]:
-        if wide := [w for w in waiting if w.wide(limit)]:
-            _narrow(df, wide, rows, accuracy, tree_rows)
-        elif unsure := [w for w in waiting if not w.sure]:
-            _verify(df, unsure)
+    while waiting := [w for w in wanted if w.n and w.value is None]:
+        if large := [w for w in waiting if not w.apart and w.inside > limit]:
+            _narrow(df, large, limit, rows, accuracy, tree_rows)
+        elif apart := [w for w in waiting if w.apart]:
+            _join(df, apart)
         else:
             _finish(df, waiting)
     return wanted

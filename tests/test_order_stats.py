@@ -133,3 +133,22 @@ def test_no_single_task_window_over_rows(lines):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SinglePartition" not in plan
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("tree_rows", [10 ** 9, 0])
+def test_only_few_rows_reach_one_task(spark, monkeypatch, tree_rows):
+    """Parts of unequal size, sorted values: what is sorted at the end stays under the limit."""
+    big = spark.range(0, 30_000, 1, 1).select(F.col("id").cast("double").alias("v"))
+    small = spark.range(30_000, 30_400, 1, 40).select(F.col("id").cast("double").alias("v"))
+    df, n, limit = small.unionAll(big), 30_400, 50
+    seen = []
+    finish = order_stats._finish
+
+    def watched(df, wanted):
+        seen.extend(wanted)
+        finish(df, wanted)
+
+    monkeypatch.setattr(order_stats, "_finish", watched)
+    found = order_stats.quantile_values(df, ["v"], PROBS, limit, tree_rows=tree_rows)["v"]
+    assert found == pytest.approx([p * (n - 1) for p in PROBS], abs=1e-6)
+    assert all(w.inside <= limit for w in seen)
