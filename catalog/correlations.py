@@ -111,6 +111,41 @@ def corr_kendall_at_scale(spark, sf_dir):
     )
 
 
+def kendall_sql(source: str, a: str, b: str) -> str:
+    return f"""
+select '{a}' as variable1, '{b}' as variable2, round(s / sqrt((n - x) * (n - y)), 6) as r from (
+  select sum(sign(u.{a} - v.{a}) * sign(u.{b} - v.{b})) as s, count(*) as n,
+         count_if(u.{a} = v.{a}) as x, count_if(u.{b} = v.{b}) as y
+  from {source} u join {source} v on u.k < v.k
+  where u.{a} is not null and u.{b} is not null and v.{a} is not null and v.{b} is not null)"""
+
+
+_SIZED_PARTS = """(select p_partkey as k, p_size as size, p_retailprice as price,
+  case when p_partkey % 3 > 0 then p_partkey % 17 end as lot,
+  case when p_partkey % 5 > 0 then p_retailprice * p_size end as worth from part)"""
+_SIZED = ["size", "price", "lot", "worth"]
+
+
+@query("corr_kendall_gaps", " union all ".join(
+    kendall_sql(_SIZED_PARTS, a, b) for a, b in combinations(_SIZED, 2)))
+def corr_kendall_gaps(spark, sf_dir):
+    """Several columns, some with gaps."""
+    key = F.col("p_partkey")
+    part = table(spark, sf_dir, "part").select(
+        F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"),
+        F.when(key % 3 > 0, key % 17).alias("lot"),
+        F.when(key % 5 > 0, F.col("p_retailprice") * F.col("p_size")).alias("worth"))
+    return rounded(correlation.correlation_pairs(part, method="kendall"), 6, "r")
+
+
+@query("corr_spearman_gaps_at_scale", spearman_sql(f"({GAPPY_ORDERS})", _GAPPY))
+def corr_spearman_gaps_at_scale(spark, sf_dir):
+    """Pairs with gaps, cut into buckets as large tables are."""
+    pairs = correlation.correlation_pairs(
+        gappy_orders(spark, sf_dir), method="spearman", buckets=64)
+    return rounded(pairs, 6, "r")
+
+
 # A price related to another column, so that there are strong pairs to find.
 RELATED = """
 select l_quantity, l_extendedprice, l_discount, 3 * l_quantity + l_linenumber as load,

@@ -14,12 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tabulyze.functions.columns import (
-    as_double, col, complete_rows, nan_to_null, numeric_columns,
-)
+from tabulyze.functions.columns import as_double, col, nan_to_null, numeric_columns
 from tabulyze.functions.moments import pearson
 from tabulyze.functions.order_stats import add_average_ranks, buckets_for
-from tabulyze.operators.kendall import kendall_pair
+from tabulyze.operators.kendall import kendall_of_pairs
+from tabulyze.operators.pairwise import spearman_of_pairs
 from tabulyze.operators.roles import require_columns
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -251,27 +250,16 @@ def _spearman_pairs(
     rows: DataFrame, names: list[str], pairs: list[tuple[str, str]], buckets: int | None
 ) -> DataFrame:
     """Ranks are taken over the rows complete in both columns of a pair."""
-    gaps = rows.agg(*[F.count_if(col(c).isNull()).alias(f"g{i}") for i, c in enumerate(names)])
-    missing = {c for c, n in zip(names, gaps.first()) if n}
+    counts = rows.agg(*[F.count_if(col(c).isNull()) for c in names], F.count("*")).first()
+    missing = {c for c, n in zip(names, counts) if n}
     whole = [c for c in names if c not in missing]
     clean = [(a, b) for a, b in pairs if a not in missing and b not in missing]
     parts = []
     if clean:
         parts.append(_spearman_complete(rows.select(*map(col, whole)), whole, clean, buckets))
-    for a, b in pairs:
-        if a in missing or b in missing:
-            both = complete_rows(rows.select(col(a), col(b)))
-            parts.append(_spearman_complete(both, [a, b], [(a, b)], buckets))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _kendall_pairs(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    parts = [
-        kendall_pair(rows, a, b).select(
-            F.lit(a).alias("variable1"), F.lit(b).alias("variable2"), "r"
-        )
-        for a, b in pairs
-    ]
+    if gappy := [(a, b) for a, b in pairs if a in missing or b in missing]:
+        size = counts[-1]
+        parts.append(spearman_of_pairs(rows, gappy, buckets or buckets_for(size), size))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -292,7 +280,7 @@ def correlation_pairs(
     if method == "spearman":
         return _spearman_pairs(rows, names, pairs, buckets)
     if method == "kendall":
-        return _kendall_pairs(rows, pairs)
+        return kendall_of_pairs(rows, pairs)
     return _pearson_pairs(rows, names, pairs, wide)
 
 

@@ -15,14 +15,16 @@ a value that fills much of the table costs nothing.
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulyze.functions.columns import col
-from tabulyze.functions.order_stats import ROWS_PER_BUCKET, bucket_cuts, with_buckets
+from tabulyze.functions.columns import col, nan_to_null
+from tabulyze.functions.order_stats import ROWS_PER_BUCKET
+from tabulyze.operators.pairwise import Pairs, named_pairs, pair_rows
 
 # Most cuts per axis: the grid of cells, four times this squared, is held by one task.
 GRID_BUCKETS = 1024
@@ -58,91 +60,88 @@ def discordant(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
     return found
 
 
-def _grid_discordant(cells: pd.DataFrame) -> pd.DataFrame:
+def _grid_discordant(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
     """Pairs in different x buckets and different y buckets, from at most B x B cells."""
-    total = 0.0
-    if len(cells):
-        xb = np.unique(cells["xb"], return_inverse=True)[1]
-        yb = np.unique(cells["yb"], return_inverse=True)[1]
-        grid = np.zeros((xb.max() + 1, yb.max() + 1))
-        grid[xb, yb] = cells["n"]
-        above = np.zeros(grid.shape[1])
-        for row in grid:
-            total += float(np.sum(row * above))
-            # Weight seen so far in strictly higher y buckets.
-            above += np.r_[np.cumsum(row[::-1])[::-1][1:], 0.0]
-    return pd.DataFrame({"d": [total]})
-
-
-def _bucket_discordant(rows: pd.DataFrame) -> pd.DataFrame:
+    xb = np.unique(cells["xb"], return_inverse=True)[1]
+    yb = np.unique(cells["yb"], return_inverse=True)[1]
+    grid = np.zeros((xb.max() + 1, yb.max() + 1))
+    grid[xb, yb] = cells["n"]
+    above, total = np.zeros(grid.shape[1]), 0.0
+    for row in grid:
+        total += float(np.sum(row * above))
+        # Weight seen so far in strictly higher y buckets.
+        above += np.r_[np.cumsum(row[::-1])[::-1][1:], 0.0]
+    return pd.DataFrame({"p": [key[0]], "d": [total]})
+
+
+def _bucket_discordant(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     x, y, n = (rows[c].to_numpy() for c in ("x", "y", "n"))
-    return pd.DataFrame({"d": [discordant(x, y, n)]})
+    return pd.DataFrame({"p": [key[0]], "d": [discordant(x, y, n)]})
 
 
-def _x_bucket_discordant(rows: pd.DataFrame) -> pd.DataFrame:
+def _x_bucket_discordant(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """One x bucket, less its cells: these are counted with the y buckets."""
     x, y, n, yb = (rows[c].to_numpy() for c in ("x", "y", "n", "yb"))
     total = discordant(x, y, n)
     order = np.argsort(yb, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(yb[order])) + 1):
         total -= discordant(x[part], y[part], n[part])
-    return pd.DataFrame({"d": [total]})
+    return pd.DataFrame({"p": [key[0]], "d": [total]})
 
 
-def _tied(rows: DataFrame, name: str, *keys: str) -> DataFrame:
-    per_value = rows.groupBy(*keys).agg(F.sum("n").cast("double").alias("t"))
-    pairs = F.coalesce(F.sum(F.col("t") * (F.col("t") - 1) / 2), F.lit(0.0))
-    return per_value.agg(pairs.alias("d")).select(F.lit(name).alias("part"), "d")
-
-
-def kendall_pair(
-    df: DataFrame,
-    x: str,
-    y: str,
+def kendall_of_pairs(
+    rows: DataFrame,
+    pairs: Pairs,
     rows_per_bucket: int = ROWS_PER_BUCKET,
     max_buckets: int = GRID_BUCKETS,
 ) -> DataFrame:
-    """One row, `r`: tau-b of two numeric columns over their complete rows."""
-    rows = (
-        df.select(col(x).cast("double").alias("x"), col(y).cast("double").alias("y"))
-        .na.drop("any").groupBy("x", "y").agg(F.count("*").alias("n"))
-    )
+    """`variable1`, `variable2`, `r`: tau-b over the complete rows of each pair of columns.
+
+    `rows` holds doubles, NULL where missing. Two jobs, whatever the number of pairs, count the
+    rows and find the cuts.
+    """
     size = rows.count()
     buckets = max(1, min(max_buckets, size // rows_per_bucket))
-    cuts = bucket_cuts(rows, ["x", "y"], buckets, size) if buckets > 1 else {"x": [], "y": []}
-    placed = with_buckets(rows, cuts, {"x": "xb", "y": "yb"})
+    placed = pair_rows(rows, pairs, buckets, size)
 
     def wide(name: str) -> Column:
         return F.col(name) % 2 == 0
 
-    def found(part: DataFrame) -> DataFrame:
-        summed = part.agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"))
-        return summed.select(F.lit("discordant").alias("part"), "d")
+    def tied(*keys: str) -> DataFrame:
+        per_value = placed.groupBy("p", *keys).agg(F.sum("n").cast("double").alias("t"))
+        return per_value.select("p", (F.col("t") * (F.col("t") - 1) / 2).alias("d"))
 
-    cells = placed.groupBy("xb", "yb").agg(F.sum("n").cast("double").alias("n"))
-    discordants = [
+    cells = placed.groupBy("p", "xb", "yb").agg(F.sum("n").cast("double").alias("n"))
+    schema = "p int, d double"
+    parts = [
+        ("every", tied()), ("x", tied("x")), ("y", tied("y")), ("xy", tied("x", "y")),
         # The grid is bounded by the cuts, not by the rows.
-        found(cells.groupBy(F.lit(0).alias("g")).applyInPandas(
-            lambda pdf: _grid_discordant(pdf), "d double")),
-        found(placed.filter(wide("xb")).groupBy("xb").applyInPandas(
-            _x_bucket_discordant, "d double")),
-        found(placed.filter(wide("yb")).groupBy("yb").applyInPandas(
-            _bucket_discordant, "d double")),
+        ("discordant", cells.groupBy("p").applyInPandas(_grid_discordant, schema)),
+        ("discordant", placed.filter(wide("xb")).groupBy("p", "xb").applyInPandas(
+            _x_bucket_discordant, schema)),
+        ("discordant", placed.filter(wide("yb")).groupBy("p", "yb").applyInPandas(
+            _bucket_discordant, schema)),
     ]
-    every = rows.agg(F.sum("n").cast("double").alias("t")).select(
-        F.lit("all").alias("part"), (F.col("t") * (F.col("t") - 1) / 2).alias("d")
-    )
-    parts = every
-    for part in (*discordants, _tied(rows, "x", "x"), _tied(rows, "y", "y"),
-                 _tied(rows, "xy", "x", "y")):
-        parts = parts.unionByName(part)
+    counted = reduce(DataFrame.unionByName, [
+        part.select("p", F.lit(name).alias("part"), "d") for name, part in parts])
 
     def total(name: str) -> Column:
-        return F.sum(F.when(F.col("part") == name, F.col("d")))
-
-    one = parts.agg(
-        *[total(p).alias(p) for p in ("all", "discordant", "x", "y", "xy")]
-    )
-    strict = F.col("all") - F.col("x") - F.col("y") + F.col("xy")
-    scale = F.sqrt(F.col("all") - F.col("x")) * F.sqrt(F.col("all") - F.col("y"))
-    return one.select(F.try_divide(strict - 2 * F.col("discordant"), scale).alias("r"))
+        return F.coalesce(F.sum(F.when(F.col("part") == name, F.col("d"))), F.lit(0.0)).alias(name)
+
+    one = counted.groupBy("p").agg(*[total(n) for n in ("every", "discordant", "x", "y", "xy")])
+    strict = F.col("every") - F.col("x") - F.col("y") + F.col("xy")
+    scale = F.sqrt(F.col("every") - F.col("x")) * F.sqrt(F.col("every") - F.col("y"))
+    r = F.try_divide(strict - 2 * F.col("discordant"), scale)
+    return named_pairs(one.select("p", r.alias("r")), pairs)
+
+
+def kendall_pair(
+    df: DataFrame,
+    x: str,
+    y: str,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    max_buckets: int = GRID_BUCKETS,
+) -> DataFrame:
+    """One row, `r`: tau-b of two numeric columns over their complete rows."""
+    rows = nan_to_null(df.select(*[col(c).cast("double").alias(c) for c in dict.fromkeys((x, y))]))
+    return kendall_of_pairs(rows, [(x, y)], rows_per_bucket, max_buckets).select("r")

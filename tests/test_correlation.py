@@ -62,14 +62,39 @@ def test_spearman(spark, numbers, gappy, buckets):
            numbers[kept].rank(), "pearson")
 
 
-def test_spearman_with_gaps(spark, gappy):
+@pytest.mark.parametrize("buckets", [None, 1, 20])
+def test_spearman_with_gaps(spark, gappy, buckets):
     kept = gappy[["x", "w", "hot"]]
-    pairs = as_pairs(correlation.correlation_pairs(spark.createDataFrame(kept), method="spearman"))
+    pairs = as_pairs(correlation.correlation_pairs(
+        spark.createDataFrame(kept), method="spearman", buckets=buckets))
     for a, b in itertools.combinations(kept.columns, 2):
         both = kept[[a, b]].dropna().rank()
         assert pairs[a, b] == pytest.approx(both.corr().iloc[0, 1], abs=1e-9)
 
 
+def test_pairs_without_common_rows(spark):
+    df = spark.createDataFrame(
+        [(1.0, None, 3.0), (2.0, None, 1.0), (None, 4.0, 9.0), (None, 5.0, 9.0)],
+        "a double, b double, c double")
+    for method in ("spearman", "kendall"):
+        pairs = as_pairs(correlation.correlation_pairs(df, method=method))
+        assert pairs == {("a", "b"): None, ("a", "c"): pytest.approx(-1.0), ("b", "c"): None}
+
+
+@pytest.mark.parametrize("method", ["spearman", "kendall"])
+def test_jobs_do_not_grow_with_the_pairs(spark, method):
+    rng = np.random.default_rng(5)
+    values = rng.normal(0, 1, (60, 30))
+    values[rng.random(values.shape) < 0.2] = np.nan
+    df = spark.createDataFrame(pd.DataFrame(values, columns=[f"c{i}" for i in range(30)]))
+    context, group = spark.sparkContext, f"build-{method}"
+    context.setJobGroup(group, group)
+    correlation.correlation_pairs(df, method=method)
+    jobs = context.statusTracker().getJobIdsForGroup(group)
+    context.setJobGroup("", "")
+    assert len(jobs) < 10
+
+
 def tau_b(x, y):
     s = ties_x = ties_y = 0
     n = len(x)
