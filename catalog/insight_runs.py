@@ -87,6 +87,15 @@ INSIGHT_ROWS = " union all ".join([
         "median": "median", "std": "std", "min": "min", "max": "max", "min_anomaly": "lo",
         "max_anomaly": "hi",
     }, {"summary": _ANOMALY_SUMMARY}),
+    *[f"""
+select 'top_bottom' as insight, '{side}_' || row_number() over (order by {order}) as metric,
+       round(value::double, 4) as value, null as text from {source}"""
+      for side, order, source in (("top", "value desc", "top"), ("bottom", "value", "low"))],
+    """
+select 'anomaly' as insight, 'anomaly_' || place as metric, round(value::double, 4) as value,
+       null as text
+from (select value, row_number() over (order by abs((value - mean) / std) desc, value) as place
+      from e, d where abs((value - mean) / std) > 3) where place <= 20""",
     _metrics("correlation", "c", {
         "pairs_analyzed": "1", "strong_found": "case when abs(r) >= 0.7 then 1 else 0 end",
         "strongest": "null",

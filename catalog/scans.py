@@ -39,6 +39,25 @@ def scan_csv_latin1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path)
 
 
+@query("scan_csv_mixed_encodings", """
+select c_custkey, 'Café ' || c_name as c_name from customer
+union all
+select c_custkey, 'Café, ' || chr(10) || c_name as c_name from customer where c_custkey % 2 = 0""")
+def scan_csv_mixed_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of UTF-8 and Latin-1 files, some with fields over several lines."""
+    path = scratch_path(spark, "customer.csv")
+    customer = table(spark, sf_dir, "customer")
+    even = F.col("c_custkey") % 2 == 0
+    one_line = F.concat(F.lit("Café "), F.col("c_name")).alias("c_name")
+    two_lines = F.concat(F.lit("Café, \n"), F.col("c_name")).alias("c_name")
+    for rows, encoding, name in ((customer.filter(even), "UTF-8", one_line),
+                                 (customer.filter(~even), "ISO-8859-1", one_line),
+                                 (customer.filter(even), "ISO-8859-1", two_lines)):
+        rows.select("c_custkey", name).write.mode("append").option("header", True) \
+            .option("escape", '"').option("encoding", encoding).csv(path)
+    return read_csv(spark, path)
+
+
 @query("scan_csv_multiline", """
 select doc_id, 'a "quoted", ' || chr(10) || lang as note, n_chars from documents""")
 def scan_csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -125,17 +127,29 @@ def detect_currency(df: DataFrame, columns: Sequence[str] | None = None) -> Plan
     }
 
 
+def _spelling(c: Column) -> Column:
+    """A bit of its own for each spelling, upper or lower case, of a truth word; else NULL."""
+    word, start = F.upper(c), F.lit(None).cast("int")
+    first = 0
+    for text in (*TRUE_TEXTS, *FALSE_TEXTS):
+        start = F.when(word == text, F.lit(first)).otherwise(start)
+        first += 1 << sum(map(str.isalpha, text))
+    case = reduce(add, [
+        F.when(F.substring(c, i + 1, 1).between("A", "Z"), F.lit(1 << i)).otherwise(F.lit(0))
+        for i in range(max(map(len, FALSE_TEXTS)))
+    ])
+    plain = F.octet_length(c) == F.length(c)
+    return F.when(plain, F.call_function("shiftleft", F.lit(1).cast("bigint"), start + case))
+
+
 def _boolean_asks(i: int, c: Column) -> list[Column]:
-    known = F.upper(c).isin(*TRUE_TEXTS, *FALSE_TEXTS)
-    short = F.when(known, c)
-    return [F.count(short).alias(f"k{i}"), F.size(F.collect_set(short)).alias(f"u{i}")]
+    bit = _spelling(c)
+    spellings = F.bit_count(F.coalesce(F.bit_or(bit), F.lit(0).cast("bigint")))
+    return [F.count(bit).alias(f"k{i}"), spellings.alias(f"u{i}")]
 
 
 def detect_booleans(df: DataFrame, columns: Sequence[str] | None = None) -> Plan:
-    """Text columns made of at most two distinct truth words.
-
-    The set holds only spellings of six short words, so its size is bounded.
-    """
+    """Text columns made of at most two distinct truth words."""
     names = _text(df, columns)
     if not names:
         return {}
@@ -152,29 +166,7 @@ def detect_booleans(df: DataFrame, columns: Sequence[str] | None = None) -> Plan
 
 def detect_numbers(df: DataFrame, columns: Sequence[str] | None = None) -> Plan:
     """Text columns that are whole numbers or numbers throughout, as a reader types them."""
-    names = _text(df, columns)
-    if not names:
-        return {}
-    asks = []
-    for i, n in enumerate(names):
-        c = col(n)
-        asks += [
-            F.count(c).alias(f"n{i}"),
-            F.count(parse_integer(c)).alias(f"i{i}"),
-            F.count(parse_number(c)).alias(f"f{i}"),
-            F.count_if(c.isin("True", "TRUE", "true", "False", "FALSE", "false")).alias(f"t{i}"),
-        ]
-    row = df.agg(*asks).first()
-    plan: Plan = {}
-    for i, n in enumerate(names):
-        present = row[f"n{i}"]
-        if present and row[f"i{i}"] == present:
-            plan[n] = Step("integer")
-        elif present and row[f"f{i}"] == present:
-            plan[n] = Step("number")
-        elif present and row[f"t{i}"] == present:
-            plan[n] = Step("boolean")
-    return plan
+    return _detected(df, _text(df, columns), numbers=True)
 
 
 def detect_types(df: DataFrame) -> Plan:
@@ -182,25 +174,50 @@ def detect_types(df: DataFrame) -> Plan:
 
     One job over all text columns.
     """
-    names = _text(df, None)
+    return _detected(df, _text(df, None), types=True)
+
+
+def detect_all(df: DataFrame) -> Plan:
+    """What `detect_numbers` finds, and `detect_types` for the other text columns, by one job."""
+    return _detected(df, _text(df, None), numbers=True, types=True)
+
+
+def _number_asks(i: int, c: Column) -> list[Column]:
+    return [
+        F.count(parse_integer(c)).alias(f"i{i}"),
+        F.count(parse_number(c)).alias(f"f{i}"),
+        F.count_if(c.isin("True", "TRUE", "true", "False", "FALSE", "false")).alias(f"t{i}"),
+    ]
+
+
+def _detected(
+    df: DataFrame, names: Sequence[str], numbers: bool = False, types: bool = False
+) -> Plan:
     if not names:
         return {}
     asks = []
     for i, n in enumerate(names):
         c = col(n)
-        asks += [F.count(c).alias(f"n{i}"), *_date_asks(i, c), *_currency_asks(i, c),
-                 *_boolean_asks(i, c)]
+        asks.append(F.count(c).alias(f"n{i}"))
+        asks += _number_asks(i, c) if numbers else []
+        asks += [*_date_asks(i, c), *_currency_asks(i, c), *_boolean_asks(i, c)] if types else []
     row = df.agg(*asks).first()
     plan: Plan = {}
     for i, n in enumerate(names):
         present = row[f"n{i}"]
         if not present:
             continue
-        if pattern := _best_date(row, i):
+        if numbers and row[f"i{i}"] == present:
+            plan[n] = Step("integer")
+        elif numbers and row[f"f{i}"] == present:
+            plan[n] = Step("number")
+        elif numbers and row[f"t{i}"] == present:
+            plan[n] = Step("boolean")
+        elif types and (pattern := _best_date(row, i)):
             plan[n] = Step("date", pattern)
-        elif _is_currency(row, i):
+        elif types and _is_currency(row, i):
             plan[n] = Step("currency")
-        elif row[f"k{i}"] == present and row[f"u{i}"] <= 2:
+        elif types and row[f"k{i}"] == present and row[f"u{i}"] <= 2:
             plan[n] = Step("boolean")
     return plan
 
@@ -221,7 +238,7 @@ def plan_frame(df: DataFrame, plan: Plan) -> DataFrame:
 
 
 __all__ = [
-    "Plan", "Step", "apply_plan", "blank_na_tokens", "convert_types",
+    "Plan", "Step", "apply_plan", "blank_na_tokens", "convert_types", "detect_all",
     "detect_booleans", "detect_currency", "detect_dates", "detect_numbers", "detect_types",
     "plan_frame", "to_boolean",
 ]

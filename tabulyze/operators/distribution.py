@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabulyze.functions.columns import as_double, col, complete_rows, nan_to_null
 from tabulyze.functions.moments import kurtosis_adjusted, skewness_adjusted
@@ -93,6 +93,14 @@ def categorical_distribution(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def common_values(df: DataFrame, column: str, top_n: int = 10) -> DataFrame:
+    """`rank`, `value`, `n`: the most frequent values, ties by value."""
+    counts = value_counts(df, column).select(col(column).cast("string").alias("value"), "n")
+    place = F.row_number().over(W.orderBy(F.desc("n"), "value"))  # over a few rows
+    return counts.orderBy(F.desc("n"), "value").limit(top_n).select(
+        place.alias("rank"), "value", "n")
+
+
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """`bin`, `low`, `high`, `n` for equal-width bins from min to max, last one closed.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
 from tabulyze.functions.columns import (
     as_double, col, complete_rows, free_name, nan_to_null, tie_break,
@@ -72,19 +72,58 @@ def _check(df: DataFrame, column: str, method: str) -> None:
 
 
 def _anomaly_test(
-    df: DataFrame, column: str, method: str, threshold: float, limit: int
+    df: DataFrame, column: str, method: str, threshold: float, limit: int,
+    facts: Row | None = None,
 ) -> tuple[Column, Column]:
-    """(is anomaly, z-score) for present values, with literals from one or two jobs."""
-    z = z_score(column, *_center(df, column))
+    """(is anomaly, z-score) for present values, with literals from one or two jobs.
+
+    `facts` of the column (mean, std, q1, q3) spare the jobs.
+    """
+    z = z_score(column, *((facts["mean"], facts["std"]) if facts else _center(df, column)))
     if method == "zscore":
         return F.coalesce(z > threshold, F.lit(False)), z
-    low, high = _fences(df, column, threshold, limit)
+    if facts:
+        q1, q3 = facts["q1"], facts["q3"]
+        reach = None if q1 is None else threshold * (q3 - q1)
+        low, high = (None, None) if q1 is None else (q1 - reach, q3 + reach)
+    else:
+        low, high = _fences(df, column, threshold, limit)
     if low is None:
         return F.lit(False), z
     c = as_double(column)
     return (c < low) | (c > high), z
 
 
+def spread_facts(df: DataFrame, column: str, limit: int = VALUE_LIMIT) -> Row:
+    """Mean, deviation and quartiles of a numeric column, as anomalies need them."""
+    rows = nan_to_null(df.select(col(column)))
+    q = quantile_columns(rows, [column], [0.25, 0.5, 0.75], limit)[column]
+    c = as_double(column)
+    return rows.agg(
+        F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.get(q, F.lit(0)).alias("q1"),
+        F.get(q, F.lit(1)).alias("median"), F.get(q, F.lit(2)).alias("q3"),
+    ).first()
+
+
+def anomaly_values(
+    df: DataFrame,
+    column: str,
+    method: str = "zscore",
+    threshold: float = 3.0,
+    rows: int = 20,
+    limit: int = VALUE_LIMIT,
+    facts: Row | None = None,
+) -> DataFrame:
+    """`rank`, `value`: the anomalies farthest from the mean, ties by value."""
+    _check(df, column, method)
+    present = complete_rows(nan_to_null(df.select(col(column))))
+    hit, z = _anomaly_test(present, column, method, threshold, limit, facts)
+    far = present.filter(hit).select(z.alias("z"), as_double(column).alias("value")) \
+        .orderBy(F.desc("z"), "value").limit(rows)
+    place = F.row_number().over(W.orderBy(F.desc("z"), "value"))  # over a few rows
+    return far.select(place.alias("rank"), "value")
+
+
 def anomalies(
     df: DataFrame,
     column: str,
@@ -119,6 +158,7 @@ def anomaly_summary(
     method: str = "zscore",
     threshold: float = 3.0,
     limit: int = VALUE_LIMIT,
+    facts: Row | None = None,
 ) -> DataFrame:
     """One row of counts and statistics; `error` is set when there is too little to judge."""
     require_columns(df, column)
@@ -132,9 +172,12 @@ def anomaly_summary(
         return df.sparkSession.createDataFrame(row, columns)
     _check(df, column, method)
     present = complete_rows(nan_to_null(df.select(col(column))))
-    hit, _ = _anomaly_test(present, column, method, threshold, limit)
+    hit, _ = _anomaly_test(present, column, method, threshold, limit, facts)
     c = as_double(column)
-    median = quantile_columns(present, [column], [0.5], limit)[column]
+    if facts:
+        median = F.array(F.lit(facts["median"]).cast("double"))
+    else:
+        median = quantile_columns(present, [column], [0.5], limit)[column]
     stats = present.agg(
         F.count("*").alias("total_points"),
         F.count_if(hit).alias("anomaly_count"),

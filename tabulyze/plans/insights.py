@@ -12,15 +12,17 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from tabulyze.functions.columns import (
     DATETIME, NUMERICAL, col, column_types, is_integral, numeric_columns,
 )
 from tabulyze.functions.text import fmt_number, fmt_percentage
-from tabulyze.operators.correlation import correlation_pairs, with_strength
-from tabulyze.operators.distribution import categorical_distribution, numeric_distribution
-from tabulyze.operators.outliers import anomaly_summary
+from tabulyze.operators.correlation import STRONG_LIMIT, correlation_pairs, with_strength
+from tabulyze.operators.distribution import (
+    categorical_distribution, common_values, numeric_distribution,
+)
+from tabulyze.operators.outliers import anomaly_summary, anomaly_values, spread_facts
 from tabulyze.operators.ranking import listed_name, top_bottom
 from tabulyze.operators.roles import is_numerical, require_columns
 from tabulyze.operators.trend import trend
@@ -29,6 +31,9 @@ log = logging.getLogger(__name__)
 
 Insight = Callable[..., DataFrame]
 INSIGHT_SCHEMA = "metric string, value double, text string"
+# Anomalies and frequent values listed.
+ANOMALIES = 20
+COMMON = 10
 
 # The sentences the reference shows, with named gaps.
 SENTENCES = {
@@ -75,10 +80,25 @@ def _sentence(name: str, **gaps: Column | str) -> Column:
     return F.concat(*parts)
 
 
+def _entry(metric: Column, value: Column, text: Column | None = None) -> Column:
+    return F.struct(
+        metric.alias("metric"), value.cast("double").alias("value"),
+        (F.lit(None) if text is None else text).cast("string").alias("text"),
+    )
+
+
+def _numbered(rows: DataFrame, name: str, value: str, text: str | None = None) -> DataFrame:
+    """A list with a `rank` as rows `name_1`, `name_2`, ..."""
+    metric = F.concat(F.lit(f"{name}_"), F.col("rank").cast("string"))
+    entry = _entry(metric, F.col(value), F.col(text) if text else None)
+    return rows.select(entry.alias("s")).select("s.*")
+
+
 def _as_metrics(
-    one: DataFrame, numbers: Sequence[str], texts: Sequence[str] = ()
+    one: DataFrame, numbers: Sequence[str], texts: Sequence[str] = (),
+    listed: Column | None = None,
 ) -> DataFrame:
-    """A one-row frame as `metric`, `value`, `text` rows."""
+    """A one-row frame as `metric`, `value`, `text` rows, then those of an array of entries."""
     rows = [
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"),
                  F.lit(None).cast("string").alias("text"))
@@ -89,8 +109,9 @@ def _as_metrics(
                  F.col(m).cast("string").alias("text"))
         for m in texts
     ]
-    listed = one.select(F.inline(F.array(*rows)))
-    return listed.filter((F.col("metric") != "error") | F.col("text").isNotNull())
+    every = F.array(*rows)
+    shown = one.select(F.inline(every if listed is None else F.concat(every, listed)))
+    return shown.filter((F.col("metric") != "error") | F.col("text").isNotNull())
 
 
 def _whole(df: DataFrame, column: str) -> bool:
@@ -132,6 +153,10 @@ def top_bottom_insight(
         first("bottom", name).alias("bottom_name"),
         first("top", F.col("value")).alias("top_value"),
         first("bottom", F.col("value")).alias("bottom_value"),
+        # As many entries as were asked for.
+        F.collect_list(_entry(
+            F.concat("side", F.lit("_"), F.col("rank").cast("string")), F.col("value"), name,
+        )).alias("entries"),
     )
     counted = group_by is not None and aggregation == "count"
     exact = group_by is None or aggregation not in ("mean", "median")
@@ -154,7 +179,7 @@ def top_bottom_insight(
         "bottom_count", "bottom_total", "bottom_contribution", "top_value", "bottom_value",
     )
     texts = ("top_name", "bottom_name", "summary") if group_by else ("summary",)
-    return _as_metrics(one.withColumn("summary", summary), numbers, texts)
+    return _as_metrics(one.withColumn("summary", summary), numbers, texts, F.col("entries"))
 
 
 def trend_insight(
@@ -185,9 +210,14 @@ def trend_insight(
 
 
 def anomaly_insight(
-    df: DataFrame, column: str, method: str = "zscore", threshold: float = 3.0
+    df: DataFrame, column: str, method: str = "zscore", threshold: float = 3.0,
+    facts: Row | None = None,
 ) -> DataFrame:
-    one = anomaly_summary(df, column, method, threshold)
+    """Counts, and the anomalies farthest from the mean. `facts` of the column spare a job."""
+    require_columns(df, column)
+    if is_numerical(df, column) and facts is None:
+        facts = spread_facts(df, column)
+    one = anomaly_summary(df, column, method, threshold, facts=facts)
     low, high = F.col("min_anomaly"), F.col("max_anomaly")
     whole = is_numerical(df, column) and _whole(df, column)
     # The range is told only when neither end is 0, as the reference does.
@@ -211,11 +241,23 @@ def anomaly_insight(
         "total_points", "anomaly_count", "anomaly_share", "mean", "median", "std", "min", "max",
         "min_anomaly", "max_anomaly",
     )
-    return _as_metrics(one.withColumn("summary", summary), numbers, ("summary", "error"))
+    told = _as_metrics(one.withColumn("summary", summary), numbers, ("summary", "error"))
+    if not is_numerical(df, column):
+        return told
+    # Below three values there is nothing to judge and no value lies far enough off.
+    values = anomaly_values(df, column, method, threshold, ANOMALIES, facts=facts)
+    return told.unionByName(_numbered(values, "anomaly", "value"))
 
 
-def distribution_insight(df: DataFrame, column: str) -> DataFrame:
+def distribution_insight(
+    df: DataFrame, column: str, described: DataFrame | None = None
+) -> DataFrame:
+    """Moments and shape, or value counts with the most frequent values.
+
+    `described` is the column's `numeric_distribution` where that is known.
+    """
     require_columns(df, column)
+    common = None
     failed = _sentence("distribution_none", column=column)
     if not is_numerical(df, column):
         one = categorical_distribution(df, column)
@@ -226,8 +268,9 @@ def distribution_insight(df: DataFrame, column: str) -> DataFrame:
         numbers = ("count", "unique_values", "most_common_count", "most_common_share",
                    "least_common_count")
         texts = ("most_common", "least_common")
+        common = _numbered(common_values(df, column, COMMON), "common", "n", "value")
     else:
-        one = numeric_distribution(df, column)
+        one = numeric_distribution(df, column) if described is None else described
         whole = _whole(df, column)
         told = _sentence(
             "distribution", column=column, shape=F.col("shape"), mean=fmt_number(F.col("mean")),
@@ -238,7 +281,8 @@ def distribution_insight(df: DataFrame, column: str) -> DataFrame:
                    "iqr", "skewness", "kurtosis")
         texts = ("shape",)
     summary = F.when(F.col("error").isNull(), told).otherwise(failed)
-    return _as_metrics(one.withColumn("summary", summary), numbers, (*texts, "summary", "error"))
+    told = _as_metrics(one.withColumn("summary", summary), numbers, (*texts, "summary", "error"))
+    return told if common is None else told.unionByName(common)
 
 
 def correlation_insight(
@@ -265,7 +309,13 @@ def correlation_insight(
         F.count("*").alias("pairs_analyzed"),
         F.count_if(strong).alias("strong_found"),
         F.min(F.when(strong, ranked)).alias("s"),
+        # The pairs of a schema, few thousand at most.
+        F.slice(F.sort_array(F.collect_list(F.when(strong, ranked))), 1, STRONG_LIMIT).alias("l"),
     ).select(
+        F.transform("l", lambda s, i: _entry(
+            F.concat(F.lit("pair_"), (i + 1).cast("string")), s["r"],
+            F.concat_ws(", ", s["variable1"], s["variable2"]),
+        )).alias("entries"),
         "pairs_analyzed", "strong_found", F.col("s.r").alias("strongest"),
         F.col("s.variable1").alias("variable1"), F.col("s.variable2").alias("variable2"),
         F.col("s.direction").alias("direction"), F.col("s.strength").alias("strength"),
@@ -279,7 +329,7 @@ def correlation_insight(
     one = one.withColumn("summary", F.when(F.col("strong_found") > 0, told).otherwise(none))
     return _as_metrics(
         one, ("pairs_analyzed", "strong_found", "strongest"),
-        ("variable1", "variable2", "direction", "strength", "summary"),
+        ("variable1", "variable2", "direction", "strength", "summary"), F.col("entries"),
     )
 
 
@@ -326,10 +376,12 @@ class InsightRegistry:
             asked.append(("correlation", {}))
         if dates and numeric:
             asked.append(("trend", {"date_column": dates[0], "value_column": numeric[0]}))
-        parts = []
+        parts, known = [], {}
         for name, options in asked:
+            options = {**options, **(config or {}).get(name, {})}
             try:
-                part = self.generate(name, df, **options, **(config or {}).get(name, {}))
+                part = self.generate(
+                    name, df, **options, **self._shared(name, df, numeric[0], options, known))
                 parts.append(part.select(F.lit(name).alias("insight"), "metric", "value", "text"))
             except (ValueError, TypeError, AnalysisException) as error:
                 log.warning("Could not generate %s insight: %s", name, error)
@@ -337,6 +389,21 @@ class InsightRegistry:
             return df.sparkSession.createDataFrame([], "insight string, " + INSIGHT_SCHEMA)
         return reduce(DataFrame.unionByName, parts)
 
+    def _shared(
+        self, name: str, df: DataFrame, column: str, options: dict, known: dict
+    ) -> dict:
+        """What the distribution found, for the insights of the package on the same column."""
+        insight = self.insights[name]
+        if insight not in (distribution_insight, anomaly_insight) or options["column"] != column:
+            return {}
+        if not known:
+            described = numeric_distribution(df, column)
+            known["facts"] = described.first()
+            known["described"] = df.sparkSession.createDataFrame(
+                [known["facts"]], described.schema)
+        wanted = "described" if insight is distribution_insight else "facts"
+        return {wanted: known[wanted]}
+
     def summaries(self, df: DataFrame, config: dict[str, dict] | None = None) -> DataFrame:
         """One sentence per insight: `insight`, `summary`."""
         every = self.generate_all(df, config)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import (
+    Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T,
+)
 
 from tabulyze.functions.columns import col, free_name
 from tabulyze.operators.conversion import Plan, apply_plan, blank_na_tokens, detect_numbers
 
-Reader = Callable[[SparkSession, str], DataFrame]
+Reader = Callable[..., DataFrame]
+Detect = Callable[[DataFrame], Plan]
 
 
 def _exists(spark: SparkSession, path: str) -> None:
@@ -22,17 +27,39 @@ def _exists(spark: SparkSession, path: str) -> None:
         raise
 
 
+def file_facts(spark: SparkSession, path: str) -> DataFrame:
+    """`file`, `utf8` (all its lines are), `spans` (a quoted field spans lines), by one splittable
+    pass. A file without lines is not listed."""
+    # Read as Latin-1, a quote is a quote whatever the encoding of the line.
+    text = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    quotes = F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+    return spark.read.text(path).groupBy(F.input_file_name().alias("file")).agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.bool_or(quotes % 2 == 1).alias("spans"),
+    )
+
+
 def text_facts(spark: SparkSession, path: str) -> tuple[bool, bool]:
-    """(all lines are UTF-8, some quoted field spans lines), from one splittable pass."""
-    lines = spark.read.text(path)
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    facts = lines.agg(
-        F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)),
-        F.coalesce(F.bool_or(F.is_valid_utf8("value") & (quotes % 2 == 1)), F.lit(False)),
-        F.coalesce(F.bool_or(~F.is_valid_utf8("value") & F.col("value").contains('"')),
-                   F.lit(False)),
-    ).first()
-    return facts[0], facts[1] or facts[2]
+    """(all lines are UTF-8, some quoted field spans lines), of all files of a path."""
+    return tuple(file_facts(spark, path).agg(
+        F.coalesce(F.bool_and("utf8"), F.lit(True)), F.coalesce(F.bool_or("spans"), F.lit(False)),
+    ).first())
+
+
+def _file_groups(
+    spark: SparkSession, path: str, encoding: str | None, multiline: bool | None
+) -> dict[tuple[str, bool], str | list[str]]:
+    """The files of a path by how they are to be read: (encoding, fields span lines)."""
+    if encoding is not None and multiline is not None:
+        return {(encoding, multiline): path}
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for file, utf8, spans in file_facts(spark, path).collect():  # one row per file
+        how = (encoding or ("UTF-8" if utf8 else "ISO-8859-1"),
+               spans if multiline is None else multiline)
+        groups.setdefault(how, []).append(unquote(file))
+    if len(groups) > 1:
+        return {how: sorted(files) for how, files in sorted(groups.items())}
+    return {how: path for how in groups or [(encoding or "UTF-8", bool(multiline))]}
 
 
 def read_delimited(
@@ -43,30 +70,39 @@ def read_delimited(
     multiline: bool | None = None,
     plan: Plan | None = None,
     surplus: str | None = None,
+    columns: Sequence[str] | None = None,
+    detect: Detect = detect_numbers,
 ) -> DataFrame:
     """Delimited text with a header, columns typed by their content.
 
     A line with more fields than the header raises when it is read; with `surplus`, a column of
     that name holds the first field beyond the header instead.
 
-    Encoding falls back from UTF-8 to Latin-1. Files are split among tasks unless a quoted
-    field spans lines. Both are found by one scan, the types by another; `encoding`,
-    `multiline` and `plan` skip the scans.
+    Encoding falls back from UTF-8 to Latin-1, file by file. Files are split among tasks unless
+    a quoted field of theirs spans lines. Both are found by one scan, the types by another, by
+    `detect`; `encoding`, `multiline`, `plan` and `columns` (the header's names) skip the scans.
     """
     _exists(spark, path)
-    if encoding is None or multiline is None:
-        utf8, spans = text_facts(spark, path)
-        encoding = encoding or ("UTF-8" if utf8 else "ISO-8859-1")
-        multiline = spans if multiline is None else multiline
-    reader = (
-        spark.read.option("header", True).option("sep", sep)
-        .option("quote", '"').option("escape", '"')
-        .option("encoding", encoding).option("multiLine", multiline)
-    )
-    header = reader.csv(path).schema
+
+    def reader(encoding: str, multiline: bool, files: str | list[str]) -> DataFrameReader:
+        found = (
+            spark.read.option("header", True).option("sep", sep)
+            .option("quote", '"').option("escape", '"')
+            .option("encoding", encoding).option("multiLine", multiline)
+        )
+        plain = isinstance(files, str) or any(mark in path for mark in "*?[{")
+        return found if plain else found.option("basePath", path)
+
+    groups = _file_groups(spark, path, encoding, multiline)
+    if columns is None:
+        how, files = next(iter(groups.items()))
+        header = reader(*how, files).csv(files).schema
+    else:
+        header = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     extra = surplus or free_name("surplus", header.names)
-    raw = reader.schema(T.StructType([*header.fields, T.StructField(extra, T.StringType())])) \
-        .csv(path)
+    schema = T.StructType([*header.fields, T.StructField(extra, T.StringType())])
+    raw = reduce(DataFrame.unionByName, [
+        reader(*how, files).schema(schema).csv(files) for how, files in groups.items()])
     if surplus is None:
         told = F.concat(F.lit(f"A line of {path} has more fields than the header: "), col(extra))
         raw = raw.select(*[
@@ -74,7 +110,7 @@ def read_delimited(
             for c in header.names
         ])
     texts = blank_na_tokens(raw)
-    return apply_plan(texts, detect_numbers(texts) if plan is None else plan)
+    return apply_plan(texts, detect(texts) if plan is None else plan)
 
 
 def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -159,7 +195,8 @@ def _read_json_columns(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(
-    spark: SparkSession, path: str, layout: str | None = None, plan: Plan | None = None
+    spark: SparkSession, path: str, layout: str | None = None, plan: Plan | None = None,
+    detect: Detect = detect_numbers,
 ) -> DataFrame:
     """JSON records, JSON lines or column-oriented JSON; the layout is looked up if not given.
 
@@ -173,7 +210,7 @@ def read_json(
         rows = spark.read.option("multiLine", layout == "records").json(path)
     else:
         raise ValueError(f"Unsupported JSON layout: {layout}")
-    return apply_plan(rows, detect_numbers(rows) if plan is None else plan)
+    return apply_plan(rows, detect(rows) if plan is None else plan)
 
 
 class SourceRegistry:
@@ -188,12 +225,11 @@ class SourceRegistry:
     def extensions(self) -> list[str]:
         return list(dict.fromkeys(ext for ext, _ in self.readers))
 
-    def load(self, spark: SparkSession, path: str) -> DataFrame:
+    def reader(self, path: str) -> Reader:
         name = str(path).rstrip("/")
-        _exists(spark, name)
         for extension, reader in self.readers:
             if name.lower().endswith(extension):
-                return reader(spark, name)
+                return reader
         base = name.rsplit("/", 1)[-1]
         suffix = "." + base.rsplit(".", 1)[-1] if "." in base else ""
         raise ValueError(
@@ -201,6 +237,12 @@ class SourceRegistry:
             f"Supported formats: {', '.join(self.extensions())}"
         )
 
+    def load(self, spark: SparkSession, path: str, **options) -> DataFrame:
+        """Read by extension; options go to the reader."""
+        name = str(path).rstrip("/")
+        _exists(spark, name)
+        return self.reader(name)(spark, name, **options)
+
 
 sources = SourceRegistry()
 sources.register(".csv", read_csv)
@@ -209,8 +251,12 @@ sources.register(".parquet", read_parquet)
 sources.register(".tsv", read_tsv)
 
 
-def load_table(spark: SparkSession, path: str) -> DataFrame:
-    return sources.load(spark, path)
+#: Readers that type text columns and take `detect` for it.
+TYPING = (read_csv, read_json, read_tsv)
+
+
+def load_table(spark: SparkSession, path: str, **options) -> DataFrame:
+    return sources.load(spark, path, **options)
 
 
 def register_source(extension: str, reader: Reader) -> None:
@@ -218,6 +264,6 @@ def register_source(extension: str, reader: Reader) -> None:
 
 
 __all__ = [
-    "SourceRegistry", "json_layout", "load_table", "read_csv", "read_delimited",
+    "SourceRegistry", "file_facts", "json_layout", "load_table", "read_csv", "read_delimited",
     "read_json", "read_parquet", "read_tsv", "register_source", "sources", "text_facts",
 ]

@@ -93,6 +93,29 @@ def test_correlation_sentences(shop):
     assert one["summary"] == "Need at least 2 numerical columns for correlation analysis."
 
 
+def test_lists_inside_insights(shop):
+    top = metrics(insights.generate("top_bottom", shop, column="sales", group_by="region", top_n=1))
+    assert {m for m in top if m.startswith("top_")} >= {"top_1"} and "top_2" not in top
+    rows = {r.metric: r for r in insights.generate(
+        "distribution", shop, column="region").collect()}
+    assert (rows["common_1"].value, rows["common_1"].text) == (10.0, "a")
+    assert "common_3" not in rows
+    odd = metrics(insights.generate("anomaly", shop, column="sales"))
+    assert odd["anomaly_1"] == 570.0 and "anomaly_2" not in odd
+    related = shop.select("sales", (F.col("sales") * 2).alias("double"), "kind")
+    pairs = {r.metric: r for r in insights.generate("correlation", related).collect()}
+    assert pairs["pair_1"].text == "sales, double" and "pair_2" not in pairs
+
+
+def test_shared_facts_change_nothing(shop):
+    sales = shop.select("sales")
+    every = insights.generate_all(sales)
+    for name in ("distribution", "anomaly"):
+        alone = insights.generate(name, sales, column="sales")
+        got = every.filter(F.col("insight") == name).drop("insight")
+        assert sorted(map(str, got.collect())) == sorted(map(str, alone.collect()))
+
+
 def test_all_insights(shop):
     rows = insights.generate_all(shop, {"top_bottom": {"top_n": 3}}).collect()
     assert {r.insight for r in rows} == {

@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 
+from tabulyze.operators.conversion import Step
 from tabulyze.plans.prepare import prepare_table
 from tabulyze.sources import (
     SourceRegistry, export_csv, load_table, read_csv, read_json, read_tsv, sources,
@@ -47,6 +48,33 @@ def test_csv_latin1(spark, tmp_path):
     assert rows == [(1, "Café"), (2, "plain")]
 
 
+def test_csv_of_mixed_encodings(spark, tmp_path):
+    folder = tmp_path / "both files.csv"
+    folder.mkdir()
+    write(folder, "a.csv", "k,t\n1,Café\n")
+    write(folder, "b.csv", 'k,t\n2,"Café"\n', "latin-1")
+    write(folder, "c.csv", 'k,t\n3,"Café\nnoir"\n', "latin-1")
+    rows = sorted(tuple(r) for r in read_csv(spark, str(folder)).collect())
+    assert rows == [(1, "Café"), (2, "Café"), (3, "Café\nnoir")]
+    assert text_facts(spark, str(folder / "b.csv")) == (False, False)
+
+
+def test_prepare_with_everything_given_runs_no_job(spark, tmp_path):
+    path = write(tmp_path, "a.csv", "k,day,ok\n1,2024-01-02,yes\n1,2024-01-02,yes\n2,,no\n")
+    found = prepare_table(spark, path)
+    assert dict(found.dtypes) == {"k": "bigint", "day": "timestamp_ntz", "ok": "boolean"}
+    context = spark.sparkContext
+    context.setJobGroup("given", "given")
+    given = prepare_table(
+        spark, path, plan={"day": Step("date", "yyyy-MM-dd"), "ok": Step("boolean")},
+        reader={"encoding": "UTF-8", "multiline": False, "columns": ["k", "day", "ok"],
+                "plan": {"k": Step("integer")}})
+    jobs = context.statusTracker().getJobIdsForGroup("given")
+    context.setJobGroup("", "")
+    assert len(jobs) == 0
+    assert sorted(map(str, given.collect())) == sorted(map(str, found.collect()))
+
+
 def test_csv_plan_skips_detection(spark, tmp_path):
     path = write(tmp_path, "a.csv", "k\n007\n")
     kept = read_csv(spark, path, plan={}, encoding="UTF-8", multiline=False)
