@@ -81,13 +81,12 @@ def distribution_categorical(spark, sf_dir):
     return rounded(one.drop("error"), 6, "most_common_share")
 
 
-@query("distribution_categorical_top", f"""
-select (row_number() over (order by count(*) desc, o_orderpriority))::int as rank,
-       o_orderpriority as value, count(*) as n
-from ({GAPPY_ORDERS}) where o_orderpriority is not null group by o_orderpriority
-order by n desc, value limit 10""")
+@query("distribution_categorical_top", """
+select (row_number() over (order by count(*) desc, p_type))::int as rank, p_type as value,
+       count(*) as n
+from part group by p_type order by n desc, value limit 10""")
 def distribution_categorical_top(spark, sf_dir):
-    return distribution.common_values(gappy_orders(spark, sf_dir), "o_orderpriority")
+    return distribution.common_values(table(spark, sf_dir, "part"), "p_type")
 
 
 def _histogram(column: str, source: str, bins: int) -> str:

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tabulyze.functions.columns import as_double, col, complete_rows, nan_to_null
+from tabulyze.functions.columns import as_double, col, complete_rows, free_name, nan_to_null
 from tabulyze.functions.moments import kurtosis_adjusted, skewness_adjusted
 from tabulyze.functions.order_stats import VALUE_LIMIT, quantile_columns, quantile_values
 from tabulyze.functions.text import safe_divide
@@ -73,9 +73,15 @@ def numeric_distribution(df: DataFrame, column: str, limit: int = VALUE_LIMIT) -
     )
 
 
+def _texts_with_counts(df: DataFrame, column: str) -> DataFrame:
+    out = free_name("n", [column])
+    return value_counts(df, column, out).select(
+        col(column).cast("string").alias("value"), F.col(out).alias("n"))
+
+
 def categorical_distribution(df: DataFrame, column: str) -> DataFrame:
     """One row: count, distinct values, most and least common value; ties by value."""
-    counts = value_counts(df, column).select(col(column).cast("string").alias("value"), "n")
+    counts = _texts_with_counts(df, column)
     most = F.min(F.struct((-F.col("n")).alias("m"), "value"))
     least = F.min(F.struct("n", "value"))
     stats = counts.agg(
@@ -95,7 +101,7 @@ def categorical_distribution(df: DataFrame, column: str) -> DataFrame:
 
 def common_values(df: DataFrame, column: str, top_n: int = 10) -> DataFrame:
     """`rank`, `value`, `n`: the most frequent values, ties by value."""
-    counts = value_counts(df, column).select(col(column).cast("string").alias("value"), "n")
+    counts = _texts_with_counts(df, column)
     place = F.row_number().over(W.orderBy(F.desc("n"), "value"))  # over a few rows
     return counts.orderBy(F.desc("n"), "value").limit(top_n).select(
         place.alias("rank"), "value", "n")

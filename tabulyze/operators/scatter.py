@@ -8,15 +8,22 @@ from tabulyze.functions.columns import CATEGORICAL, col, free_name, role_of
 from tabulyze.operators.roles import project_complete_rows
 from tabulyze.session import ensure_checkpoint_dir
 
-# Distinct categories up to which the code table is broadcast.
+# Distinct categories, and bytes of their texts, up to which the code table is broadcast.
 CODE_LIMIT = 100_000
+CODE_BYTES = 16 << 20
 HOT_SHARE = 0.01
+# Longest text matched by broadcast.
+HOT_BYTES = 64 << 10
 
 
-def category_codes(df: DataFrame, column: str, limit: int = CODE_LIMIT) -> tuple[DataFrame, bool]:
+def category_codes(
+    df: DataFrame, column: str, limit: int = CODE_LIMIT, most_bytes: int = CODE_BYTES
+) -> tuple[DataFrame, bool]:
     """`column`, `__code`: position among the sorted distinct values, and whether it is small."""
     values = df.select(col(column)).distinct()
-    if values.count() <= limit:
+    size = F.coalesce(F.sum(F.octet_length(col(column).cast("string"))), F.lit(0))
+    distinct, text_bytes = values.agg(F.count("*"), size).first()
+    if distinct <= limit and text_bytes <= most_bytes:
         code = F.row_number().over(W.orderBy(col(column))) - 1
         return values.withColumn("__code", code.cast("bigint")), True
     # Sorted across tasks: rows before a task come from a count per task. The sorted table is
@@ -40,9 +47,11 @@ def _attach_codes(rows: DataFrame, column: str, limit: int) -> DataFrame:
     if small:
         return rows.join(F.broadcast(codes), column)
     # At most 1 / HOT_SHARE values can each hold that share of the rows. Their rows are
-    # matched by broadcast, so the shuffled join never meets a large key.
+    # matched by broadcast, so the shuffled join never meets a large key. Rows of longer texts
+    # than fit a broadcast are joined like the others; adaptive execution splits them.
     sizes = rows.groupBy(col(column)).agg(F.count("*").alias("__n"))
-    hot = sizes.filter(F.col("__n") > rows.count() * HOT_SHARE).select(col(column))
+    short = F.octet_length(col(column).cast("string")) <= HOT_BYTES
+    hot = sizes.filter((F.col("__n") > rows.count() * HOT_SHARE) & short).select(col(column))
     hot_codes = F.broadcast(codes.join(F.broadcast(hot), column, "left_semi"))
     warm = rows.join(F.broadcast(hot), column, "left_anti").join(codes, column)
     return rows.join(hot_codes, column).unionByName(warm)
