@@ -2,13 +2,16 @@
 
 P(word | word before) = P(class | class before) * P(word | class).
 
-Units are exchanged between classes: each of the `units` most frequent words is a unit, and all
-other words share units by their shape (a hash of the last three bytes), so every word, seen or
-not, has a class. One pass over the training texts gathers the bigrams of units; each exchange round
-aggregates them by the class of the neighbour, and moves every second unit to the class under
-which its left and right contexts are likeliest. Word counts are exact and kept for all words: the
-most frequent ones (at most `core_words`) are sent to the tasks, all others are joined with the
-rare words of the texts. Neither list is ever cut: the bounds only choose the way.
+Every training word has a class of its own choice. A start is found on units: the `units` most
+frequent words, and the shapes (a hash of the last three bytes) of all others. From there all words
+are exchanged: each turn counts the classes before and after every word, and moves every second
+word to the class under which they are likeliest, until a sweep of two turns moves few words or
+no longer raises the likelihood. Transitions of a turn are those counted by the turn before. Words
+unseen in training take the class that most training words of their shape have.
+
+Word counts and classes are kept for all words: those of the most frequent ones (at most
+`core_words`) are sent to the tasks, all others are tables joined with the rare words of the texts.
+Neither list is ever cut: the bounds only choose the way.
 
 Emission is (c + 1) / (N_class + V_class + 1); transitions are smoothed towards the frequency of
 the class. Words are compared by 64-bit hashes.
@@ -25,15 +28,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulyze.functions.columns import col
 from tabulyze.llm.batches import LOWER, NOT_SPACE, Slice, mix, slices
 from tabulyze.llm.stamping import stamped, written
+from tabulyze.session import scratch_path
 
 FOLDS, HELD_OUT = 7, 2
 END_HASH = np.uint64(0x8000000000000001)
 PENDING = 600_000
+LINKED = 400_000
 
 
 @dataclass(frozen=True)
@@ -42,7 +47,9 @@ class ClassOptions:
     units: int = 2048
     shapes: int = 1024
     core_words: int = 1 << 17
-    rounds: int = 5
+    rounds: int = 5  # of the start; the exchange of all words ends by the next two
+    few_moves: float = 0.01
+    least_rise: float = 1e-3
     backoff: float = 5.0
 
     @property
@@ -124,11 +131,12 @@ def word_counts(texts: DataFrame, options: ClassOptions) -> DataFrame:
 
 @dataclass
 class Core:
-    """The frequent words, by hash: their counts, and their units (-1: that of their shape)."""
+    """The frequent words, by hash: their counts, shapes and units (-1: that of their shape)."""
 
     hashes: np.ndarray
     counts: np.ndarray
     units: np.ndarray
+    shapes: np.ndarray
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each word, -1 for the others."""
@@ -155,15 +163,21 @@ def frequent(counts: DataFrame, options: ClassOptions) -> tuple[Core, int]:
         total, least = total + n, at
     if least is None:
         empty = np.zeros(0, np.int64)
-        return Core(empty.view(np.uint64), empty, empty), 1 << 30
-    rows = words.filter(level >= least).select("h", "c").toArrow()
+        return Core(empty.view(np.uint64), empty, empty, empty), 1 << 30
+    rows = words.filter(level >= least).select("h", "c", "shape").toArrow()
     hashes = rows["h"].to_numpy().view(np.uint64)
-    counted = rows["c"].to_numpy()
+    counted, shapes = rows["c"].to_numpy(), rows["shape"].to_numpy()
     order = np.lexsort((hashes, -counted))
     units = np.full(len(hashes), -1)
     units[order[:options.units]] = np.arange(min(options.units, len(order)))
     by_hash = np.argsort(hashes)
-    return Core(hashes[by_hash], counted[by_hash], units[by_hash]), least
+    return Core(hashes[by_hash], counted[by_hash], units[by_hash], shapes[by_hash]), least
+
+
+def is_rare(least: int) -> Column:
+    """Whether a row of the word counts is a word outside the core."""
+    level = F.floor(F.log(F.col("c").cast("double")) * 64)
+    return (F.col("shape") >= 0) & (level < least)
 
 
 def _sequence(part: Slice, core: Core, options: ClassOptions):
@@ -242,10 +256,292 @@ def exchange(bigrams: DataFrame, options: ClassOptions) -> tuple[np.ndarray, np.
     raise AssertionError
 
 
+def links(texts: DataFrame, core: Core) -> DataFrame:
+    """(ac, ah, bc, bh, n, kind): word b follows word a n times, in one portion of the texts.
+
+    A core word is its place (ac, bc), the end token the place after the last; a rare word has
+    place -1 and its hash (ah, bh). Kind is 1 for a rare a, plus 2 for a rare b.
+    """
+    spark = texts.sparkSession
+    shared, end = spark.sparkContext.broadcast(core.hashes), len(core.hashes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Core(shared.value, *(np.zeros(0, np.int64),) * 3)
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            places, hashes = (np.concatenate(x) for x in zip(*held))
+            token = mix(np.where(places < 0, hashes, places.astype(np.uint64)))
+            pair = mix(token[:-1] * np.uint64(0x9E3779B97F4A7C15) + token[1:])
+            _, first, n = np.unique(pair, return_index=True, return_counts=True)
+            for lo in range(0, len(first), 1 << 16):
+                at, uses = first[lo:lo + (1 << 16)], n[lo:lo + (1 << 16)]
+                ac, bc = places[at], places[at + 1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ac.astype(np.int32)), pa.array(hashes[at].view(np.int64)),
+                     pa.array(bc.astype(np.int32)), pa.array(hashes[at + 1].view(np.int64)),
+                     pa.array(uses.astype(np.int32)),
+                     pa.array(((ac < 0) + 2 * (bc < 0)).astype(np.int32))],
+                    names=["ac", "ah", "bc", "bh", "n", "kind"])
+
+        start = (np.array([end]), np.zeros(1, np.uint64))
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                found, _, bounds = _words(part, 1)
+                places = np.full(len(found) + len(part), end, np.int64)
+                hashes = np.zeros(len(places), np.uint64)
+                at = np.arange(len(found)) + np.repeat(np.arange(len(part)), np.diff(bounds))
+                places[at] = known.find(found)
+                hashes[at] = np.where(places[at] < 0, found, np.uint64(0))
+                held += [(places, hashes)] if held else [start, (places, hashes)]
+                size += len(places)
+                if size > LINKED:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
+
+    path = scratch_path(spark, "links")
+    found = texts.mapInArrow(count, "ac int, ah long, bc int, bh long, n int, kind int")
+    found.write.partitionBy("kind").parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
+MOVED = "kind int, w long, side int, k int, n long"
+LABEL, CONTEXT, PAIR = 0, 1, 2
+
+
+def _moved_rows(kind: int, w: np.ndarray, side: np.ndarray | int, k: np.ndarray,
+                n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    step = 1 << 17
+    side = np.broadcast_to(side, len(w))
+    for lo in range(0, len(w), step):
+        at = slice(lo, lo + step)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(w[at]), kind, np.int32)), pa.array(w[at].astype(np.int64)),
+             pa.array(side[at].astype(np.int32)), pa.array(k[at].astype(np.int32)),
+             pa.array(n[at].astype(np.int64))], names=["kind", "w", "side", "k", "n"])
+
+
+@dataclass
+class Turn:
+    """What tasks need to move words: transitions, class sizes, and the classes of the core."""
+
+    classes: int
+    half: int
+    core: np.ndarray  # with the end token
+    follow: np.ndarray
+    sizes: np.ndarray
+
+    def best(self, contexts: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Likeliest class by the counts (words x side x class); the own one if none is better."""
+        gain = contexts[:, 0] @ self.follow + contexts[:, 1] @ self.follow.T
+        gain -= contexts[:, 0].sum(axis=1, keepdims=True) * np.log(self.sizes + 1.0)
+        gain[:, self.classes] = -np.inf
+        best = np.argmax(gain, axis=1)
+        rows = np.arange(len(own))
+        return np.where(gain[rows, best] > gain[rows, own] + 1e-9, best, own)
+
+    def moves(self, words: np.ndarray) -> np.ndarray:
+        return (mix(words.astype(np.int64).view(np.uint64)) & np.uint64(1)).astype(int) == self.half
+
+
+class CoreContexts:
+    """Counts of the classes beside the core words that move, and of class pairs, in a task."""
+
+    def __init__(self, turn: Turn) -> None:
+        self.turn, self.n = turn, turn.classes + 1
+        self.place = np.full(len(turn.core), -1)
+        moving = np.flatnonzero(turn.moves(np.arange(len(turn.core) - 1)))
+        self.place[moving], self.moving = np.arange(len(moving)), moving
+        self.cells = np.zeros(len(moving) * 2 * self.n, np.int32)
+        self.pairs = np.zeros(self.n * self.n, np.int64)
+
+    def add(self, words: np.ndarray, side: np.ndarray | int, k: np.ndarray,
+            n: np.ndarray) -> None:
+        at = self.place[words]
+        cell = ((at * 2 + side) * self.n + k)[at >= 0]
+        cell, back = np.unique(cell, return_inverse=True)
+        self.cells[cell] += np.bincount(back, n[at >= 0], len(cell)).astype(np.int32)
+
+    def add_pairs(self, before: np.ndarray, after: np.ndarray, n: np.ndarray) -> None:
+        self.pairs += np.bincount(before * self.n + after, n, len(self.pairs)).astype(np.int64)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        cell = np.flatnonzero(self.cells)
+        yield from _moved_rows(CONTEXT, self.moving[cell // (2 * self.n)],
+                               cell // self.n % 2, cell % self.n, self.cells[cell])
+        cell = np.flatnonzero(self.pairs)
+        yield from _moved_rows(PAIR, cell // self.n, 0, cell % self.n, self.pairs[cell])
+
+
+def _core_links(shared):
+    """mapInArrow over (ac, bc, n): the contexts that core words are to each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = CoreContexts(shared.value)
+        core = shared.value.core
+        for batch in batches:
+            a, b, n = (batch.column(i).to_numpy() for i in range(3))
+            held.add(a, 1, core[b], n)
+            held.add(b, 0, core[a], n)
+            held.add_pairs(core[a], core[b], n)
+        yield from held.rows()
+
+    return run
+
+
+def _rare_words(shared):
+    """mapInArrow over (w, own, items), sorted by w: classes of rare words after the turn.
+
+    An item is a count times 2**32 plus a code: the place of a core word before w, or after it, or
+    the class of a rare word before w, or after it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = shared.value
+        held, n, size = CoreContexts(turn), turn.classes + 1, len(turn.core)
+        side_of = np.repeat([0, 1, 0, 1], [size, size, n, n])
+        class_of = np.concatenate([turn.core, turn.core, np.arange(n), np.arange(n)])
+
+        def moved(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            w = rows.column(0).to_numpy()
+            first = np.append(True, w[1:] != w[:-1])
+            word = np.cumsum(first) - 1
+            w = w[first]
+            own = np.maximum.reduceat(rows.column(1).to_numpy(), np.flatnonzero(first))
+            items = rows.column(2)
+            at = np.repeat(word, items.value_lengths().to_numpy())
+            packed = items.flatten().to_numpy()
+            code, uses = packed & 0xFFFFFFFF, packed >> 32
+            side, k = side_of[code], class_of[code]
+            contexts = np.bincount((at * 2 + side) * n + k, uses, len(w) * 2 * n).reshape(
+                len(w), 2, n)
+            np.add.at(held.pairs.reshape(n, n).T, own, contexts[:, 0].astype(np.int64))
+            near = code < 2 * size
+            beside, mine, times = code[near] % size, own[at[near]], uses[near]
+            held.add(beside, 1 - side[near], mine, times)
+            after = side[near] == 1
+            held.add_pairs(mine[after], k[near][after], times[after])
+            moving = np.flatnonzero(turn.moves(w))
+            new = own.copy()
+            new[moving] = turn.best(contexts[moving], own[moving])
+            yield from _moved_rows(LABEL, w, 0, new, new != own)
+
+        rest = None
+        for batch in batches:
+            if rest is not None:
+                batch = pa.concat_batches([rest, batch])
+            w = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(w, w[-1])) if len(w) else 0
+            if cut:
+                yield from moved(batch.slice(0, cut))
+            rest = batch.slice(cut)
+        if rest is not None and len(rest):
+            yield from moved(rest)
+        yield from held.rows()
+
+    return run
+
+
+def _best_of_core(shared):
+    """mapInArrow over (w, side, k, n), sorted by w: classes of moving core words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, n = shared.value, shared.value.classes + 1
+
+        def best(part: list[np.ndarray]) -> pa.RecordBatch:
+            words, word = np.unique(part[0], return_inverse=True)
+            contexts = np.bincount((word * 2 + part[1]) * n + part[2], part[3],
+                                   len(words) * 2 * n).reshape(len(words), 2, n)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(words), pa.array(turn.best(contexts, turn.core[words]).astype(
+                    np.int32))], names=["w", "k"])
+
+        rest = [np.zeros(0, np.int64)] * 4
+        for batch in batches:
+            now = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(rest)]
+            cut = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0
+            if cut:
+                yield best([x[:cut] for x in now])
+            rest = [x[cut:] for x in now]
+        if len(rest[0]):
+            yield best(rest)
+
+    return run
+
+
+def exchange_words(linked: DataFrame, labels: DataFrame, core: np.ndarray, pairs: np.ndarray,
+                   words: int, options: ClassOptions) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+    """Classes of core words and the end, labels (w, k) of rare words, and the class bigrams.
+
+    Starts from those given; `words` is the number of all training words.
+    """
+    spark = linked.sparkSession
+    n, size = options.classes + 1, len(core)
+    both = linked.filter("kind = 0").select("ac", "bc", "n")
+    item = F.shiftleft(F.col("n").cast("long"), 32)
+    before = linked.filter("kind = 2").select(F.col("bh").alias("w"), (
+        item + F.col("ac")).alias("item"))
+    after = linked.filter("kind = 1").select(F.col("ah").alias("w"), (
+        item + F.col("bc") + size).alias("item"))
+    # The uses of a rare word are fewer than those of the rarest core word.
+    gathered = written(before.union(after).groupBy("w").agg(
+        F.collect_list("item").alias("items")), "rare-contexts")
+    rare = linked.filter("kind = 3")
+    rare = rare.select(F.col("ah").alias("w"), F.col("bh").alias("v"), F.lit(1).alias("side"), "n") \
+        .union(rare.select(F.col("bh").alias("w"), F.col("ah").alias("v"), F.lit(0), "n"))
+    nothing = F.array().cast("array<long>")
+    before_sweep, moved, half = likelihood(pairs), 0, 0
+    while True:  # half 0 and half 1 make a sweep; half -1 only counts
+        follow = np.log((pairs + 0.5) / (pairs.sum(axis=1, keepdims=True) + 0.5 * n))
+        turn = Turn(options.classes, half, core, follow, pairs.sum(axis=0))
+        shared = spark.sparkContext.broadcast(turn)
+        known = labels.select(F.col("w").alias("v"), "k")
+        told = rare.join(known, "v").select("w", F.lit(-1).alias("own"), F.array(
+            item + 2 * size + F.col("side") * n + F.col("k")).alias("items"))
+        rows = labels.select("w", F.col("k").alias("own"), nothing.alias("items")) \
+            .union(gathered.select("w", F.lit(-1), "items")).union(told)
+        out = written(
+            rows.repartition("w").sortWithinPartitions("w").mapInArrow(_rare_words(shared), MOVED)
+            .union(both.mapInArrow(_core_links(shared), MOVED)), "turn")
+        pairs = np.zeros((n, n))
+        for r in out.filter(F.col("kind") == PAIR).groupBy("w", "k").agg(
+                F.sum("n").alias("n")).collect():
+            pairs[r["w"], r["k"]] = r["n"]
+        if half < 0:
+            return core, labels, pairs
+        sides = out.filter(F.col("kind") == CONTEXT).groupBy("w", "side", "k").agg(
+            F.sum("n").alias("n"))
+        found = sides.repartition("w").sortWithinPartitions("w").select(
+            "w", "side", "k", "n").mapInArrow(_best_of_core(shared), "w long, k int").toArrow()
+        new = core.copy()
+        new[found["w"].to_numpy()] = found["k"].to_numpy()
+        mine = out.filter(F.col("kind") == LABEL)
+        moved += int((new != core).sum()) + (mine.agg(F.sum("n")).first()[0] or 0)
+        core, labels = new, mine.select("w", "k")
+        shared.unpersist()
+        if half == 0:
+            half = 1
+            continue
+        now = likelihood(pairs)
+        settled = moved <= options.few_moves * words \
+            or now - before_sweep <= options.least_rise * abs(before_sweep)
+        before_sweep, moved, half = now, 0, -1 if settled else 0
+
+
+def likelihood(pairs: np.ndarray) -> float:
+    """Log likelihood of the classes, up to what does not depend on them."""
+    cells = (pairs, pairs.sum(axis=0), pairs.sum(axis=1))
+    inner, left, right = (float((x * np.log(np.maximum(x, 1))).sum()) for x in cells)
+    return inner - left - right
+
+
 @dataclass
 class Model:
     core: Core
-    class_of: np.ndarray
+    class_of: np.ndarray  # of core words and the end
+    of_shape: np.ndarray
     follow: np.ndarray
     emit_total: np.ndarray
     tokens: int
@@ -253,75 +549,89 @@ class Model:
     end_count: int
 
 
-def fit(training: DataFrame, options: ClassOptions) -> tuple[Model, DataFrame, int]:
-    """The model of a table (text), all word counts, and the level where the core ends."""
+def fit(training: DataFrame, options: ClassOptions) -> tuple[Model, DataFrame]:
+    """The model of a table (text), and counts and classes (h, c, k) of all rare words."""
     counts = written(word_counts(training, options), "word-counts")
     core, least = frequent(counts, options)
     bigrams = written(unit_bigrams(training, core, options), "unit-bigrams")
-    classes, pairs = exchange(bigrams, options)
-    of_shape = counts.groupBy("shape").agg(
-        F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).collect()
+    units, pairs = exchange(bigrams, options)
+    totals = {r["end"]: (r["v"], r["n"]) for r in counts.groupBy(
+        (F.col("shape") < 0).alias("end")).agg(
+            F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).collect()}
+    end_count = totals.get(True, (0, 0))[1]
+    start = np.append(units[np.where(core.units >= 0, core.units, options.units + core.shapes)],
+                      options.classes).astype(np.int64)
+    of_shape = F.array(*(F.lit(int(k)) for k in units[options.units:-1]))
+    rare = counts.filter(is_rare(least))
+    labels = rare.select(F.col("h").alias("w"), F.get(of_shape, F.col("shape")).alias("k"))
+    class_of, labels, pairs = exchange_words(
+        links(training, core), written(labels, "labels"), start, pairs,
+        totals.get(False, (0, 0))[0], options)
+    rare = written(rare.join(labels.withColumnRenamed("w", "h"), "h"), "rare-words")
     v, n = np.zeros(options.classes + 1), np.zeros(options.classes + 1)
-    end_count = 0
-    for r in of_shape:
-        k = options.classes if r["shape"] < 0 else classes[options.units + r["shape"]]
-        v[k], n[k] = v[k] + r["v"], n[k] + r["n"]
-        end_count += r["n"] if r["shape"] < 0 else 0
-    own = np.flatnonzero(core.units >= 0)
-    if len(own):  # words that are units leave the class of their shape
-        hashes = [int(h) for h in core.hashes[own].view(np.int64)]
-        shapes = {r["h"]: r["shape"] for r in counts.filter(
-            F.col("h").isin(hashes)).select("h", "shape").collect()}
-        for h, c, u in zip(hashes, core.counts[own].tolist(), core.units[own].tolist()):
-            for k, sign in ((classes[options.units + shapes[h]], -1), (classes[u], 1)):
-                v[k], n[k] = v[k] + sign, n[k] + sign * c
+    kinds = np.zeros((options.shapes, options.classes + 1), np.int64)
+    np.add.at(v, class_of[:-1], 1)
+    np.add.at(n, class_of[:-1], core.counts)
+    np.add.at(kinds, (core.shapes, class_of[:-1]), 1)
+    v[-1], n[-1] = totals.get(True, (0, 0))
+    for r in rare.groupBy("shape", "k").agg(
+            F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).collect():
+        v[r["k"]], n[r["k"]] = v[r["k"]] + r["v"], n[r["k"]] + r["n"]
+        kinds[r["shape"], r["k"]] += r["v"]
+    kinds[kinds.sum(axis=1) == 0] = kinds.sum(axis=0)
     share = (pairs.sum(axis=0) + 1) / (pairs.sum() + len(pairs))
     follow = np.log10((pairs + options.backoff * share)
                       / (pairs.sum(axis=1, keepdims=True) + options.backoff))
-    model = Model(core, classes, follow, np.log10(n + v + 1),
-                  sum(r["n"] for r in of_shape), sum(r["v"] for r in of_shape), end_count)
-    return model, counts, least
+    model = Model(core, class_of, np.argmax(kinds, axis=1), follow, np.log10(n + v + 1),
+                  sum(t[1] for t in totals.values()), sum(t[0] for t in totals.values()),
+                  end_count)
+    return model, rare.select("h", "c", "k")
 
 
-SCORED = pa.schema([
+KNOWN = pa.schema([
     ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64()),
-    ("structure", pa.float64()), ("rare", pa.list_(pa.int64())),
-    ("rare_n", pa.list_(pa.int32())),
+    ("line", pa.binary()), ("rare", pa.list_(pa.int64())),
 ])
-SCORED_DDL = ("n_tokens long, n_known long, log_counts double, structure double, "
-              "rare array<long>, rare_n array<int>")
+KNOWN_DDL = "n_tokens long, n_known long, log_counts double, line binary, rare array<long>"
+UNSURE = 128
+
 
+def _known(part: Slice, model: Model, options: ClassOptions) -> list[pa.Array]:
+    """Per text: what core words and the end give, the classes of all words, and the other words.
 
-def _score(part: Slice, model: Model, options: ClassOptions) -> list[pa.Array]:
-    """Per text: what core words and the end give, the class terms, and the other words."""
-    hashes, at, units, bounds, line = _sequence(part, model.core, options)
+    Classes are a byte each; those of other words are the ones of their shapes, plus UNSURE.
+    """
+    hashes, shape, bounds = _words(part, options.shapes)
+    at = model.core.find(hashes)
     text = np.repeat(np.arange(len(part)), np.diff(bounds))
     known = at >= 0
     logs = np.log10(model.core.counts + 1.0) if len(model.core.counts) else np.zeros(1)
     ends_known = int(model.end_count > 0)
     log_counts = np.bincount(text, np.where(known, logs[at], 0.0), len(part)).astype(np.float64)
     log_counts += np.log10(model.end_count + 1.0)
-    classes = model.class_of[line]
-    terms = model.follow[np.append(options.classes, classes[:-1]), classes] \
-        - model.emit_total[classes]
-    line_text = np.repeat(np.arange(len(part)), np.diff(bounds) + 1)
-    structure = np.bincount(line_text, terms, len(part))
+    line = np.where(known, model.class_of[at], model.of_shape[shape] + UNSURE).astype(np.uint8)
     rare = np.flatnonzero(~known)
-    order = rare[np.lexsort((hashes[rare], text[rare]))]
-    h, t = hashes[order], text[order]
-    first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))) \
-        if len(h) else np.zeros(0, np.int64)
-    uses = np.diff(np.append(first, len(h)))
-    offsets = pa.array(np.searchsorted(t[first], np.arange(len(part) + 1)).astype(np.int32))
     return [
         pa.array(np.diff(bounds) + 1),
         pa.array(np.bincount(text, known, len(part)).astype(np.int64) + ends_known),
-        pa.array(log_counts), pa.array(structure),
-        pa.ListArray.from_arrays(offsets, pa.array(h[first].view(np.int64))),
-        pa.ListArray.from_arrays(offsets, pa.array(uses.astype(np.int32))),
+        pa.array(log_counts),
+        pa.array([line[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()),
+        pa.ListArray.from_arrays(
+            pa.array(np.searchsorted(rare, bounds).astype(np.int32)),
+            pa.array(hashes[rare].view(np.int64))),
     ]
 
 
+def _structure(line: bytes, found: np.ndarray, model: Model, end: int) -> float:
+    """The class terms of a text; `found` holds place * 256 + class of other words seen."""
+    classes = np.frombuffer(line, np.uint8).astype(np.int64)
+    rare = np.flatnonzero(classes >= UNSURE)
+    classes[rare] -= UNSURE
+    classes[rare[found >> 8]] = found & 255
+    after = np.append(classes, end)
+    return float((model.follow[np.append(end, classes), after] - model.emit_total[after]).sum())
+
+
 def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
            options: ClassOptions = ClassOptions()) -> DataFrame:
     """One row per text: whether it was held out, token counts, and both log10 scores."""
@@ -329,30 +639,35 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     fold = F.pmod(F.crc32(F.coalesce(col(id_column).cast("string"), F.lit(""))
                           .cast("binary")), F.lit(FOLDS))
     held = fold == HELD_OUT
-    model, counts, least = fit(docs.filter(~held).select(col(text_column)), options)
+    model, others = fit(docs.filter(~held).select(col(text_column)), options)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf(SCORED_DDL)
+    @F.arrow_udf(KNOWN_DDL)
     def judge(texts: pa.Array) -> pa.Array:
-        parts = [_score(p, shared.value, options) for p in slices(texts)]
+        parts = [_known(p, shared.value, options) for p in slices(texts)]
         if not parts:
-            return pa.array([], pa.struct(SCORED))
+            return pa.array([], pa.struct(KNOWN))
         return pa.StructArray.from_arrays(
-            [pa.concat_arrays(list(c)) for c in zip(*parts)], fields=list(SCORED))
+            [pa.concat_arrays(list(c)) for c in zip(*parts)], fields=list(KNOWN))
+
+    @F.arrow_udf("double")
+    def structure(lines: pa.Array, found: pa.Array) -> pa.Array:
+        none = np.zeros(0, np.int64)
+        return pa.array([
+            _structure(a.as_py(), b.values.to_numpy() if b.is_valid else none, shared.value,
+                       options.classes)
+            for a, b in zip(lines, found)], pa.float64())
 
     rows = stamped(docs.select(
         col(id_column).alias("id"), held.alias("held_out"),
         judge(col(text_column)).alias("s")).select("id", "held_out", "s.*"), "scores")
-    level = F.floor(F.log(F.col("c").cast("double")) * 64)
-    others = counts.filter((F.col("shape") >= 0) & (level < least)).select("h", "c")
-    pairs = rows.select("row_uid", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select(
-        "row_uid", F.col("w.rare").alias("h"), F.col("w.rare_n").alias("uses"))
+    pairs = rows.select("row_uid", F.posexplode("rare").alias("at", "h"))
     more = (
         pairs.join(others, "h").groupBy("row_uid")
-        .agg(F.sum("uses").cast("long").alias("known"),
-             F.sum(F.col("uses") * F.log10(F.col("c") + 1.0)).alias("logs"))
+        .agg(F.count(F.lit(1)).alias("known"), F.sum(F.log10(F.col("c") + 1.0)).alias("logs"),
+             F.collect_list(F.col("at").cast("long") * 256 + F.col("k")).alias("found"))
     )
-    found = rows.drop("rare", "rare_n").join(more, "row_uid", "left")
+    found = rows.drop("rare").join(more, "row_uid", "left")
     logs = F.col("log_counts") + F.coalesce("logs", F.lit(0.0))
     return found.select(
         F.col("id").alias(id_column), "held_out", "n_tokens",
@@ -360,4 +675,4 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * float(np.log10(model.tokens + model.words + 1)))
         .alias("base_score"),
-        (logs + F.col("structure")).alias("score"))
+        (logs + structure("line", "found")).alias("score"))

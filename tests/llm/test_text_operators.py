@@ -281,3 +281,26 @@ def test_class_model_base_is_exact(table, core_words, request):
 def test_class_model_beats_its_base_on_held_out_texts(documents):
     rows = [r for r in class_model.scored(documents).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+@pytest.mark.parametrize("core_words", [4, 1 << 17])
+def test_class_model_classes_follow_contexts_not_endings(shipped, core_words):
+    """Words beyond the units, endings shared across two kinds: their neighbours tell them apart."""
+    nouns = [f"n{i}{e}" for i in range(30) for e in ("abc", "xyz")]
+    verbs = [f"v{i}{e}" for i in range(30) for e in ("abc", "xyz")]
+    rows = [(i, f"the {a} will {b} the {c} will {b}") for i, (a, b, c) in
+            enumerate((nouns[k % 60], verbs[(k * 7) % 60], nouns[(k * 13) % 60])
+                      for k in range(400))]
+    docs = shipped.createDataFrame(rows, "doc_id long, text string")
+    options = class_model.ClassOptions(classes=4, units=4, shapes=16, core_words=core_words)
+    model, others = class_model.fit(docs.select("text"), options)
+    classes = {r.h: r.k for r in others.collect()}
+    classes |= dict(zip(model.core.hashes.view(np.int64).tolist(), model.class_of.tolist()))
+
+    def class_set(words):
+        hashes = shipped.createDataFrame([(w,) for w in words], "text string")
+        return {classes[r.h] for r in class_model.word_counts(hashes, options).collect()
+                if r.shape >= 0}
+
+    assert len(classes) == 122
+    assert not class_set(nouns) & class_set(verbs)
