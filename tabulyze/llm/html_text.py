@@ -40,6 +40,14 @@ IMPLIED_ENDS = {
     "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
     "thead": ({"caption", "colgroup"}, {"table"}), "body": ({"head"}, {"html"}),
 }
+HEAD_CONTENT = frozenset(
+    "base basefont bgsound head link meta noframes noscript script style template title".split())
+GROUPS = frozenset(("thead", "tbody", "tfoot"))
+#: A start tag of the key ends all that is open inside the nearest of the values.
+TABLE_PLACES = dict.fromkeys(("caption", "colgroup", *GROUPS), {"table"}) | {
+    "col": {"table", "colgroup"}, "tr": {"table"} | GROUPS,
+    "td": {"table", "tr"} | GROUPS, "th": {"table", "tr"} | GROUPS,
+}
 PARAGRAPH_ENDERS = BLOCKS - {"html", "body", "caption"}
 
 TAG = re.compile(
@@ -73,6 +81,8 @@ def build(page: str) -> Node:
 
     def text(data: str) -> None:
         if data:
+            if stack[-1].name in ("head", "colgroup") and data.strip():
+                stack.pop()
             if stack[-1].name in ("table", "tbody", "thead", "tfoot", "tr") and not data.strip():
                 return
             stack[-1].children.append(html.unescape(data) if "&" in data else data)
@@ -86,6 +96,13 @@ def build(page: str) -> Node:
                 close(names, borders)
                 return
 
+    def clear(places: set[str]) -> None:
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name in places:
+                del stack[i + 1:]
+            if stack[i].name in places or stack[i].name == "template":
+                return
+
     while match := TAG.search(page, at):
         text(page[at:match.start()])
         at = match.end()
@@ -107,6 +124,11 @@ def build(page: str) -> Node:
             continue
         if name == "html":
             continue
+        if stack[-1].name == "head" and name not in HEAD_CONTENT \
+                or stack[-1].name == "colgroup" and name not in ("col", "template"):
+            stack.pop()
+        if name in TABLE_PLACES:
+            clear(TABLE_PLACES[name])
         if name in PARAGRAPH_ENDERS:
             close({"p"}, {"table", "td", "th", "li", "div", "article", "section", "button"})
         if name in IMPLIED_ENDS:
@@ -117,6 +139,8 @@ def build(page: str) -> Node:
             stack.append(row)
         node = Node(name, match.group(3))
         stack[-1].children.append(node)
+        if name == "form" and (stack[-1].name in GROUPS or stack[-1].name in ("table", "tr")):
+            continue  # holds nothing there; the rows belong to the table
         if name in VOID or match.group(3).endswith("/") and name in ("svg", "path"):
             continue
         if name in RAW:
@@ -230,21 +254,28 @@ def _rows(node: Node) -> list[Node]:
         if isinstance(child, Node) and not child.hidden:
             if child.name == "tr":
                 rows.append(child)
-            elif child.name in ("thead", "tbody", "tfoot"):
+            elif child.name in GROUPS:
                 rows += _rows(child)
     return rows
 
 
+def _misplaced(node: Node, out: Canvas) -> None:
+    """Captions, and what is neither a row nor a group of rows."""
+    for child in node.children:
+        if isinstance(child, str):
+            out.write(child)
+        elif child.name in GROUPS:
+            if not child.hidden:
+                _misplaced(child, out)
+        elif child.name not in ("tr", "colgroup"):
+            render(child, out)
+
+
 def _table(node: Node, out: Canvas) -> None:
     out.end_line()
     out.blank = True
     rows = _rows(node)
-    inside = {id(r) for r in rows}
-    for child in node.children:  # captions and misplaced content come before the rows
-        if isinstance(child, str):
-            out.write(child)
-        elif id(child) not in inside and child.name not in ("thead", "tbody", "tfoot", "colgroup"):
-            render(child, out)
+    _misplaced(node, out)  # comes before the rows
     out.end_line()
     grid = []
     for row in rows:
@@ -255,7 +286,8 @@ def _table(node: Node, out: Canvas) -> None:
                 inner.write(cell)
             else:
                 render(cell, inner)
-            if (lines := inner.finish()) or isinstance(cell, Node) and not cell.hidden:
+            if (lines := inner.finish()) or isinstance(cell, Node) and not cell.hidden \
+                    and cell.name != "form":
                 cells.append(lines.split("\n"))
         if any(any(c) for c in cells):
             grid.append(cells)

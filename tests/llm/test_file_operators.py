@@ -246,3 +246,20 @@ def test_near_copies_leave_the_smallest_id(shipped, odd):
     kept = corpus_pipeline.keep_one_of_near_copies(shipped, odd, SMALL).collect()
     ids = [r.doc_id for r in kept]
     assert ids.count(4) == 1 and None not in ids and 1 in ids and 2 not in ids
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<head><title>T</title><p>Hello <b>you</b>", "Hello you"),
+    ("<html><head><meta charset=x>bare text<div>more</div>", "bare text\nmore"),
+    ("<head><title>T</title></head><body><p>a", "a"),
+    ("<table><colgroup><col><tr><td>A<td>B<tr><td>C</table>z", "A | B\nC\n\nz"),
+    ("<table><caption>Cap<tr><td>A</table>", "Cap\nA"),
+    ("<table><colgroup><col><tbody><tr><td>A</table>", "A"),
+    ("<table><tbody>loose<tr><td>A</td></tr></tbody></table>", "loose\nA"),
+    ("<table><tbody><form><tr><td>A<td>B</td></tr></form></tbody></table>", "A | B"),
+    ("<table><tr><form><td>A</td></form></tr></table>", "A"),
+    ("<table><thead><div>d<tr><td>A</table>", "d\nA"),
+    ("<table><tr><td><table><tr><td>in</table><td>out</table>", "in | out"),
+])
+def test_ends_left_out_lose_no_text(page, text):
+    assert html_text.page_text(page) == text
