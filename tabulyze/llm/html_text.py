@@ -28,8 +28,8 @@ HIDDEN = frozenset(
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu "
-    "nav ol p pre section summary table caption ul".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table blockquote pre hr figure".split())
+    "nav ol p pre section summary table caption ul xmp".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table blockquote pre hr figure xmp".split())
 #: A start tag of the key ends an open element of the value, up to the given border.
 IMPLIED_ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
@@ -50,10 +50,13 @@ TABLE_PLACES = dict.fromkeys(("caption", "colgroup", *GROUPS), {"table"}) | {
 }
 PARAGRAPH_ENDERS = BLOCKS - {"html", "body", "caption"}
 
+#: A quote opens a string only right after the equals sign; elsewhere it is a character of a name.
+NAMED = r"[^\s/>][^\s/>=]*+"
+VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s>]*+"
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|"
-    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+    rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{NAMED}(?:\s*+=\s*+(?:{VALUE}))?+)*+)>", re.S)
+ATTRIBUTE = re.compile(rf"({NAMED})(?:\s*+=\s*+({VALUE}))?+")
 SPACE = re.compile(r"[ \t\r\n\f]+")
 STYLE_HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
@@ -67,8 +70,7 @@ class Node:
         if attributes and ("=" in attributes or "hidden" in attributes.lower()):
             found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
             self.hidden |= (
-                "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-                or name == "input" or bool(STYLE_HIDDEN.search(found.get("style", ""))))
+                "hidden" in found or name == "input" or bool(STYLE_HIDDEN.search(found.get("style", ""))))
             if found.get("start", "").isdigit():
                 self.start = int(found["start"][:9])
 
@@ -148,6 +150,8 @@ def build(page: str) -> Node:
             stop = end.start() if end else len(page)
             if name == "textarea":
                 node.children.append(html.unescape(page[at:stop]))
+            elif name == "xmp":
+                node.children.append(page[at:stop])
             at = end.end() if end else len(page)
             continue
         if len(stack) < 400:  # deeper elements become children of the deepest one kept
@@ -239,7 +243,7 @@ def render(node: Node, out: Canvas, pre: bool = False, depth: int = 0, number: s
             render(child, out, pre, depth + (1 if listed else 0), mark)
             count += 1
         else:
-            render(child, out, pre or child.name in ("pre", "textarea"), depth)
+            render(child, out, pre or child.name in ("pre", "textarea", "xmp"), depth)
     out.indent = outer
     if name == "li":
         out.mark = ""

@@ -263,3 +263,23 @@ def test_near_copies_leave_the_smallest_id(shipped, odd):
 ])
 def test_ends_left_out_lose_no_text(page, text):
     assert html_text.page_text(page) == text
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p title=it's>one</p><p>don't</p>", "one\n\ndon't"),
+    ('<img alt="5" screen">seen<p class="x">more</p>', "seen\n\nmore"),
+    ("<p title=\"a > b\">in</p><a href='x>y'>link</a>", "in\n\nlink"),
+    ('<a href=x?a="b>c</a>"', 'c"'),
+    ('<p title="never closed>shown</p>', "shown"),
+    ("<p style='display:none'>no</p><p title=it's style=display:none>no</p><p>yes</p>", "yes"),
+    ('<span aria-hidden="true">drawn</span>', "drawn"),
+    ("a<xmp><b>  x &amp; y</b>\nz</xmp>b", "a\n\n<b>  x &amp; y</b>\nz\n\nb"),
+])
+def test_quotes_and_drawn_elements_hide_no_text(page, text):
+    assert html_text.page_text(page) == text
+
+
+def test_many_attributes_of_an_open_tag_are_read_once():
+    page = "<p " + 'a="b" ' * 5000
+    assert html_text.page_text(page + ">x") == "x"
+    assert "a=" in html_text.page_text(page)
