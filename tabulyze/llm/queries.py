@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulyze.llm import (
-    class_model, decontamination, html_text, packing, pii, quality, repair, simhash, url_rules, warc,
+    class_model, conversation_trie, decontamination, html_text, ngram_join, packing, pii, quality,
+    ranked_search, repair, simhash, url_rules, warc,
 )
 from tabulyze.llm.shipping import ship
 
@@ -144,3 +145,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_class_model")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_model.scored(table(spark, sf_dir, "documents"))
+
+
+@query("op11_conversation_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_ngram_jaccard_join")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
+@query("op13_ranked_search")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
