@@ -11,16 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabulyze.functions.columns import col
-from tabulyze.llm import decontamination, near_copies, packing, pii, quality
+from tabulyze.llm import decontamination, packing, pii, quality, simhash
 from tabulyze.llm.queries import table, tokenizer_definition
 from tabulyze.llm.shipping import ship
-from tabulyze.llm.stamping import stamped, unused, written
+from tabulyze.llm.stamping import unused, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null and empty texts are too short and go."""
     ship(spark)
     rules, m = quality.RepetitionRules(), unused("measures", docs)
     judged = docs.withColumn(m, quality.measures(F.col("text"), rules))
@@ -29,27 +29,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked near copies the document with the smallest id.
+    """Of each group of documents linked by their fingerprints the one with the smallest id.
 
-    Null ids come last; among rows with the same id any one stays.
+    Null ids come last; among rows with the same id any one stays. Texts without words are one
+    group.
     """
     ship(spark)
-    sketch, row = unused("sketch", docs), unused("row_uid", docs)
-    marked = stamped(docs.withColumn(sketch, near_copies.sketch(F.col("text"))), "near", row)
-    slim = marked.select(F.col(row).alias("row"), "doc_id", "text", f"{sketch}.*")
-    roots = written(near_copies.link_copies(slim), "roots")
-    first = (
-        slim.select("row", "doc_id", F.col("digest").alias("node"))
-        .join(roots, "node", "left")
-        .groupBy(F.coalesce("root", "node").alias("root"))
-        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-        .select(F.col("first.row").alias(row))
-    )
-    return marked.join(first, row, "left_semi").select(*(col(c) for c in docs.columns))
+    return simhash.one_of_each(docs, shingle_words=simhash.SHINGLE_WORDS,
+                               distance=simhash.MAX_DISTANCE)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item; texts without words stay."""
     ship(spark)
     row = unused("row_uid", docs)
     marked, hits = decontamination.contaminated_rows(
@@ -68,9 +59,12 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in sequences of 2048 tokens."""
+    """Pieces of all documents with their ids and place in sequences of 2048 tokens.
+
+    A null or empty text is a piece that holds the end id alone.
+    """
     ship(spark)
-    return packing.packed(docs, tokenizer_definition())
+    return packing.packed(docs, tokenizer_definition(), with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
