@@ -186,12 +186,12 @@ def exact_quantiles_at_scale(spark, sf_dir):
 
 @query("exact_quantiles_tree", _QUANTILES)
 def exact_quantiles_tree(spark, sf_dir):
-    """Sketches merged in two levels, from scan parts of unequal size."""
+    """Small sketches, from scan parts of unequal size, that must be narrowed again."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice")
     few = F.col("l_orderkey") % 50 == 0
     parts = lines.filter(~few).unionAll(lines.filter(few).repartition(20, "l_orderkey"))
     found = order_stats.quantile_values(
-        parts, ["l_extendedprice"], _PROBS, limit=500, tree_rows=0)["l_extendedprice"]
+        parts, ["l_extendedprice"], _PROBS, limit=500, sketch_size=32)["l_extendedprice"]
     rows = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(v).cast("double").alias("quantile"))
                      for p, v in zip(_PROBS, found)])
     return rounded(spark.range(1).select(F.inline(rows)), 4, "quantile")

@@ -1,31 +1,23 @@
 """Exact quantiles, grouped medians and average ranks without a one-task sort.
 
-Spark's `percentile` and `median` are exact but keep every distinct value of a group in one
-task, and a global `rank` window sends all rows to one task. Both are used here only below a
-measured size. Beyond it the value axis is cut at approximate quantiles, counted per bucket,
-and only rows of the bucket that holds the wanted rank are looked at. Results stay exact:
-the cuts decide how work is split, never what is returned.
+Quantiles of columns are those of `facts`. For medians and ranks by group Spark's `median` keeps
+every distinct value of a group in one task, and a global `rank` window sends all rows to one task.
+The first is used here only below a measured size. Beyond it the value axis is cut at approximate
+quantiles, counted per bucket, and only rows of the bucket that holds the wanted rank are looked
+at. Results stay exact: the cuts decide how work is split, never what is returned.
 """
 
 from __future__ import annotations
 
 import math
-import struct
 from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabulyze.functions.columns import as_double, col, nan_to_null
+from tabulyze.functions.facts import SKETCH_SIZE, VALUE_LIMIT, Asked, answered
 
-# Most rows for which one task may hold all distinct values. Well below what memory allows:
-# the value maps are slow to merge.
-VALUE_LIMIT = 200_000
-# Accuracy of the sketches that place cuts; rank error is at most rows / accuracy.
-SKETCH_ACCURACY = 10_000
 # Rows beyond which sketches are merged in two levels, the tasks of the first level, and the
 # quantiles each of them hands on.
 TREE_ROWS = 50_000_000
@@ -101,249 +93,19 @@ def _scan(
     )
 
 
-def _middle(low: float, high: float) -> float:
-    """A double halfway between two others in the order of doubles; `low` if none lies between."""
-
-    def place(x: float) -> int:
-        bits = struct.unpack("<q", struct.pack("<d", x))[0]
-        return bits if bits >= 0 else -(bits & 0x7FFF_FFFF_FFFF_FFFF)
-
-    at = (place(low) + place(high)) // 2
-    size = struct.unpack("<d", struct.pack("<q", abs(at)))[0]
-    return math.copysign(size, at)
-
-
-@dataclass
-class _Wanted:
-    """One quantile, the mean of ranks k0 and k1.
-
-    Both ranks lie strictly between `low` and `high` (None is no end): `below` rows come before
-    that range, `inside` rows are in it. `lo` and `hi` guess a narrower range; counting decides in
-    which part the ranks are. Ranks on either side of a limit are `apart`: the largest value of one
-    range and the smallest of the next.
-    """
-
-    column: str
-    p: float
-    n: int
-    inside: int
-    below: int = 0
-    low: float | None = None
-    high: float | None = None
-    lo: float | None = None
-    hi: float | None = None
-    expected: float = 0.0
-    apart: list[tuple[float | None, float | None]] | None = None
-    value: float | None = None
-
-    @property
-    def k0(self) -> int:
-        return math.floor(self.p * (self.n - 1))
-
-    @property
-    def k1(self) -> int:
-        return math.ceil(self.p * (self.n - 1))
-
-    def between(self, low: float | None, high: float | None) -> Column:
-        """Rows strictly inside a range; a range from x to x is the value x."""
-        v = as_double(self.column)
-        if low is not None and low == high:
-            return v == low
-        ends = [v > low] if low is not None else []
-        ends += [v < high] if high is not None else []
-        return reduce(and_, ends) if ends else v.isNotNull()
-
-    def guess(self, lo: float, hi: float, expected: float) -> None:
-        """Take a guess, or the middle of the range where it has no limit inside the range."""
-        low = -math.inf if self.low is None else self.low
-        high = math.inf if self.high is None else self.high
-        if not (low < lo <= hi < high):
-            inner = [x for x in (lo, hi) if low < x < high]
-            lo = hi = inner[0] if inner else _middle(low, high)
-            expected = self.inside
-        self.lo, self.hi, self.expected = lo, hi, expected
-
-    def parts(self) -> list[tuple[float | None, float | None]]:
-        """The ranges that the guess cuts `low` to `high` into, in order."""
-        if self.lo == self.hi:
-            return [(self.low, self.lo), (self.lo, self.lo), (self.lo, self.high)]
-        return [(self.low, self.lo), (self.lo, self.lo), (self.lo, self.hi),
-                (self.hi, self.hi), (self.hi, self.high)]
-
-    def accept(self, counts: Sequence[int]) -> bool:
-        """Take the counts of all parts but the last; whether the ranks are inside the guess."""
-        parts, ends = self.parts(), list(counts)
-        ends.append(self.inside - sum(ends))
-        start, found = self.below, []
-        for part, n in zip(parts, ends):
-            found += [(part, start, n)] * sum(start <= k < start + n for k in {self.k0, self.k1})
-            start += n
-        was = self.inside
-        if len(found) == 2 and found[0] != found[1]:
-            self.apart = [found[0][0], found[1][0]]
-            return False
-        (low, high), self.below, self.inside = found[0]
-        if low is not None and low == high:
-            self.value = low
-            return False
-        hit = (low, high) == (self.lo, self.hi)
-        self.low, self.high, self.lo, self.hi = low, high, None, None
-        if self.inside > was / 2:
-            low = -math.inf if low is None else low
-            high = math.inf if high is None else high
-            self.guess(_middle(low, high), _middle(low, high), self.inside)
-        return hit
-
-
-def _interpolate(a: float, b: float, position: float) -> float:
-    return a if a == b else a + (b - a) * (position - math.floor(position))
-
-
-def _from_grid(w: _Wanted, grid: Sequence[float]) -> None:
-    """Narrow the guess to the points of an even grid that enclose the ranks with a margin."""
-    points = len(grid) - 1
-    margin = 4 / TREE_GRID
-    span = max(w.inside - 1, 1)
-    first = max(math.floor(((w.k0 - w.below) / span - margin) * points), 0)
-    last = min(math.ceil(((w.k1 - w.below) / span + margin) * points), points)
-    w.guess(grid[first], grid[last], w.inside * (last - first + 2) / points)
-
-
-def _narrow(
-    df: DataFrame, wanted: list[_Wanted], limit: int, rows: int, accuracy: int, tree_rows: int
-) -> None:
-    """Count around each guess and, where many rows lie inside, sketch these in the same pass."""
-    facts = [("count", F.when(w.between(*part), 1))
-             for w in wanted if w.lo is not None for part in w.parts()[:-1]]
-    asked = [w for w in wanted if w.lo is None or (w.lo < w.hi and w.expected > limit)]
-    sketches = [
-        (F.when(w.between(*((w.low, w.high) if w.lo is None else (w.lo, w.hi))),
-                as_double(w.column)), _even(TREE_GRID))
-        for w in asked
-    ]
-    counts, grids = _scan(df, facts, sketches, rows, accuracy, tree_rows)
-    at, grid_of = 0, {id(w): grid for w, grid in zip(asked, grids)}
-    for w in wanted:
-        inside = w.lo is None
-        if not inside:
-            size = len(w.parts()) - 1
-            inside = w.accept(counts[at:at + size])
-            at += size
-        if inside and w.lo is None and w.inside > limit and (grid := grid_of.get(id(w))):
-            _from_grid(w, grid)
-
-
-def _finish(df: DataFrame, wanted: list[_Wanted]) -> None:
-    """Read the few rows inside the ranges and take the exact ranks."""
-    tagged = [
-        F.when(w.between(w.low, w.high),
-               F.struct(F.lit(i).alias("t"), as_double(w.column).alias("v")))
-        for i, w in enumerate(wanted)
-    ]
-    running = W.partitionBy("t").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    k0 = F.get(longs([w.k0 - w.below for w in wanted]), F.col("t"))
-    k1 = F.get(longs([w.k1 - w.below for w in wanted]), F.col("t"))
-
-    def at(k: Column) -> Column:
-        return F.max(F.when((F.col("from") <= k) & (k < F.col("upto")), F.col("v")))
-
-    found = (
-        df.filter(reduce(or_, [w.between(w.low, w.high) for w in wanted]))
-        .select(F.explode(F.array_compact(F.array(*tagged))).alias("s"))
-        .groupBy(F.col("s.t").alias("t"), F.col("s.v").alias("v"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("upto", F.sum("n").over(running))
-        .withColumn("from", F.col("upto") - F.col("n"))
-        .groupBy("t").agg(at(k0).alias("a"), at(k1).alias("b"))
-        .collect()  # one row per wanted quantile
-    )
-    for row in found:
-        w = wanted[row["t"]]
-        w.value = _interpolate(row["a"], row["b"], w.p * (w.n - 1))
-
-
-def _join(df: DataFrame, wanted: list[_Wanted]) -> None:
-    """Ranks on either side of a limit: the largest value below and the smallest above it."""
-    facts = []
-    for w in wanted:
-        facts += [(kind, F.when(w.between(*part), as_double(w.column)))
-                  for kind, part in zip(("max", "min"), w.apart)]
-    values, _ = _scan(df, facts, [], 0, SKETCH_ACCURACY, TREE_ROWS)
-    for i, w in enumerate(wanted):
-        w.value = _interpolate(*values[2 * i:2 * i + 2], w.p * (w.n - 1))
-
-
-def _select(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], rows: int, limit: int,
-    accuracy: int, tree_rows: int,
-) -> list[_Wanted]:
-    margin = 2 / accuracy if rows <= tree_rows else 4 / TREE_GRID
-    shares = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)]
-    counts, ends = _scan(df, [("count", as_double(c)) for c in columns],
-                         [(as_double(c), shares) for c in columns], rows, accuracy, tree_rows)
-    wanted = []
-    for name, n, found in zip(columns, counts, ends):
-        for j, p in enumerate(probs):
-            w = _Wanted(name, p, n or 0, n or 0)
-            if w.n > limit:
-                w.guess(*found[2 * j:2 * j + 2], 3 * margin * n)
-            wanted.append(w)
-    while waiting := [w for w in wanted if w.n and w.value is None]:
-        if large := [w for w in waiting if not w.apart and w.inside > limit]:
-            _narrow(df, large, limit, rows, accuracy, tree_rows)
-        elif apart := [w for w in waiting if w.apart]:
-            _join(df, apart)
-        else:
-            _finish(df, waiting)
-    return wanted
-
-
 def quantile_values(
     df: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float],
     limit: int = VALUE_LIMIT,
-    accuracy: int = SKETCH_ACCURACY,
-    rows: int | None = None,
-    tree_rows: int = TREE_ROWS,
+    sketch_size: int = SKETCH_SIZE,
 ) -> dict[str, list[float | None]]:
-    """Exact interpolated quantiles as numbers, one list per column.
-
-    Only these scalars reach the driver. Up to `limit` rows one `percentile` job does; beyond
-    it takes a sketch pass, a counting pass and a pass over the few rows around each quantile,
-    which the scan can skip to; very large tables take a narrowing pass or two in between.
-    `rows` skips the size check.
-    """
+    """Exact interpolated quantiles as numbers, one list per column; see `facts`."""
     if not columns:
         return {}
-    clean = nan_to_null(df.select(*[col(c) for c in columns]))
-    size = clean.count() if rows is None else rows
-    if size <= limit:
-        row = clean.agg(
-            *[F.percentile(as_double(c), list(probs)).alias(f"q{i}") for i, c in enumerate(columns)]
-        ).first()
-        return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
-    values: dict[str, list[float | None]] = {c: [] for c in columns}
-    for w in _select(clean, columns, probs, size, limit, accuracy, tree_rows):
-        values[w.column].append(w.value)
-    return values
-
-
-def quantile_columns(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], limit: int = VALUE_LIMIT
-) -> dict[str, Column]:
-    """Exact quantiles as array Columns to put into `df.agg` next to other aggregates.
-
-    Small tables get the `percentile` aggregate, so one pass serves all; large ones get the
-    values found by `quantile_values`. Expects NaN already folded to NULL.
-    """
-    rows = df.count()
-    if rows <= limit:
-        return {c: F.percentile(as_double(c), list(probs)) for c in columns}
-    found = quantile_values(df, columns, probs, limit, rows=rows)
-    return {
-        c: F.array(*[F.lit(v).cast("double") for v in values]) for c, values in found.items()
-    }
+    asked = Asked(quantiles={f"q{i}": (as_double(c), probs) for i, c in enumerate(columns)})
+    found = answered(df, asked, limit=limit, sketch_size=sketch_size)[0]
+    return {c: found[f"q{i}"] for i, c in enumerate(columns)}
 
 
 def exact_quantiles(
@@ -351,10 +113,10 @@ def exact_quantiles(
     column: str,
     probs: Sequence[float] = (0.25, 0.5, 0.75),
     limit: int = VALUE_LIMIT,
-    accuracy: int = SKETCH_ACCURACY,
+    sketch_size: int = SKETCH_SIZE,
 ) -> DataFrame:
     """One row (`p`, `quantile`) per asked probability."""
-    values = quantile_values(df, [column], probs, limit, accuracy)[column]
+    values = quantile_values(df, [column], probs, limit, sketch_size)[column]
     pairs = F.array(
         *[
             F.struct(F.lit(float(p)).alias("p"), F.lit(v).cast("double").alias("quantile"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabulyze.functions.columns import as_double, col, complete_rows, free_name, nan_to_null
 from tabulyze.functions.moments import kurtosis_adjusted, skewness_adjusted
-from tabulyze.functions.order_stats import VALUE_LIMIT, quantile_columns, quantile_values
+from tabulyze.functions.facts import VALUE_LIMIT, Answer, Asked, answered
+from tabulyze.functions.order_stats import quantile_values
 from tabulyze.functions.text import safe_divide
 from tabulyze.operators.ranking import value_counts
 from tabulyze.operators.roles import is_numerical, require_columns
@@ -19,7 +20,10 @@ GRID_POINTS = 100
 
 
 def shape_label(skewness: Column, kurtosis: Column) -> Column:
-    """Six labels, tested in this order; missing moments give the last one."""
+    """Six labels, tested in this order; missing moments give the last one.
+
+    Fixed values: the labels and limits of the reference.
+    """
     normal = (F.abs(skewness) < 0.5) & (F.abs(kurtosis) < 0.5)
     return (
         F.when(normal, "approximately normal")
@@ -45,25 +49,37 @@ def numeric_mode(df: DataFrame, column: str) -> DataFrame:
     return counts.agg(best.alias("s")).select(F.col("s.v").alias("mode"))
 
 
-def numeric_distribution(df: DataFrame, column: str, limit: int = VALUE_LIMIT) -> DataFrame:
-    """One row of moments, quartiles, mode and shape; `error` when there are no values."""
+DISTRIBUTION = (
+    "count bigint, mean double, median double, std double, min double, max double, "
+    "range double, q1 double, q3 double, iqr double, skewness double, kurtosis double"
+)
+
+
+def distribution_asked(column: str) -> Asked:
+    """What `numeric_distribution` needs of a column without NaN."""
+    v = as_double(column)
+    return Asked({
+        "count": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v),
+        "max": F.max(v), "skewness": skewness_adjusted(v), "kurtosis": kurtosis_adjusted(v),
+    }, {"quartiles": (v, (0.25, 0.5, 0.75))})
+
+
+def numeric_distribution(
+    df: DataFrame, column: str, limit: int = VALUE_LIMIT, facts: Answer | None = None
+) -> DataFrame:
+    """One row of moments, quartiles, mode and shape; `error` when there are no values.
+
+    `facts` answer `distribution_asked` where they are known.
+    """
     rows = _values(df, column)
-    v = F.col("v")
-    q = quantile_columns(rows, ["v"], [0.25, 0.5, 0.75], limit)["v"]
-    stats = rows.agg(
-        F.count(v).alias("count"),
-        F.avg(v).alias("mean"),
-        F.get(q, F.lit(1)).alias("median"),
-        F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        (F.max(v) - F.min(v)).alias("range"),
-        F.get(q, F.lit(0)).alias("q1"),
-        F.get(q, F.lit(2)).alias("q3"),
-        (F.get(q, F.lit(2)) - F.get(q, F.lit(0))).alias("iqr"),
-        skewness_adjusted(v).alias("skewness"),
-        kurtosis_adjusted(v).alias("kurtosis"),
-    )
+    if facts is None:
+        facts = answered(rows, distribution_asked("v"), limit=limit)[0]
+    q1, median, q3 = facts["quartiles"]
+    found = facts | {"q1": q1, "median": median, "q3": q3, "iqr": None, "range": None}
+    if facts["count"]:
+        found |= {"iqr": q3 - q1, "range": facts["max"] - facts["min"]}
+    names = [part.split()[0] for part in DISTRIBUTION.split(", ")]
+    stats = df.sparkSession.createDataFrame([tuple(found[n] for n in names)], DISTRIBUTION)
     empty = F.col("count") == 0
     return stats.select(
         "count", "mean", "median", numeric_mode(rows, "v").scalar().alias("mode"),

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabulyze.functions.columns import (
     as_double, col, complete_rows, free_name, nan_to_null, tie_break,
 )
-from tabulyze.functions.order_stats import VALUE_LIMIT, quantile_columns, quantile_values
+from tabulyze.functions.facts import VALUE_LIMIT, Answer, Asked, answered
+from tabulyze.functions.order_stats import quantile_values
 from tabulyze.functions.text import safe_divide
 from tabulyze.operators.roles import is_numerical, require_columns
 
@@ -73,7 +74,7 @@ def _check(df: DataFrame, column: str, method: str) -> None:
 
 def _anomaly_test(
     df: DataFrame, column: str, method: str, threshold: float, limit: int,
-    facts: Row | None = None,
+    facts: Answer | None = None,
 ) -> tuple[Column, Column]:
     """(is anomaly, z-score) for present values, with literals from one or two jobs.
 
@@ -94,15 +95,19 @@ def _anomaly_test(
     return (c < low) | (c > high), z
 
 
-def spread_facts(df: DataFrame, column: str, limit: int = VALUE_LIMIT) -> Row:
-    """Mean, deviation and quartiles of a numeric column, as anomalies need them."""
-    rows = nan_to_null(df.select(col(column)))
-    q = quantile_columns(rows, [column], [0.25, 0.5, 0.75], limit)[column]
+def spread_asked(column: str) -> Asked:
+    """Mean, deviation and quartiles of a column without NaN, as anomalies need them."""
     c = as_double(column)
-    return rows.agg(
-        F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.get(q, F.lit(0)).alias("q1"),
-        F.get(q, F.lit(1)).alias("median"), F.get(q, F.lit(2)).alias("q3"),
-    ).first()
+    return Asked({"mean": F.avg(c), "std": F.stddev_samp(c)}, {"quartiles": (c, (0.25, 0.5, 0.75))})
+
+
+def spread_of(answer: Answer) -> Answer:
+    return answer | dict(zip(("q1", "median", "q3"), answer["quartiles"]))
+
+
+def spread_facts(df: DataFrame, column: str, limit: int = VALUE_LIMIT) -> Answer:
+    rows = nan_to_null(df.select(col(column)))
+    return spread_of(answered(rows, spread_asked(column), limit=limit)[0])
 
 
 def anomaly_values(
@@ -112,7 +117,7 @@ def anomaly_values(
     threshold: float = 3.0,
     rows: int = 20,
     limit: int = VALUE_LIMIT,
-    facts: Row | None = None,
+    facts: Answer | None = None,
 ) -> DataFrame:
     """`rank`, `value`: the anomalies farthest from the mean, ties by value."""
     _check(df, column, method)
@@ -158,7 +163,7 @@ def anomaly_summary(
     method: str = "zscore",
     threshold: float = 3.0,
     limit: int = VALUE_LIMIT,
-    facts: Row | None = None,
+    facts: Answer | None = None,
 ) -> DataFrame:
     """One row of counts and statistics; `error` is set when there is too little to judge."""
     require_columns(df, column)
@@ -172,17 +177,14 @@ def anomaly_summary(
         return df.sparkSession.createDataFrame(row, columns)
     _check(df, column, method)
     present = complete_rows(nan_to_null(df.select(col(column))))
+    facts = facts or spread_facts(df, column, limit)
     hit, _ = _anomaly_test(present, column, method, threshold, limit, facts)
     c = as_double(column)
-    if facts:
-        median = F.array(F.lit(facts["median"]).cast("double"))
-    else:
-        median = quantile_columns(present, [column], [0.5], limit)[column]
     stats = present.agg(
         F.count("*").alias("total_points"),
         F.count_if(hit).alias("anomaly_count"),
         F.avg(c).alias("mean"),
-        F.get(median, F.lit(0)).alias("median"),
+        F.lit(facts["median"]).cast("double").alias("median"),
         F.stddev_samp(c).alias("std"),
         F.min(c).alias("min"),
         F.max(c).alias("max"),

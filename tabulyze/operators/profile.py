@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tabulyze.functions.columns import (
     CATEGORICAL, as_double, col, column_types, is_missing, nan_to_null, numeric_columns,
 )
-from tabulyze.functions.order_stats import VALUE_LIMIT, quantile_columns
+from tabulyze.functions.facts import VALUE_LIMIT, Asked, answered
 from tabulyze.operators.correlation import correlation_matrix
 from tabulyze.operators.ranking import column_value_counts
 
@@ -59,33 +59,31 @@ def missing_report(df: DataFrame) -> DataFrame:
     )
 
 
-def numeric_stats(df: DataFrame, columns: list[str], quartiles: dict[str, Column]) -> DataFrame:
-    asks = []
+def numeric_asked(columns: list[str]) -> Asked:
+    """What `numeric_summary` needs of each column."""
+    asked = Asked({}, {})
     for i, name in enumerate(columns):
         c = as_double(name)
-        asks.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                F.count(c).alias("count"),
-                F.avg(c).alias("mean"),
-                F.stddev_samp(c).alias("std"),
-                F.min(c).alias("min"),
-                F.get(quartiles[name], F.lit(0)).alias("q25"),
-                F.get(quartiles[name], F.lit(1)).alias("q50"),
-                F.get(quartiles[name], F.lit(2)).alias("q75"),
-                F.max(c).alias("max"),
-            ).alias(f"s{i}")
-        )
-    return df.agg(*asks).select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(columns))])))
+        asked.aggregates |= {
+            f"count{i}": F.count(c), f"mean{i}": F.avg(c), f"std{i}": F.stddev_samp(c),
+            f"min{i}": F.min(c), f"max{i}": F.max(c)}
+        asked.quantiles[f"q{i}"] = (c, QUARTILES)
+    return asked
 
 
 def numeric_summary(df: DataFrame, limit: int = VALUE_LIMIT) -> DataFrame:
     """count, mean, std, min, quartiles, max per numeric column; no rows if there is none."""
     numeric = numeric_columns(df)
+    spark = df.sparkSession
     if not numeric:
-        return df.sparkSession.createDataFrame([], NUMERIC_SCHEMA)
+        return spark.createDataFrame([], NUMERIC_SCHEMA)
     clean = nan_to_null(df.select(*[col(c) for c in numeric]))
-    return numeric_stats(clean, numeric, quantile_columns(clean, numeric, QUARTILES, limit))
+    found = answered(clean, numeric_asked(numeric), limit=limit)[0]
+    return spark.createDataFrame([
+        (name, *(found[f"{k}{i}"] for k in ("count", "mean", "std", "min")), *found[f"q{i}"],
+         found[f"max{i}"])
+        for i, name in enumerate(numeric)
+    ], NUMERIC_SCHEMA)
 
 
 def text_summary(df: DataFrame, top: int = 10) -> DataFrame:

@@ -11,7 +11,8 @@ from tabulyze.functions.columns import (
     tie_break,
 )
 from tabulyze.functions.moments import fit_line
-from tabulyze.functions.order_stats import VALUE_LIMIT, grouped_median, quantile_columns
+from tabulyze.functions.facts import VALUE_LIMIT, Answer, Asked, answered
+from tabulyze.functions.order_stats import grouped_median
 from tabulyze.functions.text import parse_timestamp, safe_divide
 from tabulyze.operators.roles import require_columns
 
@@ -72,6 +73,31 @@ def volatility_level(std: Column, mean: Column) -> Column:
     return F.when(ratio < 0.1, "low").when(ratio < 0.3, "moderate").otherwise("high")
 
 
+TREND = (
+    "rows bigint, first_value double, last_value double, mean double, median double, "
+    "std_deviation double, growth_rate double, first_ts timestamp_ntz, last_ts timestamp_ntz"
+)
+
+
+def trend_asked(
+    clean: DataFrame, date_column: str, value_column: str, keys: Sequence[str] | None = None
+) -> Asked:
+    """What `trend` needs of a table without NaN."""
+    ties = tie_break(clean, keys, date_column, value_column) if keys else []
+    ts, v = as_date(clean, date_column), as_double(value_column)
+    both = ts.isNotNull() & v.isNotNull()
+    ts, v = F.when(both, ts), F.when(both, v)
+    order = F.when(both, F.struct(
+        ts.alias("ts"), *[col(k).alias(f"k{i}") for i, k in enumerate(ties)], v.alias("v")))
+    first_date = clean.agg(F.min(ts)).scalar()
+    day = F.timestamp_diff("DAY", first_date, ts).cast("double")
+    return Asked({
+        "rows": F.count(v), "first_value": F.min_by(v, order), "last_value": F.max_by(v, order),
+        "mean": F.avg(v), "std_deviation": F.stddev_samp(v), "growth_rate": fit_line(day, v)[0],
+        "first_ts": F.min(ts).cast("timestamp_ntz"), "last_ts": F.max(ts).cast("timestamp_ntz"),
+    }, {"medians": (v, (0.5,))})
+
+
 def trend(
     df: DataFrame,
     date_column: str,
@@ -79,34 +105,21 @@ def trend(
     period: str = "overall",
     keys: Sequence[str] | None = None,
     limit: int = VALUE_LIMIT,
+    facts: Answer | None = None,
 ) -> DataFrame:
     """One row of trend measures over rows that have both date and value.
 
     First and last value are those of the earliest and latest date, ties by key. The growth
     rate is the least-squares slope per whole day since the first date. `period` is echoed.
+    `facts` answer `trend_asked` where they are known.
     """
     require_columns(df, [date_column, value_column])
-    ties = tie_break(df, keys, date_column, value_column) if keys else []
     clean = nan_to_null(df)
-    rows = clean.select(
-        as_date(clean, date_column).alias("ts"), as_double(value_column).alias("v"),
-        *[col(k).alias(f"k{i}") for i, k in enumerate(ties)],
-    ).filter(F.col("ts").isNotNull() & F.col("v").isNotNull())
-    first_date = rows.agg(F.min("ts")).scalar()
-    order = F.struct("ts", *[f"k{i}" for i in range(len(ties))], "v")
-    day = F.timestamp_diff("DAY", first_date, F.col("ts")).cast("double")
-    median = quantile_columns(rows, ["v"], [0.5], limit)["v"]
-    stats = rows.agg(
-        F.count("*").alias("rows"),
-        F.min_by("v", order).alias("first_value"),
-        F.max_by("v", order).alias("last_value"),
-        F.avg("v").alias("mean"),
-        F.get(median, F.lit(0)).alias("median"),
-        F.stddev_samp("v").alias("std_deviation"),
-        fit_line(day, F.col("v"))[0].alias("growth_rate"),
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-    )
+    if facts is None:
+        facts = answered(clean, trend_asked(clean, date_column, value_column, keys), limit=limit)[0]
+    names = [part.split()[0] for part in TREND.split(", ")]
+    found = facts | {"median": facts["medians"][0]}
+    stats = df.sparkSession.createDataFrame([tuple(found[n] for n in names)], TREND)
     change = F.col("last_value") - F.col("first_value")
     enough = F.col("rows") >= 2
     shown = {

@@ -12,20 +12,23 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulyze.functions.columns import (
-    DATETIME, NUMERICAL, col, column_types, is_integral, numeric_columns,
+    DATETIME, NUMERICAL, col, column_types, is_integral, nan_to_null, numeric_columns,
 )
+from tabulyze.functions.facts import Answer, answered
 from tabulyze.functions.text import fmt_number, fmt_percentage
 from tabulyze.operators.correlation import STRONG_LIMIT, correlation_pairs, with_strength
 from tabulyze.operators.distribution import (
-    categorical_distribution, common_values, numeric_distribution,
+    categorical_distribution, common_values, distribution_asked, numeric_distribution,
+)
+from tabulyze.operators.outliers import (
+    anomaly_summary, anomaly_values, spread_asked, spread_facts, spread_of,
 )
-from tabulyze.operators.outliers import anomaly_summary, anomaly_values, spread_facts
 from tabulyze.operators.ranking import listed_name, top_bottom
 from tabulyze.operators.roles import is_numerical, require_columns
-from tabulyze.operators.trend import trend
+from tabulyze.operators.trend import trend, trend_asked
 
 log = logging.getLogger(__name__)
 
@@ -188,8 +191,10 @@ def trend_insight(
     value_column: str,
     period: str = "overall",
     keys: Sequence[str] | None = None,
+    facts: Answer | None = None,
 ) -> DataFrame:
-    one = trend(df, date_column, value_column, period, keys)
+    """Measures of the trend. `facts` answer `trend_asked` where they are known."""
+    one = trend(df, date_column, value_column, period, keys, facts=facts)
     change = F.col("absolute_change")
     sentence = _sentence(
         "trend", column=value_column, direction=F.col("trend_direction"),
@@ -211,12 +216,12 @@ def trend_insight(
 
 def anomaly_insight(
     df: DataFrame, column: str, method: str = "zscore", threshold: float = 3.0,
-    facts: Row | None = None,
+    facts: Answer | None = None,
 ) -> DataFrame:
-    """Counts, and the anomalies farthest from the mean. `facts` of the column spare a job."""
+    """Counts, and the anomalies farthest from the mean. `facts` answer `spread_asked`."""
     require_columns(df, column)
-    if is_numerical(df, column) and facts is None:
-        facts = spread_facts(df, column)
+    if is_numerical(df, column):
+        facts = spread_of(facts) if facts else spread_facts(df, column)
     one = anomaly_summary(df, column, method, threshold, facts=facts)
     low, high = F.col("min_anomaly"), F.col("max_anomaly")
     whole = is_numerical(df, column) and _whole(df, column)
@@ -250,11 +255,11 @@ def anomaly_insight(
 
 
 def distribution_insight(
-    df: DataFrame, column: str, described: DataFrame | None = None
+    df: DataFrame, column: str, facts: Answer | None = None
 ) -> DataFrame:
     """Moments and shape, or value counts with the most frequent values.
 
-    `described` is the column's `numeric_distribution` where that is known.
+    `facts` answer `distribution_asked` where they are known.
     """
     require_columns(df, column)
     common = None
@@ -270,7 +275,7 @@ def distribution_insight(
         texts = ("most_common", "least_common")
         common = _numbered(common_values(df, column, COMMON), "common", "n", "value")
     else:
-        one = numeric_distribution(df, column) if described is None else described
+        one = numeric_distribution(df, column, facts=facts)
         whole = _whole(df, column)
         told = _sentence(
             "distribution", column=column, shape=F.col("shape"), mean=fmt_number(F.col("mean")),
@@ -376,12 +381,11 @@ class InsightRegistry:
             asked.append(("correlation", {}))
         if dates and numeric:
             asked.append(("trend", {"date_column": dates[0], "value_column": numeric[0]}))
-        parts, known = [], {}
+        asked = [(name, {**options, **(config or {}).get(name, {})}) for name, options in asked]
+        parts, facts = [], self._facts(df, asked)
         for name, options in asked:
-            options = {**options, **(config or {}).get(name, {})}
             try:
-                part = self.generate(
-                    name, df, **options, **self._shared(name, df, numeric[0], options, known))
+                part = self.generate(name, df, **options, **facts.get(name, {}))
                 parts.append(part.select(F.lit(name).alias("insight"), "metric", "value", "text"))
             except (ValueError, TypeError, AnalysisException) as error:
                 log.warning("Could not generate %s insight: %s", name, error)
@@ -389,20 +393,25 @@ class InsightRegistry:
             return df.sparkSession.createDataFrame([], "insight string, " + INSIGHT_SCHEMA)
         return reduce(DataFrame.unionByName, parts)
 
-    def _shared(
-        self, name: str, df: DataFrame, column: str, options: dict, known: dict
-    ) -> dict:
-        """What the distribution found, for the insights of the package on the same column."""
-        insight = self.insights[name]
-        if insight not in (distribution_insight, anomaly_insight) or options["column"] != column:
-            return {}
-        if not known:
-            described = numeric_distribution(df, column)
-            known["facts"] = described.first()
-            known["described"] = df.sparkSession.createDataFrame(
-                [known["facts"]], described.schema)
-        wanted = "described" if insight is distribution_insight else "facts"
-        return {wanted: known[wanted]}
+    def _facts(self, df: DataFrame, asked: Sequence[tuple[str, dict]]) -> dict[str, dict]:
+        """What the package's own insights need to know of the table, found together.
+
+        Those whose options do not fit the table are left to fail by themselves.
+        """
+        clean, needs = nan_to_null(df), {}
+        for name, options in asked:
+            insight, column = self.insights[name], options.get("column")
+            if insight is trend_insight:
+                columns = [options["date_column"], options["value_column"]]
+                if set(columns) | set(options.get("keys") or ()) <= set(df.columns):
+                    needs[name] = trend_asked(clean, *columns, options.get("keys"))
+            elif column in numeric_columns(df):
+                if insight is distribution_insight:
+                    needs[name] = distribution_asked(column)
+                elif insight is anomaly_insight:
+                    needs[name] = spread_asked(column)
+        found = answered(clean, *needs.values())
+        return {name: {"facts": answer} for name, answer in zip(needs, found)}
 
     def summaries(self, df: DataFrame, config: dict[str, dict] | None = None) -> DataFrame:
         """One sentence per insight: `insight`, `summary`."""

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tabulyze.functions import order_stats
+from tabulyze.functions import facts, order_stats
 
 PROBS = [0.0, 0.25, 0.5, 0.99, 1.0]
 
@@ -35,19 +35,55 @@ def sample_df(spark, sample):
     return spark.createDataFrame(sample)
 
 
-@pytest.mark.parametrize("limit, accuracy, tree_rows", [
-    (10_000, 10_000, 10_000), (5, 10_000, 10_000), (5, 50, 10_000), (5, 10_000, 0),
-    (100, 200, 10_000), (500, 10_000, 0),
-])
-def test_quantiles_equal_pandas(sample_df, sample, limit, accuracy, tree_rows):
+@pytest.mark.parametrize("limit, sketch_size", [(10_000, 1024), (100, 64)])
+def test_quantiles_equal_pandas(sample_df, sample, limit, sketch_size):
+    columns = list(sample.columns) if limit > 1000 else ["hot", "gaps"]
     found = order_stats.quantile_values(
-        sample_df, list(sample.columns), PROBS, limit=limit, accuracy=accuracy,
-        tree_rows=tree_rows,
-    )
-    for name in sample.columns:
+        sample_df, columns, PROBS, limit=limit, sketch_size=sketch_size)
+    for name in columns:
         assert found[name] == pytest.approx(sample[name].quantile(PROBS).tolist(), abs=1e-9)
 
 
+@pytest.mark.parametrize("limit", [50, 10_000])
+def test_quantiles_among_infinite_values(spark, limit):
+    """Many rows of each infinity; ranks among them, beside them and between finite values."""
+    values = [float("inf")] * 600 + [float("-inf")] * 300 + [float(i % 700) for i in range(2101)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    probs = [0.0, 0.05, 0.1, 0.3, 0.5, 0.79, 0.9, 1.0]
+    found = order_stats.quantile_values(df, ["v"], probs, limit=limit)["v"]
+    inf = float("inf")
+    assert found == [-inf, -inf, 0.0, 199.0, 399.0, 689.0, inf, inf]
+    only = spark.createDataFrame([(float("inf"),)] * 90, "v double")
+    assert order_stats.quantile_values(only, ["v"], [0.5], limit=limit)["v"] == [float("inf")]
+
+
+def test_facts_are_asked_once(spark, sample_df, sample):
+    """Equal aggregates of two operators are one column of one job."""
+    asks = [facts.Asked({"m": F.avg("smooth"), "n": F.count("hot")},
+                        {"q": (F.col("hot"), [0.5])}),
+            facts.Asked({"mean": F.avg("smooth")}, {"h": (F.col("hot"), [0.25, 0.5])})]
+    merged = facts._Merged()
+    assert [merged.add(a) for a in (F.avg("x"), F.avg("y"), F.avg("x"), F.lit(1), F.lit("1"))] \
+        == [0, 1, 0, 2, 3]
+    first, second = facts.answered(sample_df, *asks)
+    assert first["m"] == second["mean"] == pytest.approx(sample["smooth"].mean())
+    assert first["n"] == len(sample)
+    assert second["h"] == pytest.approx(sample["hot"].quantile([0.25, 0.5]).tolist())
+    assert first["q"] == second["h"][1:]
+    assert facts.answered(sample_df) == []
+
+
+def test_quantiles_take_two_jobs(spark, sample_df, monkeypatch):
+    """One aggregation with sketches, one that ranks the few values around each quantile."""
+    calls = []
+    for name in ("_narrow", "_finish"):
+        whole = getattr(facts, name)
+        monkeypatch.setattr(facts, name, lambda *a, whole=whole, name=name:
+                            calls.append(name) or whole(*a))
+    order_stats.quantile_values(sample_df, ["smooth", "skewed"], [0.25, 0.5, 0.75], limit=500)
+    assert calls == ["_finish"]
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,), (None,)], "v double")
     assert order_stats.quantile_values(df, ["v"], [0.5]) == {"v": [None]}
@@ -61,7 +97,7 @@ def test_quantiles_of_nothing(spark):
 @given(values=st.lists(st.integers(-5, 5) | st.floats(-1e6, 1e6), min_size=1, max_size=60))
 def test_quantiles_of_any_list(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    found = order_stats.quantile_values(df, ["v"], [0.25, 0.5], limit=2, accuracy=10)["v"]
+    found = order_stats.quantile_values(df, ["v"], [0.25, 0.5], limit=2, sketch_size=8)["v"]
     assert found == pytest.approx(list(np.quantile(np.array(values, float), [0.25, 0.5])),
                                   rel=1e-9, abs=1e-6)
 
@@ -97,16 +133,11 @@ def test_average_ranks_equal_pandas(spark, sample, buckets):
 
 def test_a_wrong_guess_is_noticed(sample_df, sample, monkeypatch):
     """Sketches only place the work: with useless ones the quantiles are the same."""
-    honest = order_stats._scan
-
-    def useless(*args):
-        facts, grids = honest(*args)
-        return facts, [[0.0] * len(g) for g in grids]
-
-    monkeypatch.setattr(order_stats, "_scan", useless)
-    found = order_stats.quantile_values(sample_df, ["smooth", "hot"], PROBS, limit=5)
+    monkeypatch.setattr(facts, "_even_quantiles", lambda v, size: F.array(*[F.lit(41.5)] * 257))
+    found = order_stats.quantile_values(sample_df, ["smooth", "hot"], [0.5, 0.99], limit=500)
     for name in ("smooth", "hot"):
-        assert found[name] == pytest.approx(sample[name].quantile(PROBS).tolist(), abs=1e-9)
+        want = sample[name].quantile([0.5, 0.99]).tolist()
+        assert found[name] == pytest.approx(want, abs=1e-9)
 
 
 @pytest.mark.parametrize("tree_rows", [10 ** 9, 0])
@@ -135,20 +166,20 @@ def test_no_single_task_window_over_rows(lines):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-@pytest.mark.parametrize("tree_rows", [10 ** 9, 0])
-def test_only_few_rows_reach_one_task(spark, monkeypatch, tree_rows):
-    """Parts of unequal size, sorted values: what is sorted at the end stays under the limit."""
+@pytest.mark.parametrize("sketch_size", [1024, 16])
+def test_only_few_rows_reach_one_task(spark, monkeypatch, sketch_size):
+    """Parts of unequal size, sorted values: what is ranked at the end stays about the limit."""
     big = spark.range(0, 30_000, 1, 1).select(F.col("id").cast("double").alias("v"))
     small = spark.range(30_000, 30_400, 1, 40).select(F.col("id").cast("double").alias("v"))
-    df, n, limit = small.unionAll(big), 30_400, 50
+    df, n, limit = small.unionAll(big), 30_400, 500
     seen = []
-    finish = order_stats._finish
+    finish = facts._finish
 
-    def watched(df, wanted):
-        seen.extend(wanted)
-        finish(df, wanted)
+    def watched(df, wanted, values):
+        seen.extend((w.hi - w.lo) for w in wanted)
+        finish(df, wanted, values)
 
-    monkeypatch.setattr(order_stats, "_finish", watched)
-    found = order_stats.quantile_values(df, ["v"], PROBS, limit, tree_rows=tree_rows)["v"]
+    monkeypatch.setattr(facts, "_finish", watched)
+    found = order_stats.quantile_values(df, ["v"], PROBS, limit, sketch_size)["v"]
     assert found == pytest.approx([p * (n - 1) for p in PROBS], abs=1e-6)
-    assert all(w.inside <= limit for w in seen)
+    assert all(width <= 2 * limit for width in seen)
