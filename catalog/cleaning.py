@@ -175,6 +175,29 @@ def dedupe_copies(spark, sf_dir):
     return missing.dedupe_rows(orders.unionByName(orders))
 
 
+@query("dedupe_counts", f"""
+select (select count(*) from (select distinct * from ({GAPPY_ORDERS}))) as rows,
+       2 * (select count(*) from ({GAPPY_ORDERS}))
+         - (select count(*) from (select distinct * from ({GAPPY_ORDERS}))) as removed""")
+def dedupe_counts(spark, sf_dir):
+    """Told by the write of the deduplicated table."""
+    orders = gappy_orders(spark, sf_dir)
+    kept, counts = missing.dedupe_observed(orders.unionByName(orders))
+    kept.write.parquet(scratch_path(spark, "deduped"))
+    return spark.createDataFrame([tuple(counts().values())], "rows bigint, removed bigint")
+
+
+@query("wide_numbers", """
+select cast(cast(o_orderkey as hugeint) + 9223372036854775809 as varchar) as id from orders""")
+def wide_numbers(spark, sf_dir):
+    """Whole numbers beyond 64 bits keep their digits; their type is decimal(38,0)."""
+    texts = table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey").cast("decimal(20,0)") + F.lit("9223372036854775809").cast(
+            "decimal(20,0)")).cast("string").alias("id"))
+    typed = conversion.apply_plan(texts, conversion.detect_numbers(texts))
+    return typed.select((F.col("id") + 0).cast("decimal(38,0)").cast("string").alias("id"))
+
+
 def _zscore_step(source: str, column: str, t: float) -> str:
     return f"""
 (select s.* from {source} s, (select avg({column}) as m, stddev_samp({column}) as d from {source})

@@ -191,7 +191,7 @@ def exact_quantiles_tree(spark, sf_dir):
     few = F.col("l_orderkey") % 50 == 0
     parts = lines.filter(~few).unionAll(lines.filter(few).repartition(20, "l_orderkey"))
     found = order_stats.quantile_values(
-        parts, ["l_extendedprice"], _PROBS, limit=500, sketch_size=32)["l_extendedprice"]
+        parts, ["l_extendedprice"], _PROBS, limit=500, sketch_size=200)["l_extendedprice"]
     rows = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(v).cast("double").alias("quantile"))
                      for p, v in zip(_PROBS, found)])
     return rounded(spark.range(1).select(F.inline(rows)), 4, "quantile")

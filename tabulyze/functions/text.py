@@ -91,8 +91,13 @@ def parse_number(c: Column) -> Column:
     return F.when(c.rlike(_NUMBER), c.try_cast("double"))
 
 
-def parse_integer(c: Column) -> Column:
-    return F.when(c.rlike(_INTEGER), c.try_cast("bigint"))
+def parse_integer(c: Column, dtype: str = "bigint") -> Column:
+    return F.when(c.rlike(_INTEGER), c.try_cast(dtype))
+
+
+def is_whole(c: Column) -> Column:
+    """Text that is a whole number of any length."""
+    return c.rlike(_INTEGER)
 
 
 def _iso(c: Column, pattern: str) -> Column:

@@ -16,9 +16,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabulyze.functions.columns import CATEGORICAL, col, column_types
 from tabulyze.functions.text import (
     DATE_PATTERNS, clean_currency, has_currency_symbol, na_to_null,
-    parse_integer, parse_number, parse_timestamp,
+    is_whole, parse_integer, parse_number, parse_timestamp,
 )
 
+# The type of whole numbers beyond 64 bits.
+WIDE = "decimal(38,0)"
+
 # Texts read as truth values, upper case.
 TRUE_TEXTS = ("TRUE", "YES", "1")
 FALSE_TEXTS = ("FALSE", "NO", "0")
@@ -43,6 +46,8 @@ class Step:
             return to_boolean(c)
         if self.kind == "integer":
             return parse_integer(c)
+        if self.kind == "wide":
+            return parse_integer(c, WIDE)
         return parse_number(c)
 
 
@@ -185,6 +190,8 @@ def detect_all(df: DataFrame) -> Plan:
 def _number_asks(i: int, c: Column) -> list[Column]:
     return [
         F.count(parse_integer(c)).alias(f"i{i}"),
+        F.count(parse_integer(c, WIDE)).alias(f"w{i}"),
+        F.count_if(is_whole(c)).alias(f"a{i}"),
         F.count(parse_number(c)).alias(f"f{i}"),
         F.count_if(c.isin("True", "TRUE", "true", "False", "FALSE", "false")).alias(f"t{i}"),
     ]
@@ -209,6 +216,10 @@ def _detected(
             continue
         if numbers and row[f"i{i}"] == present:
             plan[n] = Step("integer")
+        elif numbers and row[f"a{i}"] == present:
+            # Digits beyond 64 bits are kept; beyond 38 of them the column stays text.
+            if row[f"w{i}"] == present:
+                plan[n] = Step("wide")
         elif numbers and row[f"f{i}"] == present:
             plan[n] = Step("number")
         elif numbers and row[f"t{i}"] == present:

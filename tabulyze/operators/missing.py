@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from tabulyze.functions.columns import (
     CATEGORICAL, as_double, col, column_types, complete_rows, free_name, is_missing, nan_to_null,
@@ -107,3 +107,22 @@ def dedupe_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     keyed = df.withColumns({k: _comparable(col(c), df.schema[c].dataType)
                             for c, k in keys.items()})
     return keyed.dropDuplicates([keys.get(c, c) for c in kept]).drop(*keys.values())
+
+
+def dedupe_observed(
+    df: DataFrame, columns: Sequence[str] | None = None
+) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """`dedupe_rows`, and a function that tells `rows` left and `removed`.
+
+    Both are counted while the frame is computed for the first time, without a job of their own;
+    before that the function waits.
+    """
+    seen, left = Observation(), Observation()
+    one = F.count(F.lit(1)).alias("rows")
+    kept = dedupe_rows(df.observe(seen, one), columns).observe(left, one)
+
+    def counts() -> dict[str, int]:
+        rows = left.get["rows"]
+        return {"rows": rows, "removed": seen.get["rows"] - rows}
+
+    return kept, counts

@@ -112,3 +112,24 @@ def test_outliers_in_turn_equal_pandas(lines):
     pd.testing.assert_frame_equal(
         got.sort_values(order).reset_index(drop=True), pdf.sort_values(order).reset_index(drop=True)
     )
+
+
+def test_removed_rows_are_observed(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (2, None), (3, "b")], "k int, v string")
+    kept, counts = missing.dedupe_observed(df)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    assert kept.count() == 3
+    jobs = store.jobsList(None).size()
+    assert counts() == {"rows": 3, "removed": 2}
+    assert store.jobsList(None).size() == jobs
+
+
+def test_whole_numbers_keep_their_digits(spark):
+    rows = [("9223372036854775809", "1" * 39, "1", "12"), (" -9223372036854775810", "2", "1.5", None)]
+    df = spark.createDataFrame(rows, "wide string, wider string, number string, small string")
+    plan = conversion.detect_numbers(df)
+    assert {n: s.kind for n, s in plan.items()} == {
+        "wide": "wide", "number": "number", "small": "integer"}
+    found = conversion.apply_plan(df, plan).collect()
+    assert [int(r.wide) for r in found] == [9223372036854775809, -9223372036854775810]
+    assert [r.wider for r in found] == ["1" * 39, "2"]
