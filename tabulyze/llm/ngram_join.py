@@ -45,7 +45,7 @@ FREQUENT = 0.001
 HOMES = 3
 CHUNK_ROWS = 4096
 CHUNK_GRAMS = 1 << 21
-PORTION_BYTES = 16 << 20
+PORTION_BYTES = 4 << 20
 PORTION_ROWS = 8192
 #: Parts of the hash range by which the suffix filter counts n-grams.
 PARTS = 32
@@ -439,7 +439,7 @@ def records(texts: DataFrame, seen: DataFrame, size: int, percent: int,
     grams, uses = often["gram"].to_numpy()[order], often["uses"].to_numpy()[order]
     rank = np.empty(len(grams), np.int64)
     rank[np.lexsort((grams, uses))] = np.arange(len(grams))
-    parts = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = (
         texts.mapInArrow(_flow(size, grams, rank, parts), FLOW).repartition("part")
         .select("digest", "n", "often", F.explode_outer("grams").alias("gram"))
