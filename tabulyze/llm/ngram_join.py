@@ -19,8 +19,8 @@ documents) stay out of the shuffle by n-gram; there are at most mean set size /
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing;
 texts with fewer words than `size` have one shingle, the whole sequence; a component whose ids are
-all null has a null id; repeated rows and ids are kept; extra columns are ignored. N-grams and sets
-are told apart by 64-bit hashes.
+all null has a null id; repeated rows and ids are kept; extra columns are ignored. N-grams are told
+apart by 56-bit hashes, sets by 64-bit ones.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ CHUNK_ROWS = 4096
 CHUNK_GRAMS = 1 << 21
 PORTION_BYTES = 4 << 20
 PORTION_ROWS = 8192
+#: Bits of an n-gram's hash; a byte less than a number holds keeps the shuffle smaller.
+GRAM_BITS = 56
 #: Parts of the hash range by which the suffix filter counts n-grams.
 PARTS = 32
 
@@ -91,8 +93,8 @@ def _grams(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]
             own = np.flatnonzero(counts >= size if n == size else counts == n)
             many = counts[own] - n + 1
             at = ragged(begin[own], many)
-            found.append((np.repeat(own, many),
-                          (window_hashes(words, n) ^ mix(np.array([n], np.uint64)))[at]))
+            hashes = mix(window_hashes(words, n) ^ mix(np.array([n], np.uint64)))[at]
+            found.append((np.repeat(own, many), hashes >> np.uint64(64 - GRAM_BITS)))
         text, gram = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((gram, text))
         text, gram = text[order], gram[order]
@@ -156,43 +158,31 @@ def _seen(size: int, frequent: float):
     return run
 
 
-FLOW = "part long, digest long, n long, grams array<long>, often binary"
+FLOW = "key long, digest long, n long, often binary"
 
 
-def _flow(size: int, frequent: np.ndarray, rank: np.ndarray, parts: int):
-    """Rows of a class: its n-grams by part of their hashes, and its frequent ones in order.
-
-    N-grams that go to the same place travel in one row, which keeps the shuffle small.
-    """
+def _flow(size: int, frequent: np.ndarray, rank: np.ndarray):
+    """A row for each n-gram of a class, and one with all its frequent n-grams in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for portion in _portions(batches, size):
-            own = portion.once()
-            many = portion.sizes[own]
-            of = np.repeat(np.arange(len(own)), many)
-            grams = portion.grams[ragged(portion.first[own], many)]
+        for part in _portions(batches, size):
+            own = part.once()
+            many = part.sizes[own]
+            grams = part.grams[ragged(part.first[own], many)]
+            digest, n = np.repeat(part.digests[own], many), np.repeat(many, many)
             if len(frequent):
                 at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
                 often = frequent[at] == grams
-                order = np.lexsort((rank[at[often]], of[often]))
-                held, held_of = grams[often][order], of[often][order]
-                cut = starts(held_of)
-                ends = np.append(cut[1:], len(held_of))
-                blobs_ = [held[a:b].tobytes() for a, b in zip(cut, ends)]
-                digest = portion.digests[own[held_of[cut]]]
-                yield _batch(FLOW, digest % parts, digest, many[held_of[cut]],
-                             pa.array([[]] * len(cut), pa.list_(pa.int64())),
-                             pa.array(blobs_, pa.binary()))
-                grams, of = grams[~often], of[~often]
-            part = grams % parts
-            order = np.lexsort((part, of))
-            grams, of, part = grams[order], of[order], part[order]
-            cut = starts(of * parts + part)
-            held = pa.ListArray.from_arrays(
-                pa.array(np.append(cut, len(grams)).astype(np.int32)), pa.array(grams))
-            whole = _batch(FLOW, part[cut], portion.digests[own[of[cut]]], many[of[cut]], held,
-                           pa.nulls(len(cut), pa.binary()))
-            yield from (whole.slice(lo, 100_000) for lo in range(0, len(cut), 100_000))
+                of = np.repeat(np.arange(len(own)), many)[often]
+                order = np.lexsort((rank[at[often]], of))
+                of, held = of[order], grams[often][order]
+                cut = starts(of)
+                ends = np.append(cut[1:], len(of))
+                lists = [held[a:b].tobytes() for a, b in zip(cut, ends)]
+                key = part.digests[own[of[cut]]]
+                yield _batch(FLOW, key, key, many[of[cut]], pa.array(lists, pa.binary()))
+                grams, digest, n = grams[~often], digest[~often], n[~often]
+            yield _batch(FLOW, grams, digest, n, pa.nulls(len(grams), pa.binary()))
 
     return run
 
@@ -260,7 +250,7 @@ PREFIX = "gram long, digest long, n long, rest long"
 def _part_counts(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     """How many of each row's n-grams lie in each part of the hash range."""
     n = len(first) - 1
-    part = (grams.view(np.uint64) >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64)
+    part = (grams.view(np.uint64) >> np.uint64(GRAM_BITS - PARTS.bit_length() + 1)).astype(np.int64)
     of = np.repeat(np.arange(n), np.diff(first))
     return np.bincount(of * PARTS + part, minlength=n * PARTS).reshape(n, PARTS)
 
@@ -439,12 +429,9 @@ def records(texts: DataFrame, seen: DataFrame, size: int, percent: int,
     grams, uses = often["gram"].to_numpy()[order], often["uses"].to_numpy()[order]
     rank = np.empty(len(grams), np.int64)
     rank[np.lexsort((grams, uses))] = np.arange(len(grams))
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = (
-        texts.mapInArrow(_flow(size, grams, rank, parts), FLOW).repartition("part")
-        .select("digest", "n", "often", F.explode_outer("grams").alias("gram"))
-        .select(F.coalesce("gram", "digest").alias("key"), "digest", "n", "often")
-        .sortWithinPartitions("key", "digest").mapInArrow(_shared, SHARED)
+        texts.mapInArrow(_flow(size, grams, rank), FLOW)
+        .repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_shared, SHARED)
     )
     return written(
         shared.repartition("digest").sortWithinPartitions("digest", "classes", "gram")
