@@ -31,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulyze.functions.columns import col
-from tabulyze.llm.batches import LOWER, NOT_SPACE, Slice, mix, slices
+from tabulyze.llm.batches import Slice, slices
 from tabulyze.llm.stamping import stamped, written
-from tabulyze.session import scratch_path
+from tabulyze.llm.word_exchange import (
+    LINE, exchange_words, places, portions, rare_files, shaped_words,
+)
 
 FOLDS, HELD_OUT = 7, 2
 END_HASH = np.uint64(0x8000000000000001)
 PENDING = 600_000
-LINKED = 400_000
 
 
 @dataclass(frozen=True)
@@ -51,6 +52,7 @@ class ClassOptions:
     few_moves: float = 0.01
     least_rise: float = 1e-3
     backoff: float = 5.0
+    bucket: int = 200_000  # uses of rare words kept in one file
 
     @property
     def n_units(self) -> int:
@@ -58,19 +60,6 @@ class ClassOptions:
         return self.units + self.shapes + 1
 
 
-def _words(part: Slice, shapes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and shapes of all words, and the bounds of each text in them."""
-    lowered = LOWER[part.data]
-    spans = part.words(NOT_SPACE)
-    tail = np.zeros(len(spans), np.uint64)
-    for k in range(1, 4):
-        at = spans.ends - k
-        tail = tail * np.uint64(256) + np.where(at >= spans.starts, lowered[at], 0).astype(
-            np.uint64)
-    shape = (mix(tail + np.uint64(1)) % np.uint64(shapes)).astype(np.int32)
-    return spans.hashes(lowered), shape, spans.bounds
-
-
 class Tally:
     """Counts of keys from many portions, in sorted arrays."""
 
@@ -107,7 +96,7 @@ def word_counts(texts: DataFrame, options: ClassOptions) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch.column(0)):
-                hashes, shape, _ = _words(part, options.shapes)
+                hashes, shape, _ = shaped_words(part, options.shapes)
                 keys, first, n = np.unique(hashes, return_index=True, return_counts=True)
                 ends += len(part)
                 if len(keys):
@@ -138,17 +127,6 @@ class Core:
     units: np.ndarray
     shapes: np.ndarray
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Place of each word, -1 for the others."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
-
-    def unit_of(self, at: np.ndarray, shape: np.ndarray, options: ClassOptions) -> np.ndarray:
-        own = np.where(at >= 0, self.units[at] if len(self.units) else -1, -1)
-        return np.where(own >= 0, own, options.units + shape)
-
 
 def frequent(counts: DataFrame, options: ClassOptions) -> tuple[Core, int]:
     """Words whose count reaches the least level at which `core_words` hold them all."""
@@ -180,31 +158,20 @@ def is_rare(least: int) -> Column:
     return (F.col("shape") >= 0) & (level < least)
 
 
-def _sequence(part: Slice, core: Core, options: ClassOptions):
-    """Words, their core places and units, and units with an end token after each text."""
-    hashes, shape, bounds = _words(part, options.shapes)
-    at = core.find(hashes)
-    units = core.unit_of(at, shape, options)
-    end = options.n_units - 1
-    line = np.full(len(units) + len(part), end, np.int64)
-    place = np.arange(len(units)) + np.repeat(np.arange(len(part)), np.diff(bounds))
-    line[place] = units
-    return hashes, at, units, bounds, line
-
-
-def unit_bigrams(texts: DataFrame, core: Core, options: ClassOptions) -> DataFrame:
-    """(a, b, n): how often unit b follows unit a; a text begins after an end token."""
+def unit_bigrams(lines: DataFrame, core: Core, options: ClassOptions) -> DataFrame:
+    """(a, b, n): how often unit b follows unit a in lines of codes; texts begin after an end."""
     n_units = options.n_units
-    shared = texts.sparkSession.sparkContext.broadcast(core)
+    unit_of = np.concatenate([  # of core words, the end, and the shapes of others
+        np.where(core.units >= 0, core.units, options.units + core.shapes),
+        [n_units - 1], options.units + np.arange(options.shapes)]).astype(np.int64)
+    shared = lines.sparkSession.sparkContext.broadcast(unit_of)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(n_units * n_units, np.int32)
         for batch in batches:
-            for part in slices(batch.column(0)):
-                line = _sequence(part, shared.value, options)[4]
-                pair = np.append(n_units - 1, line[:-1]) * n_units + line
-                pair, n = np.unique(pair, return_counts=True)
-                cells[pair] += n.astype(np.int32)
+            for line in batch.column(0):
+                units = shared.value[np.frombuffer(line.as_buffer(), np.int32)]
+                np.add.at(cells, units[:-1] * n_units + units[1:], 1)
         found = np.flatnonzero(cells)
         step = 1 << 17
         for lo in range(0, len(found), step):
@@ -214,7 +181,7 @@ def unit_bigrams(texts: DataFrame, core: Core, options: ClassOptions) -> DataFra
                 pa.array((some % n_units).astype(np.int32)),
                 pa.array(cells[some].astype(np.int64))], names=["a", "b", "n"])
 
-    return (texts.mapInArrow(count, "a int, b int, n long")
+    return (lines.mapInArrow(count, "a int, b int, n long")
             .groupBy("a", "b").agg(F.sum("n").alias("n")))
 
 
@@ -256,287 +223,6 @@ def exchange(bigrams: DataFrame, options: ClassOptions) -> tuple[np.ndarray, np.
     raise AssertionError
 
 
-def links(texts: DataFrame, core: Core) -> DataFrame:
-    """(ac, ah, bc, bh, n, kind): word b follows word a n times, in one portion of the texts.
-
-    A core word is its place (ac, bc), the end token the place after the last; a rare word has
-    place -1 and its hash (ah, bh). Kind is 1 for a rare a, plus 2 for a rare b.
-    """
-    spark = texts.sparkSession
-    shared, end = spark.sparkContext.broadcast(core.hashes), len(core.hashes)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Core(shared.value, *(np.zeros(0, np.int64),) * 3)
-        held, size = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            places, hashes = (np.concatenate(x) for x in zip(*held))
-            token = mix(np.where(places < 0, hashes, places.astype(np.uint64)))
-            pair = mix(token[:-1] * np.uint64(0x9E3779B97F4A7C15) + token[1:])
-            _, first, n = np.unique(pair, return_index=True, return_counts=True)
-            for lo in range(0, len(first), 1 << 16):
-                at, uses = first[lo:lo + (1 << 16)], n[lo:lo + (1 << 16)]
-                ac, bc = places[at], places[at + 1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ac.astype(np.int32)), pa.array(hashes[at].view(np.int64)),
-                     pa.array(bc.astype(np.int32)), pa.array(hashes[at + 1].view(np.int64)),
-                     pa.array(uses.astype(np.int32)),
-                     pa.array(((ac < 0) + 2 * (bc < 0)).astype(np.int32))],
-                    names=["ac", "ah", "bc", "bh", "n", "kind"])
-
-        start = (np.array([end]), np.zeros(1, np.uint64))
-        for batch in batches:
-            for part in slices(batch.column(0)):
-                found, _, bounds = _words(part, 1)
-                places = np.full(len(found) + len(part), end, np.int64)
-                hashes = np.zeros(len(places), np.uint64)
-                at = np.arange(len(found)) + np.repeat(np.arange(len(part)), np.diff(bounds))
-                places[at] = known.find(found)
-                hashes[at] = np.where(places[at] < 0, found, np.uint64(0))
-                held += [(places, hashes)] if held else [start, (places, hashes)]
-                size += len(places)
-                if size > LINKED:
-                    yield from flush()
-                    held, size = [], 0
-        if size:
-            yield from flush()
-
-    path = scratch_path(spark, "links")
-    found = texts.mapInArrow(count, "ac int, ah long, bc int, bh long, n int, kind int")
-    found.write.partitionBy("kind").parquet(path)
-    return spark.read.schema(found.schema).parquet(path)
-
-
-MOVED = "kind int, w long, side int, k int, n long"
-LABEL, CONTEXT, PAIR = 0, 1, 2
-
-
-def _moved_rows(kind: int, w: np.ndarray, side: np.ndarray | int, k: np.ndarray,
-                n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    step = 1 << 17
-    side = np.broadcast_to(side, len(w))
-    for lo in range(0, len(w), step):
-        at = slice(lo, lo + step)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(w[at]), kind, np.int32)), pa.array(w[at].astype(np.int64)),
-             pa.array(side[at].astype(np.int32)), pa.array(k[at].astype(np.int32)),
-             pa.array(n[at].astype(np.int64))], names=["kind", "w", "side", "k", "n"])
-
-
-@dataclass
-class Turn:
-    """What tasks need to move words: transitions, class sizes, and the classes of the core."""
-
-    classes: int
-    half: int
-    core: np.ndarray  # with the end token
-    follow: np.ndarray
-    sizes: np.ndarray
-
-    def best(self, contexts: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Likeliest class by the counts (words x side x class); the own one if none is better."""
-        gain = contexts[:, 0] @ self.follow + contexts[:, 1] @ self.follow.T
-        gain -= contexts[:, 0].sum(axis=1, keepdims=True) * np.log(self.sizes + 1.0)
-        gain[:, self.classes] = -np.inf
-        best = np.argmax(gain, axis=1)
-        rows = np.arange(len(own))
-        return np.where(gain[rows, best] > gain[rows, own] + 1e-9, best, own)
-
-    def moves(self, words: np.ndarray) -> np.ndarray:
-        return (mix(words.astype(np.int64).view(np.uint64)) & np.uint64(1)).astype(int) == self.half
-
-
-class CoreContexts:
-    """Counts of the classes beside the core words that move, and of class pairs, in a task."""
-
-    def __init__(self, turn: Turn) -> None:
-        self.turn, self.n = turn, turn.classes + 1
-        self.place = np.full(len(turn.core), -1)
-        moving = np.flatnonzero(turn.moves(np.arange(len(turn.core) - 1)))
-        self.place[moving], self.moving = np.arange(len(moving)), moving
-        self.cells = np.zeros(len(moving) * 2 * self.n, np.int32)
-        self.pairs = np.zeros(self.n * self.n, np.int64)
-
-    def add(self, words: np.ndarray, side: np.ndarray | int, k: np.ndarray,
-            n: np.ndarray) -> None:
-        at = self.place[words]
-        cell = ((at * 2 + side) * self.n + k)[at >= 0]
-        cell, back = np.unique(cell, return_inverse=True)
-        self.cells[cell] += np.bincount(back, n[at >= 0], len(cell)).astype(np.int32)
-
-    def add_pairs(self, before: np.ndarray, after: np.ndarray, n: np.ndarray) -> None:
-        self.pairs += np.bincount(before * self.n + after, n, len(self.pairs)).astype(np.int64)
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        cell = np.flatnonzero(self.cells)
-        yield from _moved_rows(CONTEXT, self.moving[cell // (2 * self.n)],
-                               cell // self.n % 2, cell % self.n, self.cells[cell])
-        cell = np.flatnonzero(self.pairs)
-        yield from _moved_rows(PAIR, cell // self.n, 0, cell % self.n, self.pairs[cell])
-
-
-def _core_links(shared):
-    """mapInArrow over (ac, bc, n): the contexts that core words are to each other."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = CoreContexts(shared.value)
-        core = shared.value.core
-        for batch in batches:
-            a, b, n = (batch.column(i).to_numpy() for i in range(3))
-            held.add(a, 1, core[b], n)
-            held.add(b, 0, core[a], n)
-            held.add_pairs(core[a], core[b], n)
-        yield from held.rows()
-
-    return run
-
-
-def _rare_words(shared):
-    """mapInArrow over (w, own, items), sorted by w: classes of rare words after the turn.
-
-    An item is a count times 2**32 plus a code: the place of a core word before w, or after it, or
-    the class of a rare word before w, or after it.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = shared.value
-        held, n, size = CoreContexts(turn), turn.classes + 1, len(turn.core)
-        side_of = np.repeat([0, 1, 0, 1], [size, size, n, n])
-        class_of = np.concatenate([turn.core, turn.core, np.arange(n), np.arange(n)])
-
-        def moved(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            w = rows.column(0).to_numpy()
-            first = np.append(True, w[1:] != w[:-1])
-            word = np.cumsum(first) - 1
-            w = w[first]
-            own = np.maximum.reduceat(rows.column(1).to_numpy(), np.flatnonzero(first))
-            items = rows.column(2)
-            at = np.repeat(word, items.value_lengths().to_numpy())
-            packed = items.flatten().to_numpy()
-            code, uses = packed & 0xFFFFFFFF, packed >> 32
-            side, k = side_of[code], class_of[code]
-            contexts = np.bincount((at * 2 + side) * n + k, uses, len(w) * 2 * n).reshape(
-                len(w), 2, n)
-            np.add.at(held.pairs.reshape(n, n).T, own, contexts[:, 0].astype(np.int64))
-            near = code < 2 * size
-            beside, mine, times = code[near] % size, own[at[near]], uses[near]
-            held.add(beside, 1 - side[near], mine, times)
-            after = side[near] == 1
-            held.add_pairs(mine[after], k[near][after], times[after])
-            moving = np.flatnonzero(turn.moves(w))
-            new = own.copy()
-            new[moving] = turn.best(contexts[moving], own[moving])
-            yield from _moved_rows(LABEL, w, 0, new, new != own)
-
-        rest = None
-        for batch in batches:
-            if rest is not None:
-                batch = pa.concat_batches([rest, batch])
-            w = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(w, w[-1])) if len(w) else 0
-            if cut:
-                yield from moved(batch.slice(0, cut))
-            rest = batch.slice(cut)
-        if rest is not None and len(rest):
-            yield from moved(rest)
-        yield from held.rows()
-
-    return run
-
-
-def _best_of_core(shared):
-    """mapInArrow over (w, side, k, n), sorted by w: classes of moving core words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, n = shared.value, shared.value.classes + 1
-
-        def best(part: list[np.ndarray]) -> pa.RecordBatch:
-            words, word = np.unique(part[0], return_inverse=True)
-            contexts = np.bincount((word * 2 + part[1]) * n + part[2], part[3],
-                                   len(words) * 2 * n).reshape(len(words), 2, n)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(words), pa.array(turn.best(contexts, turn.core[words]).astype(
-                    np.int32))], names=["w", "k"])
-
-        rest = [np.zeros(0, np.int64)] * 4
-        for batch in batches:
-            now = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(rest)]
-            cut = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0
-            if cut:
-                yield best([x[:cut] for x in now])
-            rest = [x[cut:] for x in now]
-        if len(rest[0]):
-            yield best(rest)
-
-    return run
-
-
-def exchange_words(linked: DataFrame, labels: DataFrame, core: np.ndarray, pairs: np.ndarray,
-                   words: int, options: ClassOptions) -> tuple[np.ndarray, DataFrame, np.ndarray]:
-    """Classes of core words and the end, labels (w, k) of rare words, and the class bigrams.
-
-    Starts from those given; `words` is the number of all training words.
-    """
-    spark = linked.sparkSession
-    n, size = options.classes + 1, len(core)
-    both = linked.filter("kind = 0").select("ac", "bc", "n")
-    item = F.shiftleft(F.col("n").cast("long"), 32)
-    before = linked.filter("kind = 2").select(F.col("bh").alias("w"), (
-        item + F.col("ac")).alias("item"))
-    after = linked.filter("kind = 1").select(F.col("ah").alias("w"), (
-        item + F.col("bc") + size).alias("item"))
-    # The uses of a rare word are fewer than those of the rarest core word.
-    gathered = written(before.union(after).groupBy("w").agg(
-        F.collect_list("item").alias("items")), "rare-contexts")
-    rare = linked.filter("kind = 3")
-    rare = rare.select(F.col("ah").alias("w"), F.col("bh").alias("v"), F.lit(1).alias("side"), "n") \
-        .union(rare.select(F.col("bh").alias("w"), F.col("ah").alias("v"), F.lit(0), "n"))
-    nothing = F.array().cast("array<long>")
-    before_sweep, moved, half = likelihood(pairs), 0, 0
-    while True:  # half 0 and half 1 make a sweep; half -1 only counts
-        follow = np.log((pairs + 0.5) / (pairs.sum(axis=1, keepdims=True) + 0.5 * n))
-        turn = Turn(options.classes, half, core, follow, pairs.sum(axis=0))
-        shared = spark.sparkContext.broadcast(turn)
-        known = labels.select(F.col("w").alias("v"), "k")
-        told = rare.join(known, "v").select("w", F.lit(-1).alias("own"), F.array(
-            item + 2 * size + F.col("side") * n + F.col("k")).alias("items"))
-        rows = labels.select("w", F.col("k").alias("own"), nothing.alias("items")) \
-            .union(gathered.select("w", F.lit(-1), "items")).union(told)
-        out = written(
-            rows.repartition("w").sortWithinPartitions("w").mapInArrow(_rare_words(shared), MOVED)
-            .union(both.mapInArrow(_core_links(shared), MOVED)), "turn")
-        pairs = np.zeros((n, n))
-        for r in out.filter(F.col("kind") == PAIR).groupBy("w", "k").agg(
-                F.sum("n").alias("n")).collect():
-            pairs[r["w"], r["k"]] = r["n"]
-        if half < 0:
-            return core, labels, pairs
-        sides = out.filter(F.col("kind") == CONTEXT).groupBy("w", "side", "k").agg(
-            F.sum("n").alias("n"))
-        found = sides.repartition("w").sortWithinPartitions("w").select(
-            "w", "side", "k", "n").mapInArrow(_best_of_core(shared), "w long, k int").toArrow()
-        new = core.copy()
-        new[found["w"].to_numpy()] = found["k"].to_numpy()
-        mine = out.filter(F.col("kind") == LABEL)
-        moved += int((new != core).sum()) + (mine.agg(F.sum("n")).first()[0] or 0)
-        core, labels = new, mine.select("w", "k")
-        shared.unpersist()
-        if half == 0:
-            half = 1
-            continue
-        now = likelihood(pairs)
-        settled = moved <= options.few_moves * words \
-            or now - before_sweep <= options.least_rise * abs(before_sweep)
-        before_sweep, moved, half = now, 0, -1 if settled else 0
-
-
-def likelihood(pairs: np.ndarray) -> float:
-    """Log likelihood of the classes, up to what does not depend on them."""
-    cells = (pairs, pairs.sum(axis=0), pairs.sum(axis=1))
-    inner, left, right = (float((x * np.log(np.maximum(x, 1))).sum()) for x in cells)
-    return inner - left - right
-
-
 @dataclass
 class Model:
     core: Core
@@ -553,27 +239,31 @@ def fit(training: DataFrame, options: ClassOptions) -> tuple[Model, DataFrame]:
     """The model of a table (text), and counts and classes (h, c, k) of all rare words."""
     counts = written(word_counts(training, options), "word-counts")
     core, least = frequent(counts, options)
-    bigrams = written(unit_bigrams(training, core, options), "unit-bigrams")
+    rare_words = F.sum(F.when(is_rare(least), F.col("c")))
+    totals = {r["end"]: r for r in counts.groupBy((F.col("shape") < 0).alias("end")).agg(
+        F.count(F.lit(1)).alias("v"), F.sum("c").alias("n"),
+        rare_words.alias("rare")).collect()}
+    totals = {end: (r["v"], r["n"], r["rare"] or 0) for end, r in totals.items()}
+    buckets = max(1, -(-totals.get(False, (0, 0, 0))[2] // options.bucket))
+    end_count = totals.get(True, (0, 0, 0))[1]
+    linked = portions(training, core.hashes, options.shapes, buckets)
+    bigrams = written(
+        unit_bigrams(linked.filter(F.col("kind") == LINE).select("v"), core, options),
+        "unit-bigrams")
     units, pairs = exchange(bigrams, options)
-    totals = {r["end"]: (r["v"], r["n"]) for r in counts.groupBy(
-        (F.col("shape") < 0).alias("end")).agg(
-            F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).collect()}
-    end_count = totals.get(True, (0, 0))[1]
     start = np.append(units[np.where(core.units >= 0, core.units, options.units + core.shapes)],
                       options.classes).astype(np.int64)
-    of_shape = F.array(*(F.lit(int(k)) for k in units[options.units:-1]))
-    rare = counts.filter(is_rare(least))
-    labels = rare.select(F.col("h").alias("w"), F.get(of_shape, F.col("shape")).alias("k"))
-    class_of, labels, pairs = exchange_words(
-        links(training, core), written(labels, "labels"), start, pairs,
-        totals.get(False, (0, 0))[0], options)
-    rare = written(rare.join(labels.withColumnRenamed("w", "h"), "h"), "rare-words")
+    class_of, labelled, pairs = exchange_words(
+        linked, rare_files(linked, units[options.units:-1], options.classes, buckets), start,
+        pairs, totals.get(False, (0, 0, 0))[0], options.classes, buckets, options.few_moves,
+        options.least_rise)
+    rare = written(labelled, "rare-words")
     v, n = np.zeros(options.classes + 1), np.zeros(options.classes + 1)
     kinds = np.zeros((options.shapes, options.classes + 1), np.int64)
     np.add.at(v, class_of[:-1], 1)
     np.add.at(n, class_of[:-1], core.counts)
     np.add.at(kinds, (core.shapes, class_of[:-1]), 1)
-    v[-1], n[-1] = totals.get(True, (0, 0))
+    v[-1], n[-1] = totals.get(True, (0, 0, 0))[:2]
     for r in rare.groupBy("shape", "k").agg(
             F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).collect():
         v[r["k"]], n[r["k"]] = v[r["k"]] + r["v"], n[r["k"]] + r["n"]
@@ -601,8 +291,8 @@ def _known(part: Slice, model: Model, options: ClassOptions) -> list[pa.Array]:
 
     Classes are a byte each; those of other words are the ones of their shapes, plus UNSURE.
     """
-    hashes, shape, bounds = _words(part, options.shapes)
-    at = model.core.find(hashes)
+    hashes, shape, bounds = shaped_words(part, options.shapes)
+    at = places(model.core.hashes, hashes)
     text = np.repeat(np.arange(len(part)), np.diff(bounds))
     known = at >= 0
     logs = np.log10(model.core.counts + 1.0) if len(model.core.counts) else np.zeros(1)

@@ -33,3 +33,9 @@ def read_file(path: str, start: int = 0, size: int | None = None) -> bytes:
         length = file.size()
         at = start if start >= 0 else max(length + start, 0)
         return file.read_at(length - at if size is None else size, at)
+
+
+def remove_folder(path: str) -> None:
+    """Remove a folder written along the way, once nothing reads it any more."""
+    system, name = _located(path)
+    system.delete_dir(name)
