@@ -11,7 +11,7 @@ from tabulyze.functions.moments import kurtosis_adjusted, skewness_adjusted
 from tabulyze.functions.facts import VALUE_LIMIT, Answer, Asked, answered
 from tabulyze.functions.order_stats import quantile_values
 from tabulyze.functions.text import safe_divide
-from tabulyze.operators.ranking import value_counts
+from tabulyze.operators.ranking import top_values, value_counts
 from tabulyze.operators.roles import is_numerical, require_columns
 
 NO_DATA = "No valid data"
@@ -117,6 +117,8 @@ def categorical_distribution(df: DataFrame, column: str) -> DataFrame:
 
 def common_values(df: DataFrame, column: str, top_n: int = 10) -> DataFrame:
     """`rank`, `value`, `n`: the most frequent values, ties by value."""
+    if dict(df.dtypes).get(column) == "string":
+        return top_values(df, [column], top_n).select("rank", "value", "n")
     counts = _texts_with_counts(df, column)
     place = F.row_number().over(W.orderBy(F.desc("n"), "value"))  # over a few rows
     return counts.orderBy(F.desc("n"), "value").limit(top_n).select(

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulyze.functions.columns import (
     CATEGORICAL, as_double, col, column_types, is_missing, nan_to_null, numeric_columns,
 )
 from tabulyze.functions.facts import VALUE_LIMIT, Asked, answered
 from tabulyze.operators.correlation import correlation_matrix
-from tabulyze.operators.ranking import column_value_counts
+from tabulyze.operators.ranking import hashed_counts, top_values
 
 QUARTILES = (0.25, 0.5, 0.75)
 NUMERIC_SCHEMA = (
@@ -89,29 +89,17 @@ def numeric_summary(df: DataFrame, limit: int = VALUE_LIMIT) -> DataFrame:
 def text_summary(df: DataFrame, top: int = 10) -> DataFrame:
     """Distinct count, mode and the `top` most frequent values of each text column.
 
-    One row per listed value. All columns are counted in one shuffle; the two passes over
-    the counts reuse it.
+    One row per listed value. Texts are counted by hashes; those listed are fetched by `top_values`.
     """
     text = column_types(df)[CATEGORICAL]
     if not text:
         return df.sparkSession.createDataFrame([], TEXT_SCHEMA)
-    counts = column_value_counts(df, text)
-    by_count = W.partitionBy("column").orderBy(F.desc("n"), "value")
-    listed = (
-        counts.withColumn("rank", F.row_number().over(by_count).cast("int"))
-        .filter(F.col("rank") <= top)
-    )
-    best = F.min(F.struct((-F.col("n")).alias("m"), "value"))
-    totals = (
-        counts.groupBy("column")
-        .agg(F.count("*").alias("unique_count"), best.alias("s"))
-        .select(
-            "column", "unique_count",
-            F.col("s.value").alias("top_value"), (-F.col("s.m")).alias("top_frequency"),
-        )
-    )
-    # `totals` has one row per text column of the schema.
-    return listed.join(F.broadcast(totals), "column").select(
+    listed = top_values(df, text, top)
+    totals = hashed_counts(df, text).groupBy("column").agg(F.count("*").alias("unique_count"))
+    first = listed.filter("rank = 1").select(
+        "column", F.col("value").alias("top_value"), F.col("n").alias("top_frequency"))
+    # Both have one row per text column of the schema, and `listed` a few of each.
+    return listed.join(totals, "column").join(first, "column").select(
         "column", "unique_count", "top_value", "top_frequency", "rank", "value", "n"
     )
 

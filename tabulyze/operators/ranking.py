@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tabulyze.functions.columns import (
     as_double, col, complete_rows, free_name, is_missing, nan_to_null, quoted, tie_break,
@@ -65,8 +65,76 @@ def column_value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long_values(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
+HEAD = 32  # characters that travel with the hash of a text
+FEW = 1000  # candidates sent to the tasks; more are joined by shuffle
+
+
+def hashed_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`column`, `h1`, `h2`, `n` for text columns, with each text's `head` and if it is `longer`.
+
+    Texts are told apart by 128 bits of hashes, so no exchange carries a whole text.
+    """
+    pairs = [
+        F.struct(
+            F.lit(c).alias("column"), F.xxhash64(col(c)).alias("h1"),
+            F.xxhash64(F.lit(HEAD), col(c)).alias("h2"),
+            F.substring(col(c), 1, HEAD).alias("head"),
+            (F.length(col(c)) > HEAD).alias("longer"),
+        )
+        for c in columns
+    ]
+    rows = df.select(F.explode(F.array(*pairs)).alias("s")).select("s.*")
+    # Equal texts have one head, which a minimum keeps as it is.
+    return rows.filter(F.col("head").isNotNull()).groupBy("column", "h1", "h2").agg(
+        F.count("*").alias("n"), F.min("head").alias("head"), F.max("longer").alias("longer"))
+
+
+def top_values(df: DataFrame, columns: Sequence[str], top: int) -> DataFrame:
+    """`column`, `rank`, `value`, `n`: the most frequent texts of each column, ties by value.
+
+    Candidates are found by counts and heads; only texts longer than a head are fetched by a second
+    pass over the table, and only those of candidates. All columns must be text.
+    """
+    spark = df.sparkSession
+    by_count = W.partitionBy("column").orderBy(F.desc("n"), "head")
+    keys = ["column", "h1", "h2"]
+    candidates = (
+        hashed_counts(df, columns)
+        .withColumn("place", F.rank().over(by_count)).filter(F.col("place") <= top)
+        .select(*keys, "head", "longer", "n")
+    )
+    few = candidates.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        found = spark.createDataFrame(few, candidates.schema)
+        wanted = F.broadcast(found.filter("longer").select(*keys))  # at most FEW rows of hashes
+        cut = sorted({r["column"] for r in few if r["longer"]})
+    else:
+        found, cut = candidates, list(columns)
+        wanted = candidates.filter("longer").select(*keys)
+    value = F.col("head")
+    if cut:
+        rows = long_values(df, cut).withColumns({
+            "h1": F.xxhash64("value"), "h2": F.xxhash64(F.lit(HEAD), F.col("value"))})
+        texts = (
+            rows.filter(F.length("value") > HEAD).join(wanted, keys)
+            .groupBy(*keys).agg(F.min("value").alias("text"), F.max("value").alias("other"))
+        )
+        found = found.join(texts, keys, "left")
+        same = F.col("text").eqNullSafe(F.col("other"))
+        value = F.when(same, F.coalesce("text", "head")).otherwise(
+            F.raise_error(F.lit("two texts share 128 bits of hashes")))
+    place = F.row_number().over(W.partitionBy("column").orderBy(F.desc("n"), "value"))
+    return (
+        found.select("column", value.alias("value"), "n")
+        .withColumn("rank", place.cast("int")).filter(F.col("rank") <= top)
+        .select("column", "rank", "value", "n")
+    )
+
+
 def column_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """`column`, `value`, `n`: the most frequent value, the smallest on ties."""
+    if all(df.schema[c].dataType == T.StringType() for c in columns):
+        return top_values(df, columns, 1).select("column", "value", "n")
     best = F.min(F.struct((-F.col("n")).alias("m"), "value"))
     return (
         column_value_counts(df, columns)

@@ -1,3 +1,5 @@
+import re
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +159,38 @@ def test_hot_group_is_combined_before_the_shuffle(spark):
     )
     top = ranking.top_bottom(df, "v", "k", 1, 1).filter("side = 'top'").first()
     assert (top["k"], top["value"]) == (0, float(sum(range(0, 20000, 3))))
+
+
+def plain_tops(rows, top):
+    counts = pd.Series([r for r in rows if r is not None], dtype=object).value_counts()
+    ordered = sorted(counts.items(), key=lambda p: (-p[1], p[0].encode()))
+    return [(i + 1, value, n) for i, (value, n) in enumerate(ordered[:top])]
+
+
+def test_top_values_of_long_texts_and_ties(spark, monkeypatch):
+    shared = "a head that all of these texts have in common, "
+    texts = [shared + str(i % 23) for i in range(60)] + ["", "", "é" * 40, None, shared] * 2
+    short = [f"s{i % 7}" if i % 5 else None for i in range(len(texts))]
+    df = spark.createDataFrame(
+        list(zip(texts, short, [None] * len(texts))), "t string, s string, none string")
+    for few in (1000, 3):  # candidates sent to the tasks, or joined
+        monkeypatch.setattr(ranking, "FEW", few)
+        for top in (1, 10, 100):
+            found = ranking.top_values(df, ["t", "s", "none"], top).collect()
+            for name, rows in (("t", texts), ("s", short), ("none", [])):
+                got = sorted((r.rank, r.value, r.n) for r in found if r.column == name)
+                assert got == plain_tops(rows, top)
+    empty = df.limit(0)
+    assert ranking.top_values(empty, ["t"], 10).collect() == []
+    assert profile.text_summary(empty).collect() == []
+
+
+def test_no_exchange_carries_a_text(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    counts = ranking.hashed_counts(documents, ["text"])
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = counts._jdf.queryExecution().explainString(mode)
+    inputs = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan)
+    assert len(inputs) == 1
+    names = [re.sub(r"#\d+L?", "", name) for name in inputs[0].split(", ")]
+    assert names == ["column", "h1", "h2", "count", "min", "max"]
