@@ -153,14 +153,14 @@ def json_layout(spark: SparkSession, path: str) -> str:
     lines = spark.read.text(path).select(
         value.alias("value"), F.input_file_name().alias("file")).filter("value <> ''")
     alone = F.col("value").startswith("{") & F.try_parse_json("value").isNotNull()
-    n, files, all_alone, shaped = lines.agg(
-        F.count(F.lit(1)), F.count_distinct("file"), F.bool_and(alone),
-        F.bool_and(_column_shaped(F.col("value"))),
-    ).first()
+    n, files, all_alone = lines.agg(
+        F.count(F.lit(1)), F.count_distinct("file"), F.bool_and(alone)).first()
     if not n:
         return "lines"
     if all_alone:
-        return "columns" if n == files and shaped else "lines"
+        # Only where each file is one line can that line be a whole table.
+        shaped = n == files and lines.agg(F.bool_and(_column_shaped(F.col("value")))).first()[0]
+        return "columns" if shaped else "lines"
     whole = spark.read.text(path, wholetext=True).select(value.alias("value"))
     shaped = whole.filter("value <> ''").agg(F.bool_and(_column_shaped(F.col("value")))).first()[0]
     if shaped:
