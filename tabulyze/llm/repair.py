@@ -1,13 +1,18 @@
 """Token ids in grammar-compressed binary shards (Re-Pair).
 
 In rounds, the most frequent pairs of neighbouring ids of a shard become nonterminals and are
-replaced from left to right; pairs never cross the end of a document. A shard holds the rules,
-how many ids each nonterminal expands to, and for each document where its symbols begin, so any
-span of ids is decoded from the few symbols that cover it.
-
-File, little-endian: "RPTK", version, first nonterminal, bytes of a symbol (u32 each), documents,
-rules, symbols (u64 each); document ids (i64), whether they are null (u8), first symbols (u64),
-numbers of ids (u64); rule pairs (u32, u32), expansion lengths (u32); symbols (u16 or u32).
+replaced from left to right; pairs never cross the end of a document. A round takes the pairs used
+at least an eighth as often as the most frequent one; where two of them overlap, the more frequent
+one (by steps of a quarter of a doubling, then by a hash) is replaced and the other waits. Rounds go on until no pair is used `LEAST_USES` times, the
+fewest that save more bytes than a rule takes. A shard holds the rules, how many ids each
+nonterminal expands to, and for each document where its symbols begin, so any span of ids is
+decoded from the few symbols that cover it.
+
+File, little-endian: "RPTK", version, first nonterminal, bit planes above 16 bits (u32 each),
+documents, rules, rounds, bytes of rules, symbols (u64 each); document ids (i64), whether they are
+null (u8), first symbols (u64), numbers of ids (u64); rules a round (u32); rules, sorted in each
+round, as numbers of seven bits a byte: left symbols less the one before, right symbols, expansion
+lengths; the symbols' low 16 bits (u16), then their higher bits, a plane of packed bits each.
 
 Documents are in ascending id order, null ids first, equal ids by a hash of their text. Defined
 results: null and empty texts hold the end id only; repeated rows are kept; extra columns are
@@ -33,21 +38,28 @@ from tabulyze.llm.stamping import written
 from tabulyze.llm.tokens import encoder, with_end
 from tabulyze.session import scratch_path
 
-MAGIC, VERSION = b"RPTK", 1
-HEADER = struct.Struct("<4sIIIQQQ")
+MAGIC, VERSION = b"RPTK", 2
+HEADER = struct.Struct("<4sIIIQQQQQ")
 SHARD_IDS = 1 << 21
-ROUNDS = 4
-RULES_A_ROUND = 2048
-LEAST_USES = 8
-BUCKETS = 18
+LEAST_USES = 3
+MIX = np.uint64(0x9E3779B97F4A7C15)
 END_ID = 0
 
 
+def _gathered(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of n values from each start, one after the other."""
+    total = np.concatenate(([0], np.cumsum(n)))
+    return values[np.repeat(start - total[:-1], n) + np.arange(total[-1])]
+
+
 @dataclass
 class Grammar:
+    """Rules by rounds; those of a round refer to ids and rules of earlier rounds only."""
+
     base: int
     pairs: np.ndarray
     lengths: np.ndarray
+    rounds: np.ndarray
 
     def expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all symbols in a row, where each symbol's begin, and how many there are."""
@@ -55,81 +67,172 @@ class Grammar:
         start = np.cumsum(count) - count
         ids = np.zeros(int(count.sum()), "<u4")
         ids[:self.base] = np.arange(self.base)
-        for i, (a, b) in enumerate(self.pairs.tolist()):
-            at, n = start[self.base + i], count[a]
-            ids[at:at + n] = ids[start[a]:start[a] + n]
-            ids[at + n:at + n + count[b]] = ids[start[b]:start[b] + count[b]]
+        first = 0
+        for size in self.rounds.tolist():
+            parts = self.pairs[first:first + size].reshape(-1)
+            found = _gathered(ids, start[parts], count[parts])
+            at = start[self.base + first]
+            ids[at:at + len(found)] = found
+            first += size
         return ids, start, count
 
 
 def expand(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     ids, start, count = table
-    n = count[symbols]
-    total = np.concatenate(([0], np.cumsum(n)))
-    return ids[np.repeat(start[symbols] - total[:-1], n) + np.arange(total[-1])]
-
-
-def compress(ids: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS,
-             rules_a_round: int = RULES_A_ROUND) -> tuple[Grammar, np.ndarray, np.ndarray]:
+    return _gathered(ids, start[symbols], count[symbols])
+
+
+def _every_second(at: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Of places that follow each other, every second one from the left."""
+    run = np.flatnonzero(~follows)
+    nth = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+    return at[nth % 2 == 0]
+
+
+def _frequent(places: np.ndarray, code: np.ndarray, slot: np.ndarray, least: int
+              ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes used `least` times or more, their uses, and which places may hold such a code.
+
+    Overlapping pairs of one id count once.
+    """
+    once = np.ones(len(code), bool)
+    overlaps = (np.diff(code, prepend=~code[:1]) == 0) & (np.diff(places, prepend=-2) == 1)
+    if overlaps.any():
+        at = np.arange(len(code))
+        once[:] = False
+        once[_every_second(at, overlaps)] = True
+    crowded = (np.bincount(slot) >= least)[slot]
+    ordered = np.sort(code[crowded & once])
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[:len(ordered)])
+    uses = np.diff(np.append(first, len(ordered)))
+    often = uses >= least
+    return ordered[first[often]], uses[often], crowded
+
+
+def _chosen(places: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Indices of places to replace: no two touch, and the better rank of neighbours wins."""
+    near = np.diff(places) == 1
+    worse = np.zeros(len(places), bool)
+    worse[1:] |= near & (rank[1:] > rank[:-1])
+    worse[:-1] |= near & (rank[:-1] > rank[1:])
+    left = np.flatnonzero(~worse)
+    return _every_second(left, np.diff(places[left], prepend=-2) == 1)
+
+
+def compress(ids: np.ndarray, bounds: np.ndarray, least: int = LEAST_USES
+             ) -> tuple[Grammar, np.ndarray, np.ndarray]:
     """Grammar, symbols, and where each document's symbols begin (n + 1 bounds)."""
     base = int(ids.max()) + 1 if len(ids) else 1
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(symbols), bool)
     last[bounds[1:][np.diff(bounds) > 0] - 1] = True
-    pairs, lengths = [], [np.ones(base, np.int64)]
-    for _ in range(rounds):
-        room = (1 << 16) - base - sum(map(len, pairs)) if base < 1 << 16 else rules_a_round
-        if len(symbols) < 2 or room <= 0:
-            break
-        code = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int32)
-        # One pair speaks for a bucket; the others in it wait for another round.
-        spoken = np.zeros(1 << BUCKETS, np.uint64)
-        spoken[slot] = code
-        usable = (spoken[slot] == code) & ~last[:-1]
-        uses = np.bincount(slot[usable], minlength=1 << BUCKETS)
-        k = min(rules_a_round, room)
-        top = np.argpartition(uses, -k)[-k:]
-        top = top[uses[top] >= LEAST_USES]
-        if not len(top):
+    pairs, lengths, n = [], np.ones(base, np.int64), base
+    # Uses of a pair never grow, so a place is looked at until its pair is found to be rare.
+    live = np.ones(len(symbols), bool)
+    while True:
+        inner = np.flatnonzero(live[:-1] & ~last[:-1])
+        code = (symbols[inner].astype(np.uint64) << np.uint64(32)) | symbols[inner + 1]
+        shift = np.uint64(64 - max(10, min(20, len(code).bit_length())))
+        slot = ((code * MIX) >> shift).astype(np.int64)
+        codes, uses, crowded = _frequent(inner, code, slot, least)
+        if not len(codes):
             break
-        top = top[np.argsort(-uses[top], kind="stable")]
-        symbol_of = np.zeros(1 << BUCKETS, np.uint32)
-        symbol_of[top] = base + sum(map(len, pairs)) + np.arange(len(top))
-        at = np.flatnonzero(usable & (symbol_of[slot] > 0))
-        # Of marks on neighbouring places every second is taken, from the left.
-        run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        nth = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-        at = at[nth % 2 == 0]
-        symbols[at] = symbol_of[slot[at]]
-        last[at] = last[at + 1]
+        live[inner] = crowded
+        taken = uses * 8 >= uses.max()
+        # Ties go by a hash: in the order of the ids a long passage would yield a pair a round.
+        level = np.floor(4 * np.log2(uses[taken]))
+        codes = codes[taken][np.lexsort((codes[taken] * MIX, -level))]
+        # The best rank is filed last and so keeps its slot; pairs that lose theirs wait.
+        rank_of = np.full(int(slot.max()) + 1, -1, np.int32)
+        filed = ((codes * MIX) >> shift).astype(np.int64)
+        rank_of[filed[::-1]] = np.arange(len(codes) - 1, -1, -1, dtype=np.int32)
+        rank = rank_of[slot]
+        hit = np.flatnonzero(rank >= 0)
+        hit = hit[codes[rank[hit]] == code[hit]]
+        places, rank = inner[hit], rank[hit]
+        picked = _chosen(places, rank)
+        places, rank = places[picked], rank[picked]
+        paying = np.bincount(rank, minlength=len(codes)) >= least
+        kept = paying[rank]
+        places, rank = places[kept], rank[kept]
+        # Rules of a round are numbered by their pair.
+        rules = np.sort(codes[paying])
+        number = np.zeros(len(codes), np.uint32)
+        number[paying] = n + np.searchsorted(rules, codes[paying])
+        symbols[places] = number[rank]
+        last[places] = last[places + 1]
         keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        symbols, last = symbols[keep], last[keep]
-        new = np.stack([(spoken[top] >> np.uint64(32)), spoken[top] & np.uint64(0xFFFFFFFF)], 1)
-        new = new.astype(np.uint32)
-        known = np.concatenate(lengths)
+        keep[places + 1] = False
+        symbols, last, live = symbols[keep], last[keep], live[keep]
+        now = places - np.arange(len(places))
+        live[now] = True
+        live[np.maximum(now - 1, 0)] = True
+        new = np.stack([rules >> np.uint64(32), rules & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         pairs.append(new)
-        lengths.append(known[new[:, 0]] + known[new[:, 1]])
+        lengths = np.concatenate((lengths, lengths[new[:, 0]] + lengths[new[:, 1]]))
+        n += len(new)
     grammar = Grammar(
-        base, np.concatenate(pairs) if pairs else np.zeros((0, 2), np.uint32),
-        np.concatenate(lengths[1:]) if pairs else np.zeros(0, np.int64))
+        base, np.concatenate([np.zeros((0, 2), np.uint32), *pairs]), lengths[base:],
+        np.array([len(x) for x in pairs], np.int64))
     ends = np.zeros(len(bounds), np.int64)
     ends[1:][np.diff(bounds) > 0] = np.flatnonzero(last) + 1
     return grammar, symbols, np.maximum.accumulate(ends)
 
 
+def packed_numbers(values: np.ndarray) -> bytes:
+    """Numbers below 2^35 in seven bits a byte, the low ones first."""
+    values = values.astype(np.uint64)
+    n = 1 + sum((values >= np.uint64(1 << 7 * k)).astype(np.int64) for k in range(1, 5))
+    at = np.cumsum(n) - n
+    out = np.zeros(int(n.sum()), np.uint8)
+    for k in range(5):
+        more = n > k
+        seven = ((values[more] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8)
+        out[at[more] + k] = seven | ((n[more] > k + 1).astype(np.uint8) << 7)
+    return out.tobytes()
+
+
+def unpacked_numbers(data: np.ndarray) -> np.ndarray:
+    ends = np.flatnonzero(data < 128)
+    start = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+    n = ends - start + 1
+    values = np.zeros(len(ends), np.int64)
+    for k in range(5):
+        more = n > k
+        values[more] |= (data[start[more] + k].astype(np.int64) & 127) << (7 * k)
+    return values
+
+
+def _rule_bytes(grammar: Grammar) -> bytes:
+    left, right = grammar.pairs[:, 0].astype(np.int64), grammar.pairs[:, 1]
+    step = np.diff(left, prepend=0)
+    firsts = (np.cumsum(grammar.rounds) - grammar.rounds)
+    step[firsts] = left[firsts]
+    return packed_numbers(np.concatenate((step, right.astype(np.int64), grammar.lengths)))
+
+
+def _rules(data: np.ndarray, rules: int, rounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    step, right, lengths = unpacked_numbers(data).reshape(3, rules)
+    firsts = np.cumsum(rounds) - rounds
+    total = np.cumsum(step)
+    left = total - np.repeat(total[firsts] - step[firsts], rounds)
+    return np.stack([left, right], 1), lengths
+
+
 def shard_bytes(doc_ids: list[int | None], ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     grammar, symbols, begins = compress(ids, bounds)
-    width = 2 if grammar.base + len(grammar.pairs) <= 1 << 16 else 4
+    planes = max(0, (grammar.base + len(grammar.pairs) - 1).bit_length() - 16)
+    rules = _rule_bytes(grammar)
     return [
-        HEADER.pack(MAGIC, VERSION, grammar.base, width, len(doc_ids), len(grammar.pairs),
-                    len(symbols)),
+        HEADER.pack(MAGIC, VERSION, grammar.base, planes, len(doc_ids), len(grammar.pairs),
+                    len(grammar.rounds), len(rules), len(symbols)),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
         np.array([d is None for d in doc_ids], "u1").tobytes(),
         begins[:-1].astype("<u8").tobytes(), np.diff(bounds).astype("<u8").tobytes(),
-        grammar.pairs.astype("<u4").tobytes(), grammar.lengths.astype("<u4").tobytes(),
-        symbols.astype(f"<u{width}").tobytes(),
+        grammar.rounds.astype("<u4").tobytes(), rules,
+        (symbols & np.uint32(0xFFFF)).astype("<u2").tobytes(),
+        *(np.packbits((symbols >> np.uint32(16 + k) & np.uint32(1)).astype(np.uint8)).tobytes()
+          for k in range(planes)),
     ]
 
 
@@ -145,7 +248,8 @@ class Shard:
 
     @classmethod
     def parse(cls, data: bytes) -> "Shard":
-        magic, version, base, width, docs, rules, symbols = HEADER.unpack_from(data)
+        magic, version, base, planes, docs, rules, rounds, rule_bytes, n = \
+            HEADER.unpack_from(data)
         if magic != MAGIC or version != VERSION:
             raise ValueError("Not a shard of token ids")
         at = HEADER.size
@@ -158,9 +262,14 @@ class Shard:
 
         ids, nulls = take("<i8", docs).tolist(), take("u1", docs).tolist()
         begins, counts = take("<u8", docs).astype(np.int64), take("<u8", docs).astype(np.int64)
-        pairs, lengths = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules)
+        sizes = take("<u4", rounds).astype(np.int64)
+        pairs, lengths = _rules(take("u1", rule_bytes), rules, sizes)
+        symbols = take("<u2", n).astype(np.uint32)
+        for k in range(planes):
+            bits = np.unpackbits(take("u1", -(-n // 8)), count=n)
+            symbols |= bits.astype(np.uint32) << np.uint32(16 + k)
         return cls([None if z else i for i, z in zip(ids, nulls)], begins, counts,
-                   Grammar(base, pairs, lengths), take(f"<u{width}", symbols))
+                   Grammar(base, pairs, lengths, sizes), symbols)
 
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the bounds of each document in them."""

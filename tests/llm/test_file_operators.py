@@ -166,6 +166,55 @@ def test_grammar_round_trip_and_random_access():
                 assert shard.span(doc, a, b).tolist() == own[a:b].tolist()
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_grammars_leave_no_pair_that_pays(seed):
+    draw = np.random.default_rng(seed)
+    ids = draw.integers(0, draw.integers(1, 6), draw.integers(0, 400)).astype(np.uint32)
+    ids = np.concatenate([ids, np.tile(ids[:60], draw.integers(0, 5))])
+    cuts = np.sort(draw.integers(0, len(ids) + 1, 3))
+    bounds = np.concatenate(([0], cuts, [len(ids)]))
+    shard = repair.Shard.parse(b"".join(repair.shard_bytes([1, 2, 3, 4], ids, bounds)))
+    back, again = shard.ids()
+    assert (back == ids).all() and (again == bounds).all()
+    lengths = [1] * shard.grammar.base
+    for (a, b), n in zip(shard.grammar.pairs.tolist(), shard.grammar.lengths.tolist()):
+        lengths.append(lengths[a] + lengths[b])
+        assert lengths[-1] == n
+    uses = {}
+    for a, b in zip(shard.begins, [*shard.begins[1:], len(shard.symbols)]):
+        before, taken = None, False
+        for pair in zip(shard.symbols[a:b - 1].tolist(), shard.symbols[a + 1:b].tolist()):
+            taken = pair == before and pair[0] == pair[1] and not taken
+            uses[pair] = uses.get(pair, 0) + (not taken)
+            before = pair
+    assert max(uses.values(), default=0) < repair.LEAST_USES
+
+
+def test_grammars_grow_as_far_as_texts_repeat():
+    draw = np.random.default_rng(7)
+    passage = draw.integers(0, 60_000, 1000).astype(np.uint32)
+    ids = np.concatenate([np.append(passage, draw.integers(0, 60_000, 50)) for _ in range(100)])
+    ids = ids.astype(np.uint32)
+    data = b"".join(repair.shard_bytes([1], ids, np.array([0, len(ids)])))
+    shard = repair.Shard.parse(data)
+    assert shard.grammar.lengths.max() >= 1000 and len(shard.symbols) <= 51 * 100
+    assert (shard.ids()[0] == ids).all()
+    assert shard.span(0, 50_123, 53_000).tolist() == ids[50_123:53_000].tolist()
+
+
+def test_symbols_beyond_sixteen_bits():
+    ids = np.tile(np.arange(3 * (1 << 17), dtype=np.uint32)[::7], 3)
+    bounds = np.array([0, len(ids) // 3, len(ids)])
+    shard = repair.Shard.parse(b"".join(repair.shard_bytes([1, 2], ids, bounds)))
+    assert (shard.ids()[0] == ids).all() and shard.grammar.base > 1 << 18
+
+
+@pytest.mark.parametrize("numbers", [[], [0], [127, 128, 1 << 14, (1 << 32) - 1, 0, (1 << 35) - 1]])
+def test_packed_numbers_come_back(numbers):
+    data = np.frombuffer(repair.packed_numbers(np.array(numbers, np.int64)), np.uint8)
+    assert repair.unpacked_numbers(data).tolist() == numbers
+
+
 def ordered(rows):
     return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
 
