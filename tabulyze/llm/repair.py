@@ -2,7 +2,7 @@
 
 In rounds, the most frequent pairs of neighbouring ids of a shard become nonterminals and are
 replaced from left to right; pairs never cross the end of a document. A round takes the pairs used
-at least an eighth as often as the most frequent one; where two of them overlap, the more frequent
+at least a sixteenth as often as the most frequent one; where two of them overlap, the more frequent
 one (by steps of a quarter of a doubling, then by a hash) is replaced and the other waits. Rounds go on until no pair is used `LEAST_USES` times, the
 fewest that save more bytes than a rule takes. A shard holds the rules, how many ids each
 nonterminal expands to, and for each document where its symbols begin, so any span of ids is
@@ -42,6 +42,8 @@ MAGIC, VERSION = b"RPTK", 2
 HEADER = struct.Struct("<4sIIIQQQQQ")
 SHARD_IDS = 1 << 21
 LEAST_USES = 3
+# Marks above a symbol: the last of its document; its pair with the next may be frequent.
+LAST, LIVE = np.uint32(1 << 31), np.uint32(1 << 30)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 END_ID = 0
 
@@ -82,66 +84,72 @@ def expand(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]
     return _gathered(ids, start[symbols], count[symbols])
 
 
-def _every_second(at: np.ndarray, follows: np.ndarray) -> np.ndarray:
-    """Of places that follow each other, every second one from the left."""
-    run = np.flatnonzero(~follows)
-    nth = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-    return at[nth % 2 == 0]
-
-
 def _frequent(places: np.ndarray, code: np.ndarray, slot: np.ndarray, least: int
               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes used `least` times or more, their uses, and which places may hold such a code.
+    """The most frequent codes, their uses, and which places may hold a code used `least` times.
 
-    Overlapping pairs of one id count once.
+    The codes are those used a sixteenth as often as the fullest slot, or, if there is none, all
+    that are used `least` times.
     """
-    once = np.ones(len(code), bool)
-    overlaps = (np.diff(code, prepend=~code[:1]) == 0) & (np.diff(places, prepend=-2) == 1)
-    if overlaps.any():
-        at = np.arange(len(code))
-        once[:] = False
-        once[_every_second(at, overlaps)] = True
-    crowded = (np.bincount(slot) >= least)[slot]
-    ordered = np.sort(code[crowded & once])
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[:len(ordered)])
-    uses = np.diff(np.append(first, len(ordered)))
-    often = uses >= least
-    return ordered[first[often]], uses[often], crowded
+    in_slot = np.bincount(slot, minlength=1)
+    single = np.ones(len(code), bool)
+    twice = np.flatnonzero((code[1:] == code[:-1]) & (np.diff(places) == 1)) + 1
+    if len(twice):
+        # Overlapping pairs of a run x x x ... count every second time, from the left.
+        run = np.flatnonzero(np.diff(twice, prepend=-2) != 1)
+        behind = np.arange(len(twice)) - np.repeat(run, np.diff(np.append(run, len(twice))))
+        single[twice[behind % 2 == 0]] = False
+    for often in (max(least, int(in_slot.max()) // 16), least):
+        ordered = np.sort(code[(in_slot >= often)[slot] & single])
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[:len(ordered)])
+        uses = np.diff(np.append(first, len(ordered)))
+        found = uses >= often
+        if found.any():
+            break
+    return ordered[first[found]], uses[found], (in_slot >= least)[slot]
 
 
 def _chosen(places: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Indices of places to replace: no two touch, and the better rank of neighbours wins."""
+    """Which places to replace: no two touch, and the better rank of neighbours wins.
+
+    Neighbours of equal rank are a run of one id; every second of them is taken, from the left.
+    """
     near = np.diff(places) == 1
-    worse = np.zeros(len(places), bool)
-    worse[1:] |= near & (rank[1:] > rank[:-1])
-    worse[:-1] |= near & (rank[:-1] > rank[1:])
-    left = np.flatnonzero(~worse)
-    return _every_second(left, np.diff(places[left], prepend=-2) == 1)
+    best = np.ones(len(places), bool)
+    best[1:] &= ~(near & (rank[1:] > rank[:-1]))
+    best[:-1] &= ~(near & (rank[:-1] > rank[1:]))
+    ties = np.flatnonzero(near & (rank[1:] == rank[:-1])) + 1
+    if len(ties):
+        ties = ties[best[ties] & best[ties - 1]]
+        run = np.flatnonzero(np.diff(ties, prepend=-2) != 1)
+        behind = np.arange(len(ties)) - np.repeat(run, np.diff(np.append(run, len(ties))))
+        best[ties[behind % 2 == 0]] = False
+    return np.flatnonzero(best)
 
 
 def compress(ids: np.ndarray, bounds: np.ndarray, least: int = LEAST_USES
              ) -> tuple[Grammar, np.ndarray, np.ndarray]:
     """Grammar, symbols, and where each document's symbols begin (n + 1 bounds)."""
     base = int(ids.max()) + 1 if len(ids) else 1
-    symbols = ids.astype(np.uint32)
-    last = np.zeros(len(symbols), bool)
-    last[bounds[1:][np.diff(bounds) > 0] - 1] = True
-    pairs, lengths, n = [], np.ones(base, np.int64), base
+    if base > int(LIVE):
+        raise ValueError("Ids must lie below 2^30")
     # Uses of a pair never grow, so a place is looked at until its pair is found to be rare.
-    live = np.ones(len(symbols), bool)
+    marked = ids.astype(np.uint32) | LIVE
+    marked[bounds[1:][np.diff(bounds) > 0] - 1] |= LAST
+    pairs, lengths, n = [], np.ones(base, np.int64), base
     while True:
-        inner = np.flatnonzero(live[:-1] & ~last[:-1])
-        code = (symbols[inner].astype(np.uint64) << np.uint64(32)) | symbols[inner + 1]
+        inner = np.flatnonzero(marked[:-1] >> np.uint32(30) == 1)
+        code = (((marked[inner] & ~LIVE).astype(np.uint64) << np.uint64(32))
+                | (marked[inner + 1] & ~(LIVE | LAST)))
         shift = np.uint64(64 - max(10, min(20, len(code).bit_length())))
         slot = ((code * MIX) >> shift).astype(np.int64)
         codes, uses, crowded = _frequent(inner, code, slot, least)
         if not len(codes):
             break
-        live[inner] = crowded
-        taken = uses * 8 >= uses.max()
+        marked[inner[~crowded]] &= ~LIVE
         # Ties go by a hash: in the order of the ids a long passage would yield a pair a round.
-        level = np.floor(4 * np.log2(uses[taken]))
-        codes = codes[taken][np.lexsort((codes[taken] * MIX, -level))]
+        level = np.floor(4 * np.log2(uses))
+        codes = codes[np.lexsort((codes * MIX, -level))]
         # The best rank is filed last and so keeps its slot; pairs that lose theirs wait.
         rank_of = np.full(int(slot.max()) + 1, -1, np.int32)
         filed = ((codes * MIX) >> shift).astype(np.int64)
@@ -159,14 +167,12 @@ def compress(ids: np.ndarray, bounds: np.ndarray, least: int = LEAST_USES
         rules = np.sort(codes[paying])
         number = np.zeros(len(codes), np.uint32)
         number[paying] = n + np.searchsorted(rules, codes[paying])
-        symbols[places] = number[rank]
-        last[places] = last[places + 1]
-        keep = np.ones(len(symbols), bool)
+        marked[places] = number[rank] | LIVE | (marked[places + 1] & LAST)
+        keep = np.ones(len(marked), bool)
         keep[places + 1] = False
-        symbols, last, live = symbols[keep], last[keep], live[keep]
+        marked = marked[keep]
         now = places - np.arange(len(places))
-        live[now] = True
-        live[np.maximum(now - 1, 0)] = True
+        marked[np.maximum(now - 1, 0)] |= LIVE
         new = np.stack([rules >> np.uint64(32), rules & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         pairs.append(new)
         lengths = np.concatenate((lengths, lengths[new[:, 0]] + lengths[new[:, 1]]))
@@ -175,8 +181,8 @@ def compress(ids: np.ndarray, bounds: np.ndarray, least: int = LEAST_USES
         base, np.concatenate([np.zeros((0, 2), np.uint32), *pairs]), lengths[base:],
         np.array([len(x) for x in pairs], np.int64))
     ends = np.zeros(len(bounds), np.int64)
-    ends[1:][np.diff(bounds) > 0] = np.flatnonzero(last) + 1
-    return grammar, symbols, np.maximum.accumulate(ends)
+    ends[1:][np.diff(bounds) > 0] = np.flatnonzero(marked & LAST) + 1
+    return grammar, marked & ~(LIVE | LAST), np.maximum.accumulate(ends)
 
 
 def packed_numbers(values: np.ndarray) -> bytes:
