@@ -66,6 +66,7 @@ def distinct_choices(df: DataFrame, column: str, limit: int = 50) -> DataFrame:
     return values.orderBy(col(column)).limit(limit)
 
 
+# The messages of this check and the next.
 def require_columns(df: DataFrame, columns: str | Sequence[str]) -> None:
     """Names are compared as written; Spark's resolver would ignore case."""
     asked = [columns] if isinstance(columns, str) else list(columns)
