@@ -5,25 +5,27 @@ that pass their format check are always kept. The other proposals are judged by
 format and context features, with a threshold for each kind calibrated on rows the trees have not
 seen. The trees are turned into column expressions, so judging is a projection.
 
-There are no hand-made labels for spans. The trees learn from rules of thumb on a bounded sample
-(`PiiOptions.sample_rows`): a base proposal is personal if its format check holds; a long key is if
-it mixes letters and digits and a word such as "token" assigns it; a phone number without country
-code is if a word such as "tel" stands before it. Counts, candidates and judgements cover all rows.
+There are no hand-made labels for spans. The trees learn from rules of thumb: a base proposal is
+personal if its format check holds; a long key is if it mixes letters and digits and a word such as
+"token" assigns it; a phone number without country code is if a word such as "tel" stands before
+it. Proposals alike in kind, label and features are one weighted row, so every proposal of the
+table takes part: half of them, told by a hash, teach the trees, the others set the thresholds.
 
 Defined results: null is an empty text in `personal_data` and stays null in `redacted`; empty texts
 and tables have no spans; repeated rows and ids are judged one by one; extra columns are ignored by
-`personal_data` and carried along by `redacted`. Without both labels in the sample nothing is added.
+`personal_data` and carried along by `redacted`. Without both labels to learn from nothing is added.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabulyze.functions.columns import col
 from tabulyze.llm.stamping import unused, written
@@ -55,9 +57,12 @@ SPAN = "array<struct<s:int,kind:int,e:int,v:string>>"
 
 @dataclass(frozen=True)
 class PiiOptions:
-    """sample_rows bounds the rows the trees learn from, over all kinds and labels."""
+    """balance bounds what all proposals together weigh for the trees, equally by kind and label.
 
-    sample_rows: int = 20_000
+    Thresholds are set on plain counts.
+    """
+
+    balance: float = 20_000.0
     trees: int = 6
     depth: int = 3
     precision: float = 0.95
@@ -183,44 +188,44 @@ class SpanJudge:
 
 
 def fit_judge(proposals: DataFrame, options: PiiOptions = PiiOptions()) -> SpanJudge:
-    """Trees for the spans in column `spans`, from a bounded stratified sample."""
+    """Trees and thresholds from all spans in column `spans`."""
     rows = proposals.select(F.explode("spans").alias("x")).select(
         F.col("x.kind").alias("kind"), F.col("x.weak").cast("double").alias("label"),
-        F.col("x.f").alias("f"), F.xxhash64("x").alias("h"),
-    )
-    sizes = {(r["kind"], r["label"]): r["n"] for r in
-             rows.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        F.col("x.f").alias("f"), (F.xxhash64("x") % 2 == 0).alias("held"))
+    alike = written(rows.groupBy("kind", "label", "f").agg(
+        F.count_if(~F.col("held")).alias("taught"), F.count_if("held").alias("held")),
+        "alike-spans")
+    # At most a row for each kind and label.
+    sizes = {(r["kind"], r["label"]): r for r in alike.filter("taught > 0").groupBy(
+        "kind", "label").agg(F.sum("taught").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
     if len({label for _, label in sizes}) < 2:
         return SpanJudge()
-    share = options.sample_rows / len(sizes)
-    keep = reduce(or_, (
-        (F.col("kind") == kind) & (F.col("label") == label)
-        & (F.pmod("h", F.lit(1_000_000)) < int(min(1.0, share / n) * 1_000_000) + 1)
-        for (kind, label), n in sizes.items()))
-    sample = written(
-        rows.filter(keep).limit(options.sample_rows).withColumn("held", F.col("h") % 2 == 0),
-        "span-sample")
-    taught = sample.filter(~F.col("held")).select(
-        "label", array_to_vector("f").alias("features")).coalesce(1)
-    if taught.select("label").distinct().count() < 2:
-        return SpanJudge()
-    model = GBTClassifier(maxIter=options.trees, maxDepth=options.depth, seed=1,
-                          stepSize=0.3, minInstancesPerNode=5).fit(taught)
+    share = options.balance / len(sizes)
+    scales = {key: min(1.0, share / r["n"]) for key, r in sizes.items()}
+    scale = reduce(lambda a, x: a.when(
+        (F.col("kind") == x[0][0]) & (F.col("label") == x[0][1]), x[1]), scales.items(), F)
+    taught = alike.filter("taught > 0").select(
+        "label", array_to_vector("f").alias("features"),
+        (F.col("taught") * scale).alias("weight"))
+    # The trees look for splits in a part of the rows only if these outnumber the bins squared.
+    bins = math.isqrt(sum(r["rows"] for r in sizes.values())) + 1
+    weight = sum(r["n"] * scales[key] for key, r in sizes.items())
+    model = GBTClassifier(maxIter=options.trees, maxDepth=options.depth, seed=1, stepSize=0.3,
+                          weightCol="weight", maxBins=max(32, bins),
+                          minWeightFractionPerNode=min(5 / weight, 0.49)).fit(taught)
     judge = SpanJudge(tuple(t._java_obj.rootNode() for t in model.trees),
                       tuple(model.treeWeights))
-    scored = sample.filter("held").groupBy(
+    falling = W.partitionBy("kind").orderBy(F.desc("margin"))  # a row per margin, not per span
+    least = {r["kind"]: r["least"] for r in alike.filter("held > 0").groupBy(
         "kind", judge.margin(F.col("f")).alias("margin")
-    ).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()
-    least: list[float | None] = []
-    for kind in range(len(KINDS)):
-        best, good, n = None, 0.0, 0
-        for r in sorted((r for r in scored if r["kind"] == kind), key=lambda r: -r["margin"]):
-            good, n = good + r["good"], n + r["n"]
-            if good >= options.precision * n:
-                best = r["margin"]
-        least.append(best - 1e-9 if best is not None and best > 0 else
-                     0.0 if best is not None else None)
-    return SpanJudge(judge.roots, judge.weights, tuple(least))
+    ).agg(F.sum(F.col("label") * F.col("held")).alias("good"), F.sum("held").alias("n")).select(
+        "kind", "margin", F.sum("good").over(falling).alias("good"),
+        F.sum("n").over(falling).alias("n")
+    ).filter(F.col("good") >= options.precision * F.col("n"))
+        .groupBy("kind").agg(F.min("margin").alias("least")).collect()}
+    return SpanJudge(judge.roots, judge.weights, tuple(
+        None if k not in least else least[k] - 1e-9 if least[k] > 0 else 0.0
+        for k in range(len(KINDS))))
 
 
 def selected(spans: Column, judge: SpanJudge) -> Column:

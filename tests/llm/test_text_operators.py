@@ -238,6 +238,24 @@ def test_personal_data_adds_assigned_keys(shipped):
     assert tokens > 0 and len(added) >= 0.9 * tokens
 
 
+def test_span_judge_counts_all_proposals(shipped):
+    """Thresholds follow the shares in the whole table, however unlike the labels are in number."""
+    from pyspark.sql import functions as F
+
+    secret = pii.KINDS.index("secret")
+    bad = F.col("id") % 30 == 0  # precise enough over all rows, not by equal shares of labels
+    other = F.col("id") % 600 == 0
+    features = F.array(other.cast("double"), *(F.lit(0.0) for _ in range(16)))
+    rows = shipped.range(60_000).select(F.array(F.struct(
+        F.col("id").cast("int").alias("s"), F.lit(secret).alias("kind"),
+        F.col("id").cast("int").alias("e"), F.lit(False).alias("valid"), (~bad).alias("weak"),
+        features.alias("f"))).alias("spans"))
+    judge = pii.fit_judge(rows, pii.PiiOptions())
+    assert judge.least[secret] is not None
+    kept = rows.select(F.explode("spans").alias("x")).filter(judge.accepts(F.col("x")))
+    assert kept.count() == 60_000 - 100
+
+
 def test_redaction_replaces_spans_only(shipped, odd, clashing):
     for docs in (odd, clashing):
         rows = pii.redacted(docs).collect()
