@@ -1,11 +1,11 @@
 """Aggregates and exact quantiles that several operators ask of one table, in few passes.
 
 An operator states what it needs as `Asked`; `answered` puts the needs of all operators into one
-job, equal ones once, and hands each its own answers. The same job holds a KLL sketch per column
-whose quantiles are asked. The sketches enclose each wanted rank, and a second job counts the rows
-before that range and ranks the few values inside it. Very large tables take a pass in between that
-counts and sketches inside the range. A range that misses its rank costs a pass, never a wrong
-result, and no task ever sorts a whole column.
+job, equal ones once, and hands each its own answers. A job of its own, since plain aggregates are
+much faster without them, holds a KLL sketch per column whose quantiles are asked. The sketches
+enclose each wanted rank, and a last job counts the rows before that range and ranks the few values
+inside it. Very large tables take a pass in between that counts and sketches inside the range. A
+range that misses its rank costs a pass, never a wrong result, and no task ever sorts a whole column.
 
 Columns with infinite values take one job more, which counts these: ranks among them are known.
 """
@@ -14,17 +14,22 @@ from __future__ import annotations
 
 import math
 import struct
+from bisect import bisect_left, bisect_right
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Most rows inside a range whose values are ranked by one task.
-VALUE_LIMIT = 200_000
-# Size parameter of the sketches, and the even steps at which their quantiles are read.
-SKETCH_SIZE = 1024
+VALUE_LIMIT = 1_000_000
+# Size parameter of the sketches, and even steps at which quantiles are read where ranks are not
+# known beforehand.
+SKETCH_SIZE = 8192
 GRID = 256
+EVEN = [i / GRID for i in range(GRID + 1)]
 
 
 @dataclass
@@ -133,12 +138,12 @@ class _Ranks:
         self.lo = self.hi = points[self.stuck % 3]
         self.expected, self.stuck = math.inf, self.stuck + 1
 
-    def enclose(self, grid: Sequence[float], margin: float) -> None:
-        """Guess from quantiles of the values inside at even steps."""
-        steps, span = len(grid) - 1, max(self.inside - 1, 1)
+    def enclose(self, grid: Sequence[float], margin: float, shares: Sequence[float] = EVEN) -> None:
+        """Guess from quantiles of the values inside at ascending shares, from 0 to 1."""
+        steps, span = len(shares) - 1, max(self.inside - 1, 1)
         at = [(k - self.below) / span for k in self.open]
-        first = max(math.floor((min(at) - margin) * steps), 0)
-        last = min(math.ceil((max(at) + margin) * steps), steps)
+        first = max(bisect_right(shares, min(at) - margin) - 1, 0)
+        last = min(bisect_left(shares, max(at) + margin), steps)
         lo, hi = max(grid[first], self.low), min(grid[last], self.high)
         if first == 0:
             lo = self.low
@@ -146,15 +151,26 @@ class _Ranks:
             hi = self.high
         if lo <= hi and self.lo < self.hi:
             self.lo, self.hi = lo, hi
-            self.expected = self.inside * (last - first + 1) / steps
+            self.expected = self.inside * (shares[last] - shares[first] + margin)
 
 
-def _even_quantiles(value: Column, size: int) -> Column:
-    steps = F.expr(f"array({', '.join(f'{i / GRID!r}D' for i in range(GRID + 1))})")
+def _quantiles_at(value: Column, size: int, shares: Sequence[float]) -> Column:
+    steps = F.expr(f"array({', '.join(f'{x!r}D' for x in shares)})")
     sketch = F.kll_sketch_agg_double(value, size)
     return F.when(F.count(value) > 0, F.kll_sketch_get_quantile_double(sketch, steps))
 
 
+def _even_quantiles(value: Column, size: int) -> Column:
+    return _quantiles_at(value, size, EVEN)
+
+
+def _around(shares: Sequence[float], margin: float) -> list[float]:
+    """Where quantiles are read to enclose the ranks at these shares."""
+    # Ranks are whole numbers, beside their share by a row: in few rows that outweighs the margin.
+    wide = [sign * margin * x for sign in (-1, 1) for x in (1.01, 2, 8)]
+    return sorted({0.0, 1.0, *(min(max(p + d, 0.0), 1.0) for p in shares for d in wide)})
+
+
 def _margin(size: int) -> float:
     """Twice the rank error that 99 of 100 sketches of this size stay within."""
     return 2 * 2.296 / size ** 0.9021
@@ -203,14 +219,16 @@ def _finish(df: DataFrame, ranks: Sequence[_Ranks], values: Sequence[Column]) ->
         F.count_if(values[g[0].of] < lo).alias(f"s{t}")
         for t, (g, (lo, _)) in enumerate(zip(groups, ends))
     ]).select(F.posexplode(F.array(*[F.col(f"s{t}") for t in range(len(groups))])).alias("t", "n"))
-    tags: dict[int, Column] = {}
-    for t, (g, (lo, hi)) in enumerate(zip(groups, ends)):
-        v = values[g[0].of]
-        here, tag = v.between(lo, hi), F.struct(F.lit(t).alias("t"), v.alias("v"))
-        tags[g[0].of] = tags[g[0].of].when(here, tag) if g[0].of in tags else F.when(here, tag)
+    # Values go one below the other before the ranges are tested: one expression of all columns
+    # and ranges outgrows what is compiled.
+    used = sorted({g[0].of for g in groups})
+    pos, v = F.col("pos"), F.col("col")
+    held = [(pos == used.index(g[0].of)) & v.between(*e) for g, e in zip(groups, ends)]
+    tag = reduce(lambda a, x: a.when(x[1], x[0]), enumerate(held), F)
     inside = (
-        df.select(F.explode(F.array_compact(F.array(*tags.values()))).alias("s"))
-        .groupBy(F.col("s.t").alias("t"), F.col("s.v").alias("v")).agg(F.count("*").alias("n"))
+        df.select(F.posexplode(F.array(*[values[i] for i in used])))
+        .filter(reduce(or_, held)).groupBy(tag.alias("t"), v.alias("v"))
+        .agg(F.count("*").alias("n"))
     )
     running = W.partitionBy("t").orderBy(F.asc_nulls_first("v")).rowsBetween(
         W.unboundedPreceding, W.currentRow)
@@ -269,12 +287,21 @@ def answered(df: DataFrame, *asked: Asked, limit: int = VALUE_LIMIT,
         wanted.append({n: sketched.add(c.cast("double")) for n, (c, _) in a.quantiles.items()})
     values = [F.when(~F.isnan(c), c) for c in sketched.columns]
     sized = [[merged.add(f(v)) for f in (F.count, F.min, F.max)] for v in values]
-    asks = merged.columns + [_even_quantiles(v, sketch_size) for v in values]
-    if not asks:
+    if not merged.columns:
         return [{} for _ in asked]
-    row = df.agg(*[c.alias(f"a{i}") for i, c in enumerate(asks)]).first()
+    row = df.agg(*[c.alias(f"a{i}") for i, c in enumerate(merged.columns)]).first()
+    margin = _margin(sketch_size)
+    shares_of: list[list[float]] = [[] for _ in values]
+    for a, at in zip(asked, wanted):
+        for name, (_, shares) in a.quantiles.items():
+            shares_of[at[name]] += shares
+    steps = [_around(shares, margin) for shares in shares_of]
+    slim = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    sketches = slim.agg(*[
+        _quantiles_at(F.col(f"v{i}"), sketch_size, at).alias(f"a{i}") for i, at in enumerate(steps)
+    ]).first() if values else ()
     # Of each column: finite values, those below and above, the ends of the finite, their sketch.
-    known = [(row[n], 0, 0, row[low], row[high], row[len(merged.columns) + i])
+    known = [(row[n], 0, 0, row[low], row[high], sketches[i])
              for i, (n, low, high) in enumerate(sized)]
     endless = [i for i, k in enumerate(known) if k[0] and not (
         math.isfinite(k[3]) and math.isfinite(k[4]))]
@@ -288,7 +315,7 @@ def answered(df: DataFrame, *asked: Asked, limit: int = VALUE_LIMIT,
                      F.max(v), _even_quantiles(v, sketch_size)]
         again = df.agg(*[c.alias(f"a{j}") for j, c in enumerate(asks)]).first()
         for j, i in enumerate(endless):
-            known[i] = again[6 * j:6 * j + 6]
+            known[i], steps[i] = again[6 * j:6 * j + 6], EVEN
     ranks: dict[tuple[int, int, int], _Ranks] = {}
 
     def rank(i: int, k: int, other: int) -> float | tuple:
@@ -302,7 +329,7 @@ def answered(df: DataFrame, *asked: Asked, limit: int = VALUE_LIMIT,
         if key not in ranks:
             r = ranks[key] = _Ranks(i, pair[0], pair[-1], n, known[i][3], known[i][4])
             if n > 1 and known[i][5] and r.low < r.high:
-                r.enclose(known[i][5], _margin(sketch_size))
+                r.enclose(known[i][5], margin, steps[i])
             elif r.low == r.high:
                 r.found = dict.fromkeys(pair, r.low)
         return (key, k - low)

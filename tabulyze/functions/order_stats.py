@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tabulyze.functions.columns import as_double, col, nan_to_null
 from tabulyze.functions.facts import SKETCH_SIZE, VALUE_LIMIT, Asked, answered
 
+# Most rows of a group whose median is found by one aggregate.
+GROUP_LIMIT = 200_000
+
 # Rows beyond which sketches are merged in two levels, the tasks of the first level, and the
 # quantiles each of them hands on.
 TREE_ROWS = 50_000_000
@@ -202,7 +205,7 @@ def grouped_median(
     keys: Sequence[str],
     value: str,
     out: str,
-    limit: int = VALUE_LIMIT,
+    limit: int = GROUP_LIMIT,
     buckets: int | None = None,
 ) -> DataFrame:
     """Exact median per key. Keys and values must already be free of missing keys.

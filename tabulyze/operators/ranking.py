@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from tabulyze.functions.columns import (
     as_double, col, complete_rows, free_name, is_missing, nan_to_null, quoted, tie_break,
 )
-from tabulyze.functions.order_stats import VALUE_LIMIT, grouped_median
+from tabulyze.functions.order_stats import GROUP_LIMIT, grouped_median
 from tabulyze.functions.text import safe_divide
 from tabulyze.operators.roles import require_columns
 
@@ -20,7 +20,7 @@ def group_measure(
     value: str,
     aggregation: str = "sum",
     out: str = "value",
-    median_limit: int = VALUE_LIMIT,
+    median_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """One row per present key. Sum, mean and count combine before the shuffle.
 

@@ -12,7 +12,7 @@ from tabulyze.functions.columns import (
 )
 from tabulyze.functions.moments import fit_line
 from tabulyze.functions.facts import VALUE_LIMIT, Answer, Asked, answered
-from tabulyze.functions.order_stats import grouped_median
+from tabulyze.functions.order_stats import GROUP_LIMIT, grouped_median
 from tabulyze.functions.text import parse_timestamp, safe_divide
 from tabulyze.operators.roles import require_columns
 
@@ -35,7 +35,7 @@ def time_series(
     value_column: str,
     aggregation: str = "sum",
     keys: Sequence[str] | None = None,
-    median_limit: int = VALUE_LIMIT,
+    median_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """A measure per exact timestamp, in time order.
 

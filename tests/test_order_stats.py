@@ -84,6 +84,19 @@ def test_quantiles_take_two_jobs(spark, sample_df, monkeypatch):
     assert calls == ["_finish"]
 
 
+def test_sketches_leave_few_values_to_rank(spark, monkeypatch):
+    """No pass in between up to 200 times the limit: the ranges are half a percent wide."""
+    def narrowed(*a):
+        raise AssertionError("a pass in between")
+
+    monkeypatch.setattr(facts, "_narrow", narrowed)
+    df = spark.range(100_000).select(
+        ((F.col("id") * 7919) % 100_000).cast("double").alias("v"), (F.col("id") % 7).alias("few"))
+    found = order_stats.quantile_values(df, ["v", "few"], [0.25, 0.5, 0.75], limit=500)
+    assert found["v"] == [24999.75, 49999.5, 74999.25]
+    assert found["few"] == [1.0, 3.0, 5.0]
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,), (None,)], "v double")
     assert order_stats.quantile_values(df, ["v"], [0.5]) == {"v": [None]}
