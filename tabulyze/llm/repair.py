@@ -93,7 +93,8 @@ def _frequent(places: np.ndarray, code: np.ndarray, slot: np.ndarray, least: int
     """
     in_slot = np.bincount(slot, minlength=1)
     single = np.ones(len(code), bool)
-    twice = np.flatnonzero((code[1:] == code[:-1]) & (np.diff(places) == 1)) + 1
+    twice = np.flatnonzero(code[1:] == code[:-1]) + 1
+    twice = twice[places[twice] - places[twice - 1] == 1]
     if len(twice):
         # Overlapping pairs of a run x x x ... count every second time, from the left.
         run = np.flatnonzero(np.diff(twice, prepend=-2) != 1)
@@ -138,15 +139,19 @@ def compress(ids: np.ndarray, bounds: np.ndarray, least: int = LEAST_USES
     marked[bounds[1:][np.diff(bounds) > 0] - 1] |= LAST
     pairs, lengths, n = [], np.ones(base, np.int64), base
     while True:
-        inner = np.flatnonzero(marked[:-1] >> np.uint32(30) == 1)
-        code = (((marked[inner] & ~LIVE).astype(np.uint64) << np.uint64(32))
-                | (marked[inner + 1] & ~(LIVE | LAST)))
+        state = marked[:-1] & (LIVE | LAST)
+        inner = np.flatnonzero(state == LIVE)
+        code = (marked[inner] ^ LIVE).astype(np.uint64)
+        code <<= np.uint64(32)
+        code |= marked[inner + 1] & ~(LIVE | LAST)
         shift = np.uint64(64 - max(10, min(20, len(code).bit_length())))
-        slot = ((code * MIX) >> shift).astype(np.int64)
+        slot = code * MIX
+        slot >>= shift
+        slot = slot.view(np.int64)
         codes, uses, crowded = _frequent(inner, code, slot, least)
         if not len(codes):
             break
-        marked[inner[~crowded]] &= ~LIVE
+        marked[inner[~crowded]] ^= LIVE
         # Ties go by a hash: in the order of the ids a long passage would yield a pair a round.
         level = np.floor(4 * np.log2(uses))
         codes = codes[np.lexsort((codes * MIX, -level))]
