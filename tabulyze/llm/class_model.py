@@ -34,7 +34,7 @@ from tabulyze.functions.columns import col
 from tabulyze.llm.batches import Slice, slices
 from tabulyze.llm.stamping import stamped, written
 from tabulyze.llm.word_exchange import (
-    LINE, exchange_words, places, portions, rare_files, shaped_words,
+    CODES, LINE, exchange_words, places, portions, rare_files, shaped_words,
 )
 
 FOLDS, HELD_OUT = 7, 2
@@ -167,11 +167,11 @@ def unit_bigrams(lines: DataFrame, core: Core, options: ClassOptions) -> DataFra
     shared = lines.sparkSession.sparkContext.broadcast(unit_of)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(n_units * n_units, np.int32)
+        cells, ones = np.zeros(n_units * n_units, np.int32), np.ones(CODES, np.int32)
         for batch in batches:
             for line in batch.column(0):
                 units = shared.value[np.frombuffer(line.as_buffer(), np.int32)]
-                np.add.at(cells, units[:-1] * n_units + units[1:], 1)
+                np.add.at(cells, units[:-1] * n_units + units[1:], ones[:len(units) - 1])
         found = np.flatnonzero(cells)
         step = 1 << 17
         for lo in range(0, len(found), step):

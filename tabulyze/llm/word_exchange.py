@@ -192,18 +192,20 @@ class CoreContexts:
 
     def __init__(self, turn: Turn) -> None:
         self.turn, self.n = turn, turn.classes + 1
-        self.place = np.full(len(turn.core), -1)
-        moving = np.flatnonzero(turn.moves(np.arange(len(turn.core) - 1)))
-        self.place[moving], self.moving = np.arange(len(moving)), moving
-        self.cells = np.zeros(len(moving) * 2 * self.n, np.int32)
+        # Words that stay share a last row, and a class n of no word is counted apart, so that
+        # nothing need be picked out before it is counted. Code len(core) stands for rare words.
+        self.wide, moving = self.n + 1, np.flatnonzero(turn.moves(np.arange(len(turn.core) - 1)))
+        self.row = np.full(len(turn.core) + 1, len(moving))
+        self.row[moving], self.moving = np.arange(len(moving)), moving
+        self.row *= 2 * self.wide
+        self.cells = np.zeros((len(moving) + 1) * 2 * self.wide, np.int32)
         self.pairs = np.zeros(self.n * self.n, np.int64)
 
     def add(self, words: np.ndarray, side: np.ndarray | int, k: np.ndarray,
-            n: np.ndarray | int) -> None:
-        at = self.place[words]
-        kept = at >= 0
-        cell = ((at * 2 + side) * self.n + k)[kept]
-        np.add.at(self.cells, cell, n if np.isscalar(n) else n[kept].astype(np.int32))
+            n: np.ndarray) -> None:
+        cell = self.row[words]
+        cell += side * self.wide + k
+        np.add.at(self.cells, cell, n)
 
     def add_pairs(self, before: np.ndarray, after: np.ndarray, n: np.ndarray | None) -> None:
         cell = before * self.n + after
@@ -212,12 +214,13 @@ class CoreContexts:
     def batches(self) -> Iterator[pa.RecordBatch]:
         wide, span_of = 2 * self.n, self.moving // SPAN
         rows, bounds = [], np.append(starts(span_of), len(span_of))
+        counted = self.cells.reshape(-1, 2, self.wide)
         for lo, hi in zip(bounds[:-1], bounds[1:]):
-            cell = lo * wide + np.flatnonzero(self.cells[lo * wide:hi * wide])
+            cells = counted[lo:hi, :, :self.n].reshape(-1)
+            cell = np.flatnonzero(cells)
             if len(cell):
-                local = (self.moving[cell // wide] % SPAN) * wide + cell % wide
-                rows.append(_row(CONTEXT, span_of[lo], v=local.astype(np.int32),
-                                 n=self.cells[cell]))
+                local = (self.moving[lo + cell // wide] % SPAN) * wide + cell % wide
+                rows.append(_row(CONTEXT, span_of[lo], v=local.astype(np.int32), n=cells[cell]))
         cell = np.flatnonzero(self.pairs)
         if len(cell):
             place = TaskContext.get().partitionId() % PAIR_PLACES
@@ -303,16 +306,19 @@ def _lines(shared):
     """mapInArrow over lines of codes: the contexts that core words are to each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, core = CoreContexts(shared.value), shared.value.core
+        held, n = CoreContexts(shared.value), shared.value.classes + 1
+        rare = len(shared.value.core)
+        core, ones = np.append(shared.value.core, n), np.ones(CODES, np.int32)
+        pairs = np.zeros((n + 1) * (n + 1), np.int64)
         for batch in batches:
             for line in batch.column(0):
-                codes = np.frombuffer(line.as_buffer(), np.int32)
-                both = (codes[1:] < len(core)) & (codes[:-1] < len(core))
-                a, b = codes[:-1][both], codes[1:][both]
-                before, after = core[a], core[b]
-                held.add(a, 1, after, 1)
-                held.add(b, 0, before, 1)
-                held.add_pairs(before, after, None)
+                codes = np.minimum(np.frombuffer(line.as_buffer(), np.int32), rare).astype(np.intp)
+                k = core[codes]
+                before, after, one = k[:-1], k[1:], ones[:len(k) - 1]
+                held.add(codes[:-1], 1, after, one)
+                held.add(codes[1:], 0, before, one)
+                pairs += np.bincount(before * (n + 1) + after, minlength=len(pairs))
+        held.pairs += pairs.reshape(n + 1, n + 1)[:n, :n].reshape(-1)
         yield from held.batches()
 
     return run

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from tabulyze.llm import class_model, components, decontamination, pii, quality, simhash
+from tabulyze.llm import (
+    class_model, components, decontamination, pii, quality, simhash, word_exchange,
+)
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -301,6 +303,23 @@ def test_class_model_beats_its_base_on_held_out_texts(documents):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_contexts_count_moving_words_only():
+    """Rare neighbours (code and class past the last) and words that stay leave no count."""
+    import numpy as np
+
+    core = np.array([0, 1, 2, 0, 1, 2, 0, 1, 3])  # three classes and the end
+    turn = word_exchange.Turn(3, 0, core, np.zeros((4, 4)), np.zeros(4))
+    held = word_exchange.CoreContexts(turn)
+    words, k = np.array([0, 1, 2, 7, 8, 9, 3, 3]), np.array([1, 4, 2, 0, 1, 1, 4, 3])
+    held.add(words, 1, k, np.ones(8, np.int32))
+    rows = held.cells.reshape(-1, 2, 5)[:-1, :, :4]
+    want = np.zeros((len(core) - 1, 4), int)
+    for w, c in zip(words, k):
+        if w < len(core) - 1 and c < 4:
+            want[w, c] += 1
+    assert rows[:, 1].tolist() == want[held.moving].tolist() and not rows[:, 0].any()
+
+
 @pytest.mark.parametrize("core_words", [4, 1 << 17])
 def test_class_model_classes_follow_contexts_not_endings(shipped, core_words):
     """Words beyond the units, endings shared across two kinds: their neighbours tell them apart."""
