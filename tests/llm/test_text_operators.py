@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from tabulyze.llm import (
     class_model, components, decontamination, pii, quality, simhash, word_exchange,
 )
@@ -258,6 +259,21 @@ def test_span_judge_counts_all_proposals(shipped):
     assert kept.count() == 60_000 - 100
 
 
+def test_span_judge_halves_proposals_alike(shipped):
+    """One form of letter, its number always at the same place, both teaches and sets thresholds."""
+    from pyspark.sql import functions as F
+
+    word = F.when(F.col("id") % 4 == 0, "item").otherwise("call")
+    docs = shipped.range(400).select(F.col("id").alias("doc_id"), F.concat(
+        word, F.lit(" 555-123-4567 in letter "), "id").alias("text"))
+    rows = corpus_pipeline.redact_personal_data(shipped, docs, "").collect()
+    assert {r.doc_id: r.text for r in rows} == {
+        i: f"item 555-123-4567 in letter {i}" if i % 4 == 0
+        else f"call [LOCAL_PHONE] in letter {i}" for i in range(400)}
+    spans = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    assert spans == {i: "" if i % 4 == 0 else "local_phone:5:17" for i in range(400)}
+
+
 def test_redaction_replaces_spans_only(shipped, odd, clashing):
     for docs in (odd, clashing):
         rows = pii.redacted(docs).collect()
